@@ -15,74 +15,75 @@ PREFIX_LENGTH = 4
 PREFIX_WEIGHT = 0.1
 BOOST_ABOVE = 0.7
 CHUNK = 2048
+WORD = 64
 
 
 def _matrix(texts: list[bytes], lengths: np.ndarray, width: int, pad: int) -> np.ndarray:
-    """Bytes as a (width, pairs) matrix, padded with a byte that UTF-8 never uses."""
+    """Bytes as a (pairs, width) matrix, padded with a byte that UTF-8 never uses."""
     out = np.full((len(texts), width), pad, dtype=np.uint8)
     out[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    return np.ascontiguousarray(out.T)
+    return out
 
 
-def _in_order(matrix: np.ndarray, flags: np.ndarray, width: int) -> np.ndarray:
-    """The flagged bytes of each column, moved to the top in their order."""
-    out = np.zeros((width, matrix.shape[1]), dtype=np.uint8)
-    rank = np.cumsum(flags, axis=0) - 1
-    rows, cols = np.nonzero(flags)
-    out[rank[rows, cols], cols] = matrix[rows, cols]
-    return out
+def _words(bits: int, count: int) -> np.ndarray:
+    """A whole number as little-endian 64-bit words."""
+    return np.array([bits >> WORD * k & (1 << WORD) - 1 for k in range(count)], dtype=np.uint64)
+
 
+def _same_window(left: list[bytes], right: list[bytes], window: int) -> np.ndarray:
+    """Similarities of pairs that share one match window.
 
-def _chunk_similarity(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    The free positions of the left text are bits; each position of the right text takes the
+    lowest free bit with the same byte inside the window.
+    """
     n_left = np.array([len(x) for x in left])
     n_right = np.array([len(x) for x in right])
     wide_left, wide_right = int(n_left.max()), int(n_right.max())
     if wide_left == 0 or wide_right == 0:
         return np.zeros(len(left))
-    a = _matrix(left, n_left, wide_left, 0xFF)
+    count = -(-wide_left // WORD)
+    a = _matrix(left, n_left, count * WORD, 0xFF)
     b = _matrix(right, n_right, wide_right, 0xFE)
-    window = np.maximum(np.maximum(n_left, n_right) // 2 - 1, 0)
-    reach = int(window.max())
-    even = bool((window == reach).all())
-    positions = np.arange(wide_left)[:, None]
-    columns = np.arange(len(left))
-    free = np.ones(a.shape, dtype=bool)
+    free = np.full((len(left), count), ~np.uint64(0))
     hit = np.zeros(b.shape, dtype=bool)
+    rows = np.arange(len(left))
     for j in range(wide_right):
-        low, high = max(0, j - reach), min(wide_left, j + reach + 1)
-        if low >= high:
+        low_end = max(0, j - window)
+        if low_end >= wide_left:
             break
-        same = (a[low:high] == b[j]) & free[low:high]
-        if not even:
-            same &= np.abs(positions[low:high] - j) <= window
-        found = same.any(axis=0)
-        first = same.argmax(axis=0) + low
-        free[first[found], columns[found]] = False
-        hit[j] = found
-    m = hit.sum(axis=0)
-    top = int(m.max())
-    if top == 0:
+        reach = _words((1 << j + window + 1) - (1 << low_end), count)
+        same = np.packbits(a == b[:, j, None], axis=1, bitorder="little").view(np.uint64)
+        open_bits = same & free & reach
+        at = (open_bits != 0).argmax(axis=1) if count > 1 else 0
+        word = open_bits[rows, at]
+        free[rows, at] ^= word & (~word + np.uint64(1))
+        hit[:, j] = word != 0
+    m = hit.sum(axis=1)
+    if not m.any():
         return np.zeros(len(left))
-    out_of_order = (_in_order(a, ~free, top) != _in_order(b, hit, top)).sum(axis=0)
-    half = out_of_order // 2
+    used = np.unpackbits((~free).view(np.uint8), axis=1, bitorder="little").astype(bool)
+    differs = a[used] != b[hit]  # both list the matched bytes pair by pair, in their order
+    half = np.bincount(np.repeat(rows, m), weights=differs, minlength=len(left)) // 2
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = (m / n_left + m / n_right + (m - half) / m) / 3.0
     jaro = np.where(m > 0, jaro, 0.0)
     depth = min(PREFIX_LENGTH, wide_left, wide_right)
-    prefix = np.cumprod(a[:depth] == b[:depth], axis=0).sum(axis=0)
+    prefix = np.cumprod(a[:, :depth] == b[:, :depth], axis=1).sum(axis=1)
     return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
 
 
 def jaro_winkler_pairs(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarity of ``left[i]`` and ``right[i]``; pairs of like length are compared together."""
+    """Similarity of ``left[i]`` and ``right[i]``; pairs with one match window go together."""
     a = [x.encode("utf-8") for x in left]
     b = [x.encode("utf-8") for x in right]
     longest = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
-    order = np.argsort(longest, kind="stable")
+    windows = np.maximum(longest // 2 - 1, 0)
     result = np.zeros(len(a))
-    for start in range(0, len(a), CHUNK):
-        part = order[start : start + CHUNK]
-        result[part] = _chunk_similarity([a[i] for i in part], [b[i] for i in part])
+    for window in np.unique(windows):
+        group = np.flatnonzero(windows == window)
+        for start in range(0, len(group), CHUNK):
+            part = group[start : start + CHUNK]
+            result[part] = _same_window([a[i] for i in part], [b[i] for i in part], int(window))
     return result
 
 

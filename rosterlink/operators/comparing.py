@@ -61,10 +61,11 @@ def attach_term_frequencies(
     profiles: DataFrame, model: LinkageModel = LinkageModel(), **sizes: int
 ) -> DataFrame:
     """Adds ``tf_`` columns while there is one row per profile, not one per pair."""
+    weighed = profiles
     for c in model.tf_columns:
         tf = term_frequencies(profiles, c, model)
-        profiles = lookup_join(profiles, tf, [model.shard, c], "id", weight="k", **sizes)
-    return profiles
+        weighed = lookup_join(weighed, tf, [model.shard, c], "id", weight="k", **sizes)
+    return weighed
 
 
 def tf_carried(model: LinkageModel = LinkageModel()) -> list[str]:

@@ -38,6 +38,19 @@ def linkage_records(df: DataFrame) -> DataFrame:
     return add_stripped_name(blank_to_null(df))
 
 
+PROFILE_KEY = ["_key_1", "_key_2"]
+
+
+def with_profile_key(df: DataFrame, model: LinkageModel = LinkageModel()) -> DataFrame:
+    """A 128-bit digest of the linkage columns. Digests skip nulls, so the places of the
+    nulls go in too."""
+    columns = [model.shard, *model.columns]
+    places = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    return df.withColumns(
+        {k: F.xxhash64(F.lit(number), places, *columns) for number, k in enumerate(PROFILE_KEY)}
+    )
+
+
 def cluster_records(
     records: DataFrame,
     profiles: DataFrame,
@@ -60,17 +73,17 @@ def cluster_records(
     members = connected_components(edges).join(inside, "node", "full").select(
         F.col("node").alias("id"), F.coalesce("component", "own").alias("_linked")
     )
-    key = F.struct(model.shard, *model.columns)
     labelled = (
-        profiles.join(members, "id")
-        .select(key.alias("_profile"), "_linked", F.col("n").alias("_copies"))
+        with_profile_key(profiles, model)
+        .join(members, "id")
+        .select(*PROFILE_KEY, "_linked", F.col("n").alias("_copies"))
     )
     return (
         lookup_join(
-            records.withColumn("_profile", key), labelled, ["_profile"], model.id, weight="_copies"
+            with_profile_key(records, model), labelled, PROFILE_KEY, model.id, weight="_copies"
         )
         .withColumn("cluster_id", F.coalesce("_linked", model.id))
-        .drop("_profile", "_linked")
+        .drop(*PROFILE_KEY, "_linked")
     )
 
 
@@ -98,7 +111,7 @@ def link_and_cluster(
         comparison_vectors(candidate_pairs(weighed, model, carry), model, carry), "vectors"
     )
     if params is None:
-        patterns = materialize(gamma_patterns(vectors, model), "patterns")
+        patterns = gamma_patterns(vectors, model)
         params = train(linked, profiles, patterns, model, recall, max_pairs)
     scored = score_pairs(vectors, params, model, pair_threshold)
     clusters = cluster_records(linked, profiles, scored, model, cluster_threshold)
