@@ -703,7 +703,7 @@ ORACLE["em_round"] = on(
 add(
     "score_pairs", "scored",
     "SELECT id_l, id_r, n_pairs, round(match_weight, 6) AS match_weight, "
-    "round(match_probability, 6) AS match_probability FROM scored WHERE match_probability >= 0.5",
+    "round(match_probability, 5) AS match_probability FROM scored WHERE match_probability >= 0.5",
 )
 add("cluster_pairs", "clusters", """
 , linked AS (SELECT id_l AS a, id_r AS b FROM scored WHERE match_probability >= 0.95 AND id_l <> id_r

@@ -635,8 +635,10 @@ def trained_parameters(s: SparkSession, d: str) -> DataFrame:
 @query
 def score_pairs(s: SparkSession, d: str) -> DataFrame:
     scored = scoring.score_pairs(stage(s, d, "vectors"), fixed_params(s))
-    columns = ["match_weight", "match_probability"]
-    return _rounded(scored.select("id_l", "id_r", "n_pairs", *columns), columns)
+    return scored.select(
+        "id_l", "id_r", "n_pairs", F.round("match_weight", 6).alias("match_weight"),
+        F.round("match_probability", 5).alias("match_probability"),
+    )
 
 
 def _fixed_clusters(s: SparkSession, d: str) -> DataFrame:
