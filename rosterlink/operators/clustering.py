@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
     round; the steps are then replayed backwards. Steps and edges are written out in each
     round.
     """
-    steps: list[DataFrame] = []
+    steps: list[tuple[DataFrame, int]] = []
     live = materialize(_undirected(edges), "edges")
     while not live.isEmpty():
         number = len(steps)
@@ -49,11 +49,14 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
         step = materialize(
             nearest.select("node", F.least("best", own)["to"].alias("to"), "degree"), "steps"
         )
-        steps.append(step)
+        heaviest = step.agg(F.max("degree")).first()[0]
+        steps.append((step, heaviest))
         for side, other in (("a", "b"), ("b", "a")):
             moved = step.select(F.col("node").alias(side), F.col("to").alias("_to"), "degree")
             live = (
-                lookup_join(live, moved, [side], other, weight="degree", **sizes)
+                lookup_join(
+                    live, moved, [side], other, weight="degree", heaviest=heaviest, **sizes
+                )
                 .drop(side)
                 .withColumnRenamed("_to", side)
             )
@@ -63,13 +66,15 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
         return edges.sparkSession.createDataFrame([], "node bigint, component bigint").select(
             F.col("node").cast(node), F.col("component").cast(node)
         )
-    roots = steps[-1].select("node", F.col("to").alias("root"))
-    for step in reversed(steps[:-1]):
+    last, _ = steps[-1]
+    roots = last.select("node", F.col("to").alias("root"))
+    for step, heaviest in reversed(steps[:-1]):
         later = roots.select(F.col("node").alias("to"), "root")
-        roots = lookup_join(step.select("node", "to"), later, ["to"], "node", **sizes).select(
-            "node", F.coalesce("root", "to").alias("root")
+        # Only neighbours step to a node, and itself.
+        joined = lookup_join(
+            step.select("node", "to"), later, ["to"], "node", heaviest=heaviest + 1, **sizes
         )
-    roots = materialize(roots, "roots")
+        roots = materialize(joined.select("node", F.coalesce("root", "to").alias("root")), "roots")
     least = roots.groupBy("root").agg(
         F.min("node").alias("component"), F.count(F.lit(1)).alias("size")
     )

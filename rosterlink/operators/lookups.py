@@ -34,18 +34,22 @@ def lookup_join(
     on: Sequence[str],
     row_id: str,
     weight: str | None = None,
+    heaviest: int | None = None,
     hot_rows: int = HOT_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """``df LEFT JOIN lookup`` where ``lookup`` holds each key once.
+    """``df LEFT JOIN lookup`` where ``lookup`` holds each key once and is cheap to read twice.
 
     The few most frequent keys (never more than ``hot_keys``) are answered by a broadcast.
     Their rows, and rows with a null key, then take no part in the key match, so they are
     spread by ``row_id`` in the shuffle that serves all other rows. ``weight`` names a lookup
-    column holding how many rows of ``df`` have the key; without it they are counted.
+    column holding how many rows of ``df`` have the key; without it they are counted. Where
+    the caller knows that no key has more than ``heaviest`` rows, a plain join may do.
     """
     on = list(on)
     values = [c for c in lookup.columns if c not in on and c != weight]
+    if heaviest is not None and heaviest <= hot_rows:
+        return df.join(lookup.select(*on, *values), on, "left").select(*df.columns, *values)
     payload = F.struct(F.lit(True).alias("_found"), *values)
     if weight is None:
         hot = lookup.join(F.broadcast(frequent_keys(df, on, hot_rows, hot_keys)), on, "left_semi")

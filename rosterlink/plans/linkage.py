@@ -64,7 +64,9 @@ def cluster_records(
     profile is linked to another one, since then each copy is linked to that. Otherwise every
     copy is a cluster of its own.
     """
-    likely = scored.filter(F.col("match_probability") >= threshold)
+    likely = materialize(
+        scored.filter(F.col("match_probability") >= threshold).select("id_l", "id_r"), "likely"
+    )
     between = F.col("id_l") != F.col("id_r")
     edges = likely.filter(between).select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
     inside = likely.filter(~between).select(
@@ -73,10 +75,11 @@ def cluster_records(
     members = connected_components(edges).join(inside, "node", "full").select(
         F.col("node").alias("id"), F.coalesce("component", "own").alias("_linked")
     )
-    labelled = (
+    labelled = materialize(
         with_profile_key(profiles, model)
         .join(members, "id")
-        .select(*PROFILE_KEY, "_linked", F.col("n").alias("_copies"))
+        .select(*PROFILE_KEY, "_linked", F.col("n").alias("_copies")),
+        "labelled",
     )
     return (
         lookup_join(
