@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
 from rosterlink.operators.blocking import with_unique_id
-from rosterlink.operators.lookups import lookup_join
+from rosterlink.operators.lookups import HOT_KEYS, HOT_ROWS, lookup_join
 from rosterlink.operators.profiling import percent
-from rosterlink.sources.tables import materialize
+from rosterlink.sources.tables import materialize, materialize_observed
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def _undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
+def connected_components(
+    edges: DataFrame, clean: bool = False, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
+) -> DataFrame:
     """``(node, component)`` for every node of an edge table ``(a, b)``; the component is
     its least node.
 
@@ -30,26 +32,29 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
     and edges are redrawn between the nodes stepped to. The digest changes by round, so
     paths shrink by a constant factor whatever the ids are. What is left gets smaller each
     round; the steps are then replayed backwards. Steps and edges are written out in each
-    round.
+    round. ``clean`` says that the edges are written already, once each and without loops.
     """
+    sizes = {"hot_rows": hot_rows, "hot_keys": hot_keys}
     steps: list[tuple[DataFrame, int]] = []
-    live = materialize(_undirected(edges), "edges")
-    while not live.isEmpty():
+    live = edges.select("a", "b") if clean else materialize(_undirected(edges), "edges")
+    while True:
         number = len(steps)
-
-        def digest(c: str, number: int = number):
-            return F.xxhash64(F.col(c), F.lit(number))
-
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         nearest = both.groupBy(F.col("a").alias("node")).agg(
-            F.min(F.struct(digest("b").alias("h"), F.col("b").alias("to"))).alias("best"),
+            F.min(F.struct(F.xxhash64("b", F.lit(number)).alias("h"), F.col("b").alias("to"))).alias(
+                "best"
+            ),
             F.count(F.lit(1)).alias("degree"),
         )
-        own = F.struct(digest("node").alias("h"), F.col("node").alias("to"))
-        step = materialize(
-            nearest.select("node", F.least("best", own)["to"].alias("to"), "degree"), "steps"
+        own = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("to"))
+        step, seen = materialize_observed(
+            nearest.select("node", F.least("best", own)["to"].alias("to"), "degree"),
+            "steps",
+            heaviest=F.max("degree"),
         )
-        heaviest = step.agg(F.max("degree")).first()[0]
+        if seen["heaviest"] is None:
+            break
+        heaviest = seen["heaviest"]
         steps.append((step, heaviest))
         for side, other in (("a", "b"), ("b", "a")):
             moved = step.select(F.col("node").alias(side), F.col("to").alias("_to"), "degree")
@@ -60,12 +65,11 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
                 .drop(side)
                 .withColumnRenamed("_to", side)
             )
-        live = materialize(_undirected(live), "edges")
+        live, seen = materialize_observed(_undirected(live), "edges", any=F.max(F.lit(1)))
+        if seen["any"] is None:
+            break
     if not steps:
-        node = edges.schema["a"].dataType
-        return edges.sparkSession.createDataFrame([], "node bigint, component bigint").select(
-            F.col("node").cast(node), F.col("component").cast(node)
-        )
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     last, _ = steps[-1]
     roots = last.select("node", F.col("to").alias("root"))
     for step, heaviest in reversed(steps[:-1]):
@@ -74,13 +78,20 @@ def connected_components(edges: DataFrame, **sizes: int) -> DataFrame:
         joined = lookup_join(
             step.select("node", "to"), later, ["to"], "node", heaviest=heaviest + 1, **sizes
         )
-        roots = materialize(joined.select("node", F.coalesce("root", "to").alias("root")), "roots")
-    least = roots.groupBy("root").agg(
-        F.min("node").alias("component"), F.count(F.lit(1)).alias("size")
-    )
-    return lookup_join(roots, least, ["root"], "node", weight="size", **sizes).select(
-        "node", "component"
+        roots = joined.select("node", F.coalesce("root", "to").alias("root"))
+        if heaviest >= hot_rows:
+            roots = materialize(roots, "roots")
+    roots = materialize(roots, "roots")
+    least, seen = materialize_observed(
+        roots.groupBy("root").agg(
+            F.min("node").alias("component"), F.count(F.lit(1)).alias("size")
+        ),
+        "least",
+        heaviest=F.max("size"),
     )
+    return lookup_join(
+        roots, least, ["root"], "node", weight="size", heaviest=seen["heaviest"], **sizes
+    ).select("node", "component")
 
 
 def cluster_pairs(
@@ -88,14 +99,15 @@ def cluster_pairs(
     nodes: DataFrame,
     threshold: float = V.CLUSTER_THRESHOLD,
     id: str = "id",
-    **sizes: int,
+    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Cluster of every node over the pairs at or above the threshold; the cluster id is the
     least node id, and a node without such a pair is a cluster of its own."""
     edges = pairs.filter(F.col("match_probability") >= threshold).select(
         F.col("id_l").alias("a"), F.col("id_r").alias("b")
     )
-    members = connected_components(edges, **sizes)
+    members = connected_components(edges, hot_rows=hot_rows, hot_keys=hot_keys)
     return nodes.join(members.withColumnRenamed("node", id), id, "left").select(
         *nodes.columns, F.coalesce("component", id).alias("cluster_id")
     )

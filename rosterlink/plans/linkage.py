@@ -72,7 +72,7 @@ def cluster_records(
     inside = likely.filter(~between).select(
         F.col("id_l").alias("node"), F.col("id_l").alias("own")
     )
-    members = connected_components(edges).join(inside, "node", "full").select(
+    members = connected_components(edges, clean=True).join(inside, "node", "full").select(
         F.col("node").alias("id"), F.coalesce("component", "own").alias("_linked")
     )
     labelled = materialize(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 _local_folders: dict[str, str] = {}
@@ -57,6 +57,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+def materialize_observed(
+    df: DataFrame, label: str, **metrics: Column
+) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize`` that also returns aggregates of the rows written, from the same job.
+
+    A task that is run again can count twice, so ask for what bears that, like a maximum.
+    """
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    written = materialize(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), label)
+    return written, seen.get
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
