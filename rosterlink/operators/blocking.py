@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from rosterlink.functions.levels import BlockingRule, LinkageModel
 from rosterlink.sources.tables import materialize
 
-HOT_BLOCKS = 1_000
-PAIRS_PER_SLICE = 20_000_000
+HOT_BLOCKS = 500_000  # rows of three numbers, some 30 MB when broadcast
+PAIRS_PER_CELL = 2_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its low 33 bits
 
 
@@ -87,39 +87,36 @@ def block_pairs(
     profiles: DataFrame,
     model: LinkageModel = LinkageModel(),
     carry: Sequence[str] = (),
-    pairs_per_slice: int = PAIRS_PER_SLICE,
+    pairs_per_cell: int = PAIRS_PER_CELL,
 ) -> DataFrame:
     """Candidate pairs of profiles, each once, under the first rule that finds it.
 
     All rules go through one equi-join on (rule, block). A pair that an earlier rule finds
-    too is dropped right in the join, so pairs are never shuffled to remove doubles. Large
-    blocks are cut into slices: the left side is dealt out over them, the right side is
-    copied to each, and the slices are spread over tasks. ``carry`` names further profile
-    columns to keep on the left side.
+    too is dropped right in the join, so pairs are never shuffled to remove doubles. A large
+    block becomes a square grid: each profile belongs to one row and one column of it and is
+    copied along them, so that every pair meets in one cell, and cells are spread over tasks.
+    ``carry`` names further profile columns to keep on the left side.
     """
     rules = model.blocking
     rows = _block_rows(
         profiles.select("id", "n", model.shard, *model.columns, *carry), rules, model.shard
     )
-    sizes = rows.groupBy("match_rule", "block").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    slices = F.ceil(F.col("k") * F.col("k") / F.lit(2.0 * pairs_per_slice))
+    sizes = rows.groupBy("match_rule", "block").agg(F.count(F.lit(1)).alias("k"))
     hot = (
-        sizes.withColumn("slices", slices.cast("int"))
-        .filter(F.col("slices") > 1)
+        sizes.withColumn("grid", F.ceil(F.col("k") / F.lit(pairs_per_cell**0.5)).cast("int"))
+        .filter(F.col("grid") > 1)
         .orderBy(F.desc("k"), "match_rule", "block")
         .limit(HOT_BLOCKS)
-        .select("match_rule", "block", "slices")
+        .select("match_rule", "block", "grid")
     )
     rows = rows.join(F.broadcast(hot), ["match_rule", "block"], "left")
-    count = F.coalesce("slices", F.lit(1))
-    left = rows.withColumn("slice", F.pmod(F.xxhash64("id"), count).cast("int"))
-    right = rows.drop(*carry).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), count - F.lit(1)))
-    )
-    at = ["match_rule", "block", "slice"]
-    joined = _side(left.drop("slices"), "l_", at).join(
-        _side(right.drop("slices", model.shard), "r_", at), at
-    )
+    grid = F.coalesce("grid", F.lit(1))
+    own = F.pmod(F.xxhash64("id"), grid).cast("int")
+    along = F.explode(F.sequence(F.lit(0), grid - F.lit(1)))
+    left = rows.withColumn("cell_l", own).withColumn("cell_r", along).drop("grid")
+    right = rows.withColumn("cell_r", own).withColumn("cell_l", along).drop("grid", *carry)
+    at = ["match_rule", "block", "cell_l", "cell_r"]
+    joined = _side(left, "l_", at).join(_side(right.drop(model.shard), "r_", at), at)
     return joined.filter((F.col("l_id") < F.col("r_id")) & _first_rule(rules)).select(
         F.col(f"l_{model.shard}").alias(model.shard),
         F.col("l_id").alias("id_l"),
@@ -166,10 +163,10 @@ def candidate_pairs(
     profiles: DataFrame,
     model: LinkageModel = LinkageModel(),
     carry: Sequence[str] = (),
-    pairs_per_slice: int = PAIRS_PER_SLICE,
+    pairs_per_cell: int = PAIRS_PER_CELL,
 ) -> DataFrame:
     """Pairs between profiles and inside them; ``n_pairs`` adds up to all record pairs."""
-    return block_pairs(profiles, model, carry, pairs_per_slice).unionByName(
+    return block_pairs(profiles, model, carry, pairs_per_cell).unionByName(
         copy_pairs(profiles, model, carry)
     )
 

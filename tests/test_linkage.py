@@ -51,9 +51,9 @@ record = st.tuples(
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(record, min_size=2, max_size=40), st.sampled_from([2, 10**9]))
-def test_weighted_pairs_are_all_record_pairs(spark, rows, per_slice):
+def test_weighted_pairs_are_all_record_pairs(spark, rows, per_cell):
     profiles = blocking.collapse_profiles(make_records(spark, rows))
-    pairs = blocking.candidate_pairs(profiles, pairs_per_slice=per_slice)
+    pairs = blocking.candidate_pairs(profiles, pairs_per_cell=per_cell)
     got = {r["match_rule"]: r["n"] for r in pairs.groupBy("match_rule").agg(F.sum("n_pairs").alias("n")).collect()}
     wanted = {}
     for a, b in itertools.combinations(rows, 2):
