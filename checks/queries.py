@@ -153,7 +153,7 @@ def snapshot_verdicts(s: SparkSession, d: str) -> DataFrame:
 @query
 def save_load_model(s: SparkSession, d: str) -> DataFrame:
     path = _scratch(s, "model")
-    results.save_model(trained_parameters(s, d), path)
+    results.save_model(stage(s, d, "params"), path)
     return results.load_model(s, path)
 
 
@@ -622,9 +622,7 @@ def em_round(s: SparkSession, d: str) -> DataFrame:
     return _longs(_rounded(result, [c for c in result.columns if c not in ("session", "shard")], 4))
 
 
-@query
-def trained_parameters(s: SparkSession, d: str) -> DataFrame:
-    """Prior, u and m by EM over both sessions, combined."""
+def _params(s: SparkSession, d: str) -> DataFrame:
     return training.train(
         stage(s, d, "records"),
         stage(s, d, "profiles"),
@@ -632,6 +630,15 @@ def trained_parameters(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+STAGES["params"] = _params
+
+
+@query
+def trained_parameters(s: SparkSession, d: str) -> DataFrame:
+    """Prior, u and m by EM over both sessions, combined."""
+    return _params(s, d)
+
+
 @query
 def score_pairs(s: SparkSession, d: str) -> DataFrame:
     scored = scoring.score_pairs(stage(s, d, "vectors"), fixed_params(s))

@@ -58,3 +58,17 @@ def test_search_returns_whole_entities(clusters):
 def test_samples_repeat(clusters):
     first, second = (verifying.sample_clusters(clusters, 2, 42).collect() for _ in range(2))
     assert sorted(first) == sorted(second) and len({r["cluster_id"] for r in first}) == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_per_group_are_cut_before_the_shuffle(spark):
+    from rosterlink.operators import enriching, profiling
+
+    df = spark.createDataFrame([("a", 1)], "k string, i int")
+    assert "Partial" in plan_of(profiling.sample_per_group(df, "k", ["i"])).split("WindowGroupLimit")[-1]
+    values = spark.createDataFrame([("x", "org", "v", 1)], f"{enriching.NAME} string, field string, value string, n long")
+    contexts = spark.createDataFrame([("x", True, 1)], f"{enriching.NAME} string, has_bn boolean, n long")
+    assert "WindowGroupLimit" in plan_of(enriching.render_prompt(contexts, values))
