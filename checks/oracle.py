@@ -712,7 +712,9 @@ seen AS (SELECT id, id AS label FROM profiles
   UNION SELECT e.b, x.label FROM seen x JOIN linked e ON x.id = e.a WHERE x.label < e.b)
 SELECT id, min(label) AS cluster_id FROM seen GROUP BY 1
 """, "scored")
+ORACLE["reachable_pairs"] = ORACLE["score_pairs"]
 add("cluster_records", "clusters", "SELECT unique_id, cluster_id FROM clusters")
+ORACLE["link_with_fixed_parameters"] = ORACLE["cluster_records"]
 add(
     "assign_cluster_ids", "clusters",
     "SELECT unique_id, dense_rank() OVER (ORDER BY cluster_id) - 1 AS cluster_id FROM clusters",

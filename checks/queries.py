@@ -649,7 +649,9 @@ def score_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fixed_clusters(s: SparkSession, d: str) -> DataFrame:
-    scored = scoring.score_pairs(stage(s, d, "vectors"), fixed_params(s))
+    scored = tables.materialize(
+        scoring.score_pairs(stage(s, d, "vectors"), fixed_params(s)), "scored"
+    )
     return linkage.cluster_records(stage(s, d, "records"), stage(s, d, "profiles"), scored)
 
 
@@ -669,6 +671,30 @@ def cluster_records(s: SparkSession, d: str) -> DataFrame:
     return _fixed_clusters(s, d).select("unique_id", "cluster_id")
 
 
+@query
+def link_with_fixed_parameters(s: SparkSession, d: str) -> DataFrame:
+    """The whole linkage with given parameters, unlikely pairs dropped before comparing."""
+    labelled = stage(s, d, "classified").drop("recipient_type").withColumnsRenamed(
+        {"recipient_type_new": "recipient_type", "gid": "unique_id"}
+    )
+    linked = linkage.link_and_cluster(labelled, params=fixed_params(s)).clusters
+    return linked.select("unique_id", "cluster_id")
+
+
+@query
+def reachable_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Scores of the pairs that the best case does not rule out: the same as of all pairs."""
+    carry = comparing.tf_carried(MODEL)
+    weighed = comparing.attach_term_frequencies(stage(s, d, "profiles"), MODEL)
+    pairs = blocking.candidate_pairs(weighed, MODEL, carry)
+    kept = scoring.reachable_pairs(pairs, fixed_params(s))
+    scored = scoring.score_pairs(comparing.comparison_vectors(kept, MODEL, carry), fixed_params(s))
+    return scored.select(
+        "id_l", "id_r", "n_pairs", F.round("match_weight", 6).alias("match_weight"),
+        F.round("match_probability", 5).alias("match_probability"),
+    )
+
+
 @query
 def assign_cluster_ids(s: SparkSession, d: str) -> DataFrame:
     dense = clustering.assign_cluster_ids(stage(s, d, "fixed_clusters"), dense=True)

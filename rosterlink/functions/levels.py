@@ -180,6 +180,19 @@ class LinkageModel:
         used += [k.column for rule in self.blocking for k in rule.keys]
         return list(dict.fromkeys(used))
 
+    @property
+    def training_rules(self) -> range:
+        """The first rules, up to the last that a training session blocks on: their pairs
+        hold every pair that a session looks at. All rules, if a session is not one."""
+        keys = [
+            frozenset(k.column for k in rule.keys) if not any(k.prefix for k in rule.keys) else None
+            for rule in self.blocking
+        ]
+        wanted = [frozenset(s) for s in self.sessions]
+        if not all(w in keys for w in wanted):
+            return range(1, len(keys) + 1)
+        return range(1, max(keys.index(w) for w in wanted) + 2)
+
     @property
     def gammas(self) -> list[str]:
         return [x.gamma for x in self.comparisons]

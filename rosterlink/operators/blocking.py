@@ -60,7 +60,9 @@ def collapse_profiles(records: DataFrame, model: LinkageModel = LinkageModel())
     )
 
 
-def _block_rows(profiles: DataFrame, rules: Sequence[BlockingRule], shard: str) -> DataFrame:
+def _block_rows(
+    profiles: DataFrame, rules: Sequence[BlockingRule], shard: str, only: Sequence[int]
+) -> DataFrame:
     """Each profile once per rule whose keys it has, with the digest of its block."""
     blocks = F.array(
         *[
@@ -72,6 +74,7 @@ def _block_rows(profiles: DataFrame, rules: Sequence[BlockingRule], shard: str)
                 ).alias("block"),
             )
             for number, rule in enumerate(rules, 1)
+            if number in only
         ]
     )
     return profiles.select("*", F.inline(blocks)).filter(F.col("block").isNotNull())
@@ -88,6 +91,7 @@ def block_pairs(
     model: LinkageModel = LinkageModel(),
     carry: Sequence[str] = (),
     pairs_per_cell: int = PAIRS_PER_CELL,
+    only: Sequence[int] | None = None,
 ) -> DataFrame:
     """Candidate pairs of profiles, each once, under the first rule that finds it.
 
@@ -95,11 +99,15 @@ def block_pairs(
     too is dropped right in the join, so pairs are never shuffled to remove doubles. A large
     block becomes a square grid: each profile belongs to one row and one column of it and is
     copied along them, so that every pair meets in one cell, and cells are spread over tasks.
-    ``carry`` names further profile columns to keep on the left side.
+    ``carry`` names further profile columns to keep on the left side; ``only`` gives the
+    numbers of the rules whose pairs are wanted.
     """
     rules = model.blocking
     rows = _block_rows(
-        profiles.select("id", "n", model.shard, *model.columns, *carry), rules, model.shard
+        profiles.select("id", "n", model.shard, *model.columns, *carry),
+        rules,
+        model.shard,
+        range(1, len(rules) + 1) if only is None else only,
     )
     sizes = rows.groupBy("match_rule", "block").agg(F.count(F.lit(1)).alias("k"))
     hot = (
@@ -173,7 +181,8 @@ def candidate_pairs(
 
 def block_size_report(profiles: DataFrame, model: LinkageModel = LinkageModel()) -> DataFrame:
     """Per rule, before any join: blocks, record pairs, pairs of profiles, largest block."""
-    rows = _block_rows(profiles, model.blocking, model.shard)
+    rules = model.blocking
+    rows = _block_rows(profiles, rules, model.shard, range(1, len(rules) + 1))
     blocks = rows.groupBy("match_rule", "block").agg(
         F.sum("n").alias("records"), F.count(F.lit(1)).alias("profiles")
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
-from rosterlink.functions.levels import LinkageModel
+from rosterlink.functions.levels import Comparison, Exact, LinkageModel
+
+SLACK = 1e-6  # bits, far above rounding of a sum of a few weights
 
 
 def _weights(params: DataFrame, model: LinkageModel) -> DataFrame:
@@ -28,6 +32,47 @@ def _weights(params: DataFrame, model: LinkageModel) -> DataFrame:
     )
 
 
+def _best_case(c: Comparison) -> Column:
+    """The most that a comparison can add before any similarity is known."""
+    missing = F.col(f"l_{c.column}").isNull() | F.col(f"r_{c.column}").isNull()
+    folded = F.when(missing, F.lit(0.0))
+    open_levels: list[Column] = []
+
+    def highest(own: Column) -> Column:
+        return F.greatest(*open_levels, own) if open_levels else own
+
+    for number, level in enumerate(c.levels):
+        weight = F.col(f"w_{c.gamma}_{number}")
+        if not isinstance(level, Exact):
+            open_levels.append(weight)
+            continue
+        if number == 0 and c.term_frequency:
+            weight = weight + F.log2(F.col(f"u_{c.gamma}") / F.col(f"tf_{c.column}"))
+        folded = folded.when(level.condition(), highest(weight))
+    return folded.otherwise(highest(F.col(f"w_{c.gamma}_{len(c.levels)}")))
+
+
+def reachable_pairs(
+    pairs: DataFrame,
+    params: DataFrame,
+    model: LinkageModel = LinkageModel(),
+    threshold: float = V.PAIR_THRESHOLD,
+) -> DataFrame:
+    """Drops the pairs that stay below the threshold however similar their texts are.
+
+    Equal and missing values settle most of a pair's weight without Python, so similarities
+    are worked out only where they can matter. No pair that ``score_pairs`` would keep is lost.
+    """
+    if threshold <= 0:
+        return pairs
+    best = F.col("w_prior")
+    for c in model.comparisons:
+        best = best + _best_case(c)
+    needed = math.log2(threshold / max(1 - threshold, 1e-300)) - SLACK
+    joined = pairs.join(F.broadcast(_weights(params, model)), model.shard)
+    return joined.filter(best >= needed).select(*pairs.columns)
+
+
 def score_pairs(
     vectors: DataFrame,
     params: DataFrame,

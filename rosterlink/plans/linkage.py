@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
 from rosterlink.functions.levels import LinkageModel
-from rosterlink.operators.blocking import candidate_pairs, collapse_profiles, shard_filter
+from rosterlink.operators.blocking import (
+    block_pairs,
+    collapse_profiles,
+    copy_pairs,
+    shard_filter,
+)
 from rosterlink.operators.clustering import connected_components
 from rosterlink.operators.comparing import (
     attach_term_frequencies,
@@ -18,7 +24,7 @@ from rosterlink.operators.comparing import (
 )
 from rosterlink.operators.lookups import lookup_join
 from rosterlink.operators.normalizing import add_stripped_name, blank_to_null
-from rosterlink.operators.scoring import score_pairs
+from rosterlink.operators.scoring import reachable_pairs, score_pairs
 from rosterlink.operators.training import gamma_patterns, train
 from rosterlink.sources.tables import materialize
 
@@ -58,15 +64,13 @@ def cluster_records(
     model: LinkageModel = LinkageModel(),
     threshold: float = V.CLUSTER_THRESHOLD,
 ) -> DataFrame:
-    """Carries the clusters of profiles over to their records.
+    """Carries the clusters of profiles over to their records; ``scored`` should be written.
 
     The copies of a profile belong together if the pair they form is likely enough, or if the
     profile is linked to another one, since then each copy is linked to that. Otherwise every
     copy is a cluster of its own.
     """
-    likely = materialize(
-        scored.filter(F.col("match_probability") >= threshold).select("id_l", "id_r"), "likely"
-    )
+    likely = scored.filter(F.col("match_probability") >= threshold)
     between = F.col("id_l") != F.col("id_r")
     edges = likely.filter(between).select(F.col("id_l").alias("a"), F.col("id_r").alias("b"))
     inside = likely.filter(~between).select(
@@ -102,6 +106,8 @@ def link_and_cluster(
 ) -> Linkage:
     """Block, compare, train (unless ``params`` are given), score and cluster.
 
+    Once there are parameters, pairs that cannot reach the pair threshold whatever their
+    similarity are dropped before it is worked out.
     ``df`` has a unique ``model.id``. Rows without a known label, and those of shards with
     fewer than two rows, take no part; ``keep_unclustered`` returns them with a null cluster.
     """
@@ -110,19 +116,35 @@ def link_and_cluster(
     profiles = materialize(collapse_profiles(linked, model), "profiles")
     weighed = materialize(attach_term_frequencies(profiles, model), "weighed")
     carry = tf_carried(model)
-    vectors = materialize(
-        comparison_vectors(candidate_pairs(weighed, model, carry), model, carry), "vectors"
-    )
+    parts = []
+    rest = list(range(1, len(model.blocking) + 1))
+    copies = copy_pairs(weighed, model, carry)
     if params is None:
-        patterns = gamma_patterns(vectors, model)
-        params = train(linked, profiles, patterns, model, recall, max_pairs)
-    scored = score_pairs(vectors, params, model, pair_threshold)
+        # Training looks only at pairs of the first rules; these are compared in full.
+        first = list(model.training_rules)
+        pairs = block_pairs(weighed, model, carry, only=first).unionByName(copies)
+        vectors = materialize(comparison_vectors(pairs, model, carry), "vectors")
+        params = materialize(
+            train(linked, profiles, gamma_patterns(vectors, model), model, recall, max_pairs),
+            "params",
+        )
+        parts.append(vectors)
+        rest = [r for r in rest if r not in first]
+        copies = None
+    if rest:
+        pairs = block_pairs(weighed, model, carry, only=rest)
+        pairs = pairs.unionByName(copies) if copies is not None else pairs
+        reachable = reachable_pairs(pairs, params, model, pair_threshold)
+        parts.append(comparison_vectors(reachable, model, carry))
+    scored = materialize(
+        score_pairs(reduce(DataFrame.unionByName, parts), params, model, pair_threshold), "scored"
+    )
     clusters = cluster_records(linked, profiles, scored, model, cluster_threshold)
     if keep_unclustered:
-        rest = records.join(
+        others = records.join(
             F.broadcast(linked.select(model.shard).distinct()), model.shard, "left_anti"
         )
         clusters = clusters.unionByName(
-            rest.withColumn("cluster_id", F.lit(None).cast("bigint")), allowMissingColumns=True
+            others.withColumn("cluster_id", F.lit(None).cast("bigint")), allowMissingColumns=True
         )
     return Linkage(clusters, params, scored, profiles)
