@@ -314,7 +314,7 @@ def digests(spark: SparkSession, path: str, text: str | Column) -> Column:
                 )
                 for ids in codec.encoded([x or "" for x in texts])
             ]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
 
     return bpe_digests(text)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe
+from rosterlink.llm import bpe, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,8 @@ def byte_vocabulary() -> str:
 @query
 def op1_bpe(s: SparkSession, d: str) -> DataFrame:
     return bpe.bpe_documents(table(s, d, "documents"), byte_vocabulary())
+
+
+@query
+def op10_toxicity(s: SparkSession, d: str) -> DataFrame:
+    return toxicity.grade_documents(table(s, d, "documents"), table(s, d, "labels"))
