@@ -31,11 +31,11 @@ from rosterlink.sources.tables import materialize
 
 GRADES = 3
 #: Labelled documents to learn from, about; features kept, those most telling.
-SAMPLE, FEATURES = 20_000, 2_000
+SAMPLE, FEATURES = 20_000, 4_000
 #: Lengths of word beginnings, which hold for the inflected forms of a word.
 BEGINNINGS = (4, 5, 6)
 #: Documents that must hold a feature, and least z-score of its log odds.
-LEAST_DOCUMENTS, LEAST_Z = 4, 4.0
+LEAST_DOCUMENTS, LEAST_Z = 5, 2.5
 CACHED_WORDS = 200_000
 
 
@@ -162,7 +162,7 @@ def grades_of(toxic: np.ndarray, markers: np.ndarray, grades: int = GRADES) -> n
 
 def fit_cumulative_link(
     rows: np.ndarray, at: np.ndarray, values: np.ndarray, grade: np.ndarray, width: int,
-    penalty: float = 1e-6, steps: int = 500, rate: float = 0.1,
+    penalty: float = 3e-5, steps: int = 800, rate: float = 0.1,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts by gradient steps on the penalised likelihood of sparse rows.
 
@@ -232,7 +232,7 @@ def severity(model: OrdinalModel, text: str | Column) -> Column:
             for i, text in enumerate(texts):
                 words = distinct_words(text)
                 words_in[i] = bool(words)
-                for word in words - known.keys():
+                for word in words.difference(known):
                     known[word] = sum(model.weights.get(f, 0.0) for f in word_features(word))
                 scores[i] = math.fsum(map(known.__getitem__, words))
                 if len(known) > CACHED_WORDS:
