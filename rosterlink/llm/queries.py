@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, toxicity
+from rosterlink.llm import bpe, line_dedup, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,11 @@ def op1_bpe(s: SparkSession, d: str) -> DataFrame:
 @query
 def op10_toxicity(s: SparkSession, d: str) -> DataFrame:
     return toxicity.grade_documents(table(s, d, "documents"), table(s, d, "labels"))
+
+
+@query
+def op5_line_dedup(s: SparkSession, d: str) -> DataFrame:
+    return line_dedup.line_report(table(s, d, "documents"))
+
+
+ORACLE["op5_line_dedup"] = line_dedup.sql()
