@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, line_dedup, toxicity
+from rosterlink.llm import bpe, line_dedup, order_minhash, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,8 @@ def op5_line_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op5_line_dedup"] = line_dedup.sql()
+
+
+@query
+def op6_order_minhash(s: SparkSession, d: str) -> DataFrame:
+    return order_minhash.duplicate_classes(table(s, d, "documents"))
