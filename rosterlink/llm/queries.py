@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, line_dedup, order_minhash, toxicity
+from rosterlink.llm import bpe, decontamination, line_dedup, order_minhash, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,8 @@ ORACLE["op5_line_dedup"] = line_dedup.sql()
 @query
 def op6_order_minhash(s: SparkSession, d: str) -> DataFrame:
     return order_minhash.duplicate_classes(table(s, d, "documents"))
+
+
+@query
+def op8_decontamination(s: SparkSession, d: str) -> DataFrame:
+    return decontamination.find_leaks(table(s, d, "documents"), table(s, d, "benchmark"))
