@@ -37,31 +37,29 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[ \t\n\f\r]+"), lambda w: w != ""))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Each different text once, under the first document that has it: ``text_id, text``.
-
-    ``text_id`` is (document id, digest), which orders texts by their first document.
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Each different text once: its digest, the first document that has it, and by line a
+    digest and the number of words. Lines are hashed before rows are moved.
     """
-    return docs.filter(F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text"
+    lines = _lines("text")
+    hashed = docs.filter(F.col("text").isNotNull()).select(
+        F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc"),
+        F.unhex(F.md5("text")).alias("digest"),
+        F.transform(lines, lambda t: F.unhex(F.md5(t))).alias("ids"),
+        F.transform(lines, lambda t: F.least(_words(t), F.lit(32_767)).cast("short")).alias("words"),
+    )
+    return hashed.groupBy("digest").agg(
+        F.min("doc")["doc_id"].alias("doc_id"), F.first("ids").alias("ids"),
+        F.first("words").alias("words"),
     )
 
 
-def _first_copies(docs: DataFrame) -> DataFrame:
-    """By digest of a text, the first document that has it."""
-    return _texts(docs).groupBy("digest").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-
-
-def line_positions(docs: DataFrame) -> DataFrame:
-    """``at`` (text and line number), a line id and the number of words, first copies only."""
-    own = F.struct("doc_id", "digest")
-    first = _first_copies(docs).select("first")
-    texts = _texts(docs).dropDuplicates(["doc_id", "digest"]).join(
-        first, own.eqNullSafe(F.col("first")), "left_semi"
+def line_positions(texts: DataFrame) -> DataFrame:
+    """``doc_id, digest, line``, a line id and the number of words; ``texts`` are distinct."""
+    lines = texts.select(
+        "doc_id", "digest", F.posexplode(F.arrays_zip("ids", "words")).alias("line", "x")
     )
-    lines = texts.select("doc_id", "digest", F.posexplode(_lines("text")).alias("line", "t"))
-    words = F.least(_words(F.col("t")), F.lit(32_767)).cast("short").alias("words")
-    return lines.select("doc_id", "digest", "line", F.md5("t").alias("line_id"), words)
+    return lines.select("doc_id", "digest", "line", F.col("x.ids").alias("line_id"), F.col("x.words").alias("words"))
 
 
 def _named(level: DataFrame, key: list[str]) -> DataFrame:
@@ -71,14 +69,14 @@ def _named(level: DataFrame, key: list[str]) -> DataFrame:
     return level.join(groups.filter("n > 1"), key).drop(*key, "n")
 
 
-def copied_suffixes(docs: DataFrame) -> list[DataFrame]:
+def copied_suffixes(texts: DataFrame) -> list[DataFrame]:
     """By level k, the suffixes whose first 2^k lines occur more than once, each with a name.
 
     Columns ``doc_id, digest, line, words, name``. Each level is written out, which ends the
     lineage of the rounds in something that outlives an executor.
     """
     named, seen = materialize_observed(
-        _named(line_positions(docs), ["line_id"]), "lines-0", any=F.max(F.lit(1))
+        _named(line_positions(texts), ["line_id"]), "lines-0", any=F.max(F.lit(1))
     )
     levels: list[DataFrame] = []
     while seen["any"] is not None:
@@ -129,7 +127,7 @@ def repeated_runs(levels: list[DataFrame]) -> DataFrame:
 
 
 def deleted_lines(levels: list[DataFrame], min_words: int, min_lines: int) -> DataFrame:
-    """``doc_id, digest, lines``: the numbers of the lines that go, in ascending order."""
+    """``digest, gone``: the numbers of the lines of a text that go, in ascending order."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     at, needed = F.struct("doc_id", "digest", "line"), min_lines.bit_length() - 1
@@ -149,7 +147,7 @@ def deleted_lines(levels: list[DataFrame], min_words: int, min_lines: int) -> Da
         text.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     gone = best.withColumn("reach", reach).filter("worth = 1 or reach > line")
-    return gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return gone.groupBy("digest").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def _gone(lines: str) -> Column:
@@ -170,29 +168,20 @@ def dedup_lines(
 
     Columns of these two names are replaced if the input has them.
     """
-    levels = copied_suffixes(docs)
-    firsts = _first_copies(docs)
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
-    rest = [c for c in docs.columns if c not in ("text", "lines", "lines_deleted")]
-    whole = docs.select(*rest, "text", F.md5("text").alias("_digest"), key.alias("_key"))
-    firsts = firsts.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"))
-    joined = whole.join(firsts, "_digest", "left")
+    texts = materialize(distinct_texts(docs.select("doc_id", "text")), "texts")
+    levels = copied_suffixes(texts)
+    known = texts.select("digest", F.struct("doc_id").alias("_first"))
     if levels:
-        gone = deleted_lines(levels, min_words, min_lines).select(
-            F.struct("doc_id", "digest").alias("_first"), F.col("lines").alias("_lines")
-        )
-        # Only first copies differ by line; the text of later copies goes by its own rule.
-        joined = joined.join(
-            gone.withColumnsRenamed({"_first": "_of"}),
-            F.col("_key").eqNullSafe(F.col("_of")), "left",
-        ).drop("_of")
+        known = known.join(deleted_lines(levels, min_words, min_lines), "digest", "left")
     else:
-        joined = joined.withColumn("_lines", F.lit(None).cast("array<int>"))
+        known = known.withColumn("gone", F.lit(None).cast("array<int>"))
+    known = known.withColumnsRenamed({"digest": "_digest", "gone": "_lines"})
+    rest = [c for c in docs.columns if c not in ("text", "lines", "lines_deleted")]
+    whole = docs.select(*rest, "text", F.unhex(F.md5("text")).alias("_digest"))
+    joined = whole.join(known, "_digest", "left")
     lines = _lines("text")
-    later = F.col("_key") != F.col("_first")
-    copied = F.transform(
-        lines, lambda t: F.lit(False) if min_words < 0 else _words(t) >= min_words
-    )
+    later = F.struct(F.col("doc_id").cast("long").alias("doc_id")) != F.col("_first")
+    copied = F.transform(lines, lambda t: _words(t) >= min_words)
     all_gone = F.transform(lines, lambda t: F.lit(True))
     gone = (
         F.when(later & (F.size(lines) >= min_lines), all_gone)
