@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, decontamination, line_dedup, order_minhash, toxicity
+from rosterlink.llm import bpe, decontamination, line_dedup, order_minhash, secret_scan, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,8 @@ def op6_order_minhash(s: SparkSession, d: str) -> DataFrame:
 @query
 def op8_decontamination(s: SparkSession, d: str) -> DataFrame:
     return decontamination.find_leaks(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+@query
+def op7_secret_scan(s: SparkSession, d: str) -> DataFrame:
+    return secret_scan.find_secrets(table(s, d, "documents"))
