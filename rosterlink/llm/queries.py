@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, decontamination, line_dedup, order_minhash, secret_scan, toxicity
+from rosterlink.llm import bpe, decontamination, language_id, line_dedup, order_minhash, secret_scan, toxicity
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,8 @@ def op8_decontamination(s: SparkSession, d: str) -> DataFrame:
 @query
 def op7_secret_scan(s: SparkSession, d: str) -> DataFrame:
     return secret_scan.find_secrets(table(s, d, "documents"))
+
+
+@query
+def op3_language_id(s: SparkSession, d: str) -> DataFrame:
+    return language_id.predict_documents(table(s, d, "documents"))
