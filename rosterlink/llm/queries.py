@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlink.llm import bpe, decontamination, language_id, line_dedup, order_minhash, secret_scan, toxicity
+from rosterlink.llm import (
+    bpe,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    line_dedup,
+    order_minhash,
+    secret_scan,
+    toxicity,
+)
 from rosterlink.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +70,11 @@ def op7_secret_scan(s: SparkSession, d: str) -> DataFrame:
 @query
 def op3_language_id(s: SparkSession, d: str) -> DataFrame:
     return language_id.predict_documents(table(s, d, "documents"))
+
+
+@query
+def op2_embedding_dedup(s: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(s, d, "embeddings"))
+
+
+ORACLE["op2_embedding_dedup"] = embedding_dedup.SQL
