@@ -15,6 +15,7 @@ from rosterlink.llm import (
     order_minhash,
     secret_scan,
     toxicity,
+    url_filter,
 )
 from rosterlink.llm.common import table
 
@@ -78,3 +79,13 @@ def op2_embedding_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op2_embedding_dedup"] = embedding_dedup.SQL
+
+
+@query
+def op9_url_filter(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "pages", "page_id", "url")
+    entries = url_filter.event_entries(table(s, d, "events"), pages)
+    return url_filter.judge(url_filter.page_captures(pages), entries)
+
+
+ORACLE["op9_url_filter"] = url_filter.SQL
