@@ -63,10 +63,15 @@ def line_positions(texts: DataFrame) -> DataFrame:
 
 
 def _named(level: DataFrame, key: list[str]) -> DataFrame:
-    """Suffixes whose key others share, with the first of their positions as their name."""
+    """Suffixes whose key others share, with the first of their positions as their name.
+
+    The shared keys are written before the join, so that both sides of it are dealt out for
+    the join alone and a key with very many rows can be split.
+    """
     at = F.struct("doc_id", "digest", "line")
     groups = level.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("name"))
-    return level.join(groups.filter("n > 1"), key).drop(*key, "n")
+    shared = materialize(groups.filter("n > 1"), "shared-lines")
+    return level.join(shared, key).drop(*key, "n")
 
 
 def copied_suffixes(texts: DataFrame) -> list[DataFrame]:
