@@ -12,6 +12,7 @@ from rosterlink.llm import (
     embedding_dedup,
     language_id,
     line_dedup,
+    lm_scoring,
     order_minhash,
     secret_scan,
     toxicity,
@@ -89,3 +90,9 @@ def op9_url_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op9_url_filter"] = url_filter.SQL
+
+
+@query
+def op4_lm_scoring(s: SparkSession, d: str) -> DataFrame:
+    good = table(s, d, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.score_documents(table(s, d, "documents"), good)
