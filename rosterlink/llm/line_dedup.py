@@ -216,6 +216,18 @@ def dedup_lines(
     )
 
 
+def drop_copied_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text that is left; documents that lose every line go.
+
+    A column ``n_chars`` is set to the length of the new text.
+    """
+    left = dedup_lines(docs.drop("lines", "lines_deleted"))
+    kept = left.filter("lines_deleted = 0 or lines_deleted < lines").drop("lines", "lines_deleted")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[c for c in docs.columns if c in kept.columns])
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per document: lines, lines deleted, and a digest of the text that is left."""
     left = dedup_lines(docs.select("doc_id", "text"))

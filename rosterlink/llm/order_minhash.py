@@ -254,3 +254,9 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     return signed.join(classes, "text_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")
     )
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, the one with the least id. Null ids stay."""
+    copies = duplicate_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_copy"))
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")

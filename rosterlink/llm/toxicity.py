@@ -249,3 +249,10 @@ def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = fit(docs, labels, sample)
     scored = docs.select("doc_id", severity(model, F.col("text")).alias("s"))
     return scored.select("doc_id", "s.*", (F.col("s.p_toxic") >= 0.5).alias("toxic"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the documents that are more likely toxic than not."""
+    model = fit(docs.select("doc_id", "text"), labels, sample)
+    scored = docs.withColumn("_toxicity", severity(model, F.col("text")))
+    return scored.filter(F.col("_toxicity.p_toxic") < 0.5).drop("_toxicity")
