@@ -145,13 +145,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovRatio | None:
     return MarkovRatio.of(sums["random"], sums["ordinary"])
 
 
-#: Ordinary identifiers: words of a text in the same characters.
+#: Ordinary identifiers: words of a text in the same characters, candidates left out.
 PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9_/-]{7,}")
 
 
 def plain_tokens(text: str, covered: list[tuple[int, int]]) -> Iterator[str]:
     for m in PLAIN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in covered):
+        candidate = len(m[0]) >= 16 and MIXED.search(m[0])
+        if not candidate and not any(a < m.end() and m.start() < b for a, b in covered):
             yield m[0]
 
 
