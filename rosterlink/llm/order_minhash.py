@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: misses all sketches with a chance below 1e-5, one that agrees to 0.5 with one of 1 in 25.
 SKETCHES, KEPT = 24, 3
 CACHED_WORDS = 200_000
+#: K-mers times sketches that are ranked at once; an odd factor that spreads bits.
+MATRIX, SPREAD = 1 << 20, np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,27 +74,34 @@ def kmers(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(out + label * np.uint64(0x9E3779B97F4A7C15), 11)
 
 
-def sketches(found: np.ndarray, number: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
-    """Hashes of the least k-mers in text order, one for each sketch."""
-    out = np.empty(number, np.uint64)
-    for s in range(number):
-        ranked = mix(found, 1000 + s)
-        if len(ranked) > kept:
-            best = np.sort(np.argpartition(ranked, kept - 1)[:kept])
+def sketches(found: np.ndarray, seeds: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """Hashes of the least k-mers in text order, one for each seed."""
+    out = []
+    rows = max(1, MATRIX // len(found))
+    for i in range(0, len(seeds), rows):
+        ranked = (found[None, :] ^ seeds[i : i + rows, None]) * SPREAD
+        ranked ^= ranked >> np.uint64(32)
+        ranked *= SPREAD
+        if len(found) > kept:
+            best = np.sort(np.argpartition(ranked, kept - 1, axis=1)[:, :kept], axis=1)
         else:
-            best = np.arange(len(ranked))
-        value = np.zeros(1, np.uint64)
-        for i in best:
-            value = mix(value * np.uint64(31) + found[i : i + 1], 13)
-        out[s] = mix(value, 5000 + s)[0]
-    return out
+            best = np.broadcast_to(np.arange(len(found)), (len(ranked), len(found)))
+        value = np.zeros(len(ranked), np.uint64)
+        for k in range(best.shape[1]):
+            value = mix(value * np.uint64(31) + found[best[:, k]], 13)
+        out.append(value ^ seeds[i : i + rows])
+    return np.concatenate(out)
+
+
+def sketch_seeds(number: int = SKETCHES) -> np.ndarray:
+    return mix(np.arange(number, dtype=np.uint64), 5_000)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, text_id, n, keys``; a text without words has null ``text_id`` and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
+        hashed, seeds = WordHashes(), sketch_seeds()
         for batch in batches:
             ids, numbers, keys = [], [], []
             for value in batch["text"]:
@@ -100,7 +109,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 numbers.append(len(words))
                 ids.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
                 if words:
-                    keys.append(sketches(kmers(hashed.of(words))).view(np.int64))
+                    keys.append(sketches(kmers(hashed.of(words)), seeds).view(np.int64))
                 else:
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
