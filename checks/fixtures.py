@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 BASE_TABLES = ["orders", "customer", "nation", "region", "part"]
 
 GRANTS_SQL = """
-WITH b AS (
+WITH q AS (SELECT *, o_custkey % (SELECT count(*) FROM {part}) AS pk FROM {orders}),
+b AS (
  SELECT o.o_orderkey AS gid, o.o_custkey AS ck, o.o_totalprice AS amt, o.o_orderpriority AS prio, o.o_orderdate AS dt,
         n.n_name AS nname, r.r_name AS rname, p.p_name AS pname,
         substr(translate(md5(cast(o.o_custkey AS string)),'0123456789abcdef','bcdfglmnprstaeio'),1,7) AS w1,
         substr(translate(md5(cast(o.o_custkey AS string)),'0123456789abcdef','bcdfglmnprstaeio'),9,5) AS w2
- FROM {orders} o JOIN {customer} c ON o.o_custkey=c.c_custkey JOIN {nation} n ON c.c_nationkey=n.n_nationkey
- JOIN {region} r ON n.n_regionkey=r.r_regionkey JOIN {part} p ON p.p_partkey = o.o_custkey % 200
- WHERE p.p_partkey BETWEEN 0 AND 199),
+ FROM q o JOIN {customer} c ON o.o_custkey=c.c_custkey JOIN {nation} n ON c.c_nationkey=n.n_nationkey
+ JOIN {region} r ON n.n_regionkey=r.r_regionkey JOIN {part} p ON p.p_partkey = o.pk),
 e AS (SELECT b.*, CASE ck % 10 WHEN 0 THEN concat('University of ',w1) WHEN 1 THEN concat(w1,' ',w2,' Society')
   WHEN 2 THEN concat(w1,' ',pname,' Inc.') WHEN 3 THEN concat(w1,' ',w2,' Ltée.') WHEN 4 THEN concat('Town of ',w1)
   WHEN 5 THEN concat(w1,' First Nation') WHEN 6 THEN concat(w1,', ',w2) WHEN 7 THEN concat('Canadian ',w1,' Association')
@@ -44,7 +44,9 @@ FROM e
 
 
 def grants(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of the orders table as grants; ``part`` has 200 rows here by its key range."""
+    """All rows of the orders table as grants; a customer's part is found by their number modulo
+    the number of parts, whose keys count from 0.
+    """
     tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in BASE_TABLES}
     return spark.sql(GRANTS_SQL, **tables)
 

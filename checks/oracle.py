@@ -7,7 +7,7 @@ library but its word lists and test values is used.
 from __future__ import annotations
 
 from checks.fixed import CUSTOM, EXACT, NAME, PRIOR, VERDICT_SQL
-from rosterlink.fixtures import grants_sql
+from checks.fixtures import grants_sql
 from rosterlink.functions import vocabulary as V
 
 ORACLE: dict[str, str] = {}
@@ -564,7 +564,7 @@ add_prompts(
 )
 add(
     "verdict_cache", "verdicts",
-    f"SELECT *, CASE WHEN {NM} < 'm' THEN 'before' ELSE 'now' END AS scored FROM verdicts",
+    f"SELECT *, CASE WHEN {NM} < 'm' AND llm_result_json IS NOT NULL THEN 'before' ELSE 'now' END AS scored FROM verdicts",
 )
 add("parse_verdicts", "parsed", "SELECT * FROM parsed")
 add(

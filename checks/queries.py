@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixed import LEVEL_VALUES, PRIOR, VERDICT_SQL, fixed_params
-from rosterlink.fixtures import grants
+from checks.fixtures import grants
 from rosterlink.functions import text
 from rosterlink.functions import vocabulary as V
 from rosterlink.functions.levels import LinkageModel
@@ -447,7 +447,8 @@ def score_batches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def verdict_cache(s: SparkSession, d: str) -> DataFrame:
-    """The cache holds the names that begin in the first half of the alphabet."""
+    """The cache holds the names that begin in the first half of the alphabet; those of them
+    without an answer are asked again."""
     verdicts = _verdicts(s, d)
     cache = verdicts.filter(F.col(NM) < "m").withColumn("scored", F.lit("before"))
     fresh = F.expr(VERDICT_SQL.format(nm=NM)).alias("llm_result_json")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from rosterlink.functions.levels import BlockingRule, LinkageModel
 from rosterlink.sources.tables import materialize
 
-HOT_BLOCKS = 500_000  # rows of three numbers, some 30 MB when broadcast
 PAIRS_PER_CELL = 2_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its low 33 bits
 
@@ -110,15 +109,14 @@ def block_pairs(
         range(1, len(rules) + 1) if only is None else only,
     )
     sizes = rows.groupBy("match_rule", "block").agg(F.count(F.lit(1)).alias("k"))
-    hot = (
-        sizes.withColumn("grid", F.ceil(F.col("k") / F.lit(pairs_per_cell**0.5)).cast("int"))
-        .filter(F.col("grid") > 1)
-        .orderBy(F.desc("k"), "match_rule", "block")
-        .limit(HOT_BLOCKS)
-        .select("match_rule", "block", "grid")
-    )
-    rows = rows.join(F.broadcast(hot), ["match_rule", "block"], "left")
-    grid = F.coalesce("grid", F.lit(1))
+    # A block of one profile has no pair, so its rows go no further.
+    grids = sizes.filter(F.col("k") > 1).select(
+        "match_rule",
+        "block",
+        F.ceil(F.col("k") / F.lit(pairs_per_cell**0.5)).cast("int").alias("grid"),
+    )
+    rows = rows.join(grids, ["match_rule", "block"])
+    grid = F.col("grid")
     own = F.pmod(F.xxhash64("id"), grid).cast("int")
     along = F.explode(F.sequence(F.lit(0), grid - F.lit(1)))
     left = rows.withColumn("cell_l", own).withColumn("cell_r", along).drop("grid")

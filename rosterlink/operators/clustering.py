@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
 from rosterlink.operators.blocking import with_unique_id
-from rosterlink.operators.lookups import HOT_KEYS, HOT_ROWS, lookup_join
+from rosterlink.operators.lookups import lookup_join
 from rosterlink.operators.profiling import percent
-from rosterlink.sources.tables import materialize, materialize_observed
+from rosterlink.sources.tables import materialize_observed
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -22,76 +22,44 @@ def _undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(
-    edges: DataFrame, clean: bool = False, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
-) -> DataFrame:
+def connected_components(edges: DataFrame, clean: bool = False) -> DataFrame:
     """``(node, component)`` for every node of an edge table ``(a, b)``; the component is
     its least node.
 
-    Each round every node steps to the neighbour with the least digest, itself included,
-    and edges are redrawn between the nodes stepped to. The digest changes by round, so
-    paths shrink by a constant factor whatever the ids are. What is left gets smaller each
-    round; the steps are then replayed backwards. Steps and edges are written out in each
-    round. ``clean`` says that the edges are written already, once each and without loops.
+    Each round every node links its larger neighbours to the least node it knows, then its
+    smaller neighbours and itself; what is left in the end are stars around least nodes. A
+    node's neighbours are only reduced to a least value and joined back, so a node with very
+    many of them is no burden. Each round is written out; one that changes nothing is the
+    last. ``clean`` says that the edges hold each pair once, without loops.
     """
-    sizes = {"hot_rows": hot_rows, "hot_keys": hot_keys}
-    steps: list[tuple[DataFrame, int]] = []
-    live = edges.select("a", "b") if clean else materialize(_undirected(edges), "edges")
-    while True:
-        number = len(steps)
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    pairs = edges.select("a", "b") if clean else _undirected(edges)
+    ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    live, seen = materialize_observed(ordered, "edges", sum=checksum, n=F.count(F.lit(1)))
+    while seen["n"]:
+        before = seen
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy(F.col("a").alias("node")).agg(
-            F.min(F.struct(F.xxhash64("b", F.lit(number)).alias("h"), F.col("b").alias("to"))).alias(
-                "best"
-            ),
-            F.count(F.lit(1)).alias("degree"),
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = least.select("a", F.least("a", "m").alias("m"))
+        large = (
+            live.select(F.col("a").alias("v"), F.col("b").alias("a"))
+            .join(least, "a")
+            .filter(F.col("v") != F.col("m"))
+            .select(F.col("v").alias("a"), F.col("m").alias("b"))
+            .distinct()
         )
-        own = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("to"))
-        step, seen = materialize_observed(
-            nearest.select("node", F.least("best", own)["to"].alias("to"), "degree"),
-            "steps",
-            heaviest=F.max("degree"),
+        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        small = large.join(own, "a").select(moved.alias("a"), F.col("m").alias("b"))
+        live, seen = materialize_observed(
+            small.filter(F.col("a") != F.col("b")).distinct(),
+            "edges", sum=checksum, n=F.count(F.lit(1)),
         )
-        if seen["heaviest"] is None:
-            break
-        heaviest = seen["heaviest"]
-        steps.append((step, heaviest))
-        for side, other in (("a", "b"), ("b", "a")):
-            moved = step.select(F.col("node").alias(side), F.col("to").alias("_to"), "degree")
-            live = (
-                lookup_join(
-                    live, moved, [side], other, weight="degree", heaviest=heaviest, **sizes
-                )
-                .drop(side)
-                .withColumnRenamed("_to", side)
-            )
-        live, seen = materialize_observed(_undirected(live), "edges", any=F.max(F.lit(1)))
-        if seen["any"] is None:
+        if seen == before:
             break
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    last, _ = steps[-1]
-    roots = last.select("node", F.col("to").alias("root"))
-    for step, heaviest in reversed(steps[:-1]):
-        later = roots.select(F.col("node").alias("to"), "root")
-        # Only neighbours step to a node, and itself.
-        joined = lookup_join(
-            step.select("node", "to"), later, ["to"], "node", heaviest=heaviest + 1, **sizes
-        )
-        roots = joined.select("node", F.coalesce("root", "to").alias("root"))
-        if heaviest >= hot_rows:
-            roots = materialize(roots, "roots")
-    roots = materialize(roots, "roots")
-    least, seen = materialize_observed(
-        roots.groupBy("root").agg(
-            F.min("node").alias("component"), F.count(F.lit(1)).alias("size")
-        ),
-        "least",
-        heaviest=F.max("size"),
-    )
-    return lookup_join(
-        roots, least, ["root"], "node", weight="size", heaviest=seen["heaviest"], **sizes
-    ).select("node", "component")
+    stars = live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    centres = live.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return stars.unionByName(centres)
 
 
 def cluster_pairs(
@@ -99,15 +67,13 @@ def cluster_pairs(
     nodes: DataFrame,
     threshold: float = V.CLUSTER_THRESHOLD,
     id: str = "id",
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Cluster of every node over the pairs at or above the threshold; the cluster id is the
     least node id, and a node without such a pair is a cluster of its own."""
     edges = pairs.filter(F.col("match_probability") >= threshold).select(
         F.col("id_l").alias("a"), F.col("id_r").alias("b")
     )
-    members = connected_components(edges, hot_rows=hot_rows, hot_keys=hot_keys)
+    members = connected_components(edges)
     return nodes.join(members.withColumnRenamed("node", id), id, "left").select(
         *nodes.columns, F.coalesce("component", id).alias("cluster_id")
     )
@@ -119,11 +85,10 @@ def assign_cluster_ids(clusters: DataFrame, dense: bool = False) -> DataFrame:
     if not dense:
         return clusters
     numbered = with_unique_id(
-        clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_size")).orderBy("cluster_id"),
-        name="_dense",
+        clusters.select("cluster_id").distinct().orderBy("cluster_id"), name="_dense"
     )
     return (
-        lookup_join(clusters, numbered, ["cluster_id"], "unique_id", weight="_size")
+        lookup_join(clusters, numbered, ["cluster_id"])
         .drop("cluster_id")
         .withColumnRenamed("_dense", "cluster_id")
     )

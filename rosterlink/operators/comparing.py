@@ -58,13 +58,13 @@ def term_frequencies(
 
 
 def attach_term_frequencies(
-    profiles: DataFrame, model: LinkageModel = LinkageModel(), **sizes: int
+    profiles: DataFrame, model: LinkageModel = LinkageModel()
 ) -> DataFrame:
     """Adds ``tf_`` columns while there is one row per profile, not one per pair."""
     weighed = profiles
     for c in model.tf_columns:
         tf = term_frequencies(profiles, c, model)
-        weighed = lookup_join(weighed, tf, [model.shard, c], "id", weight="k", **sizes)
+        weighed = lookup_join(weighed, tf.drop("k"), [model.shard, c])
     return weighed
 
 

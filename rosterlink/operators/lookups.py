@@ -1,80 +1,18 @@
-"""Left join to a table with unique keys that stays even when some keys are very frequent."""
+"""Left join to a table that holds each key once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-HOT_KEYS = 1_000
-HOT_ROWS = 100_000
 
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df LEFT JOIN lookup``: the columns of ``df``, then the further ones of ``lookup``.
 
-def frequent_keys(
-    df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS
-) -> DataFrame:
-    """At most ``hot_keys`` keys held by more than ``hot_rows`` rows, most frequent first.
-
-    A key left out by the limit is in fewer than 1/hot_keys of all rows.
-    """
-    counts = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counts.filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(hot_keys)
-        .select(*on)
-    )
-
-
-def lookup_join(
-    df: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    row_id: str,
-    weight: str | None = None,
-    heaviest: int | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
-    """``df LEFT JOIN lookup`` where ``lookup`` holds each key once and is cheap to read twice.
-
-    The few most frequent keys (never more than ``hot_keys``) are answered by a broadcast.
-    Their rows, and rows with a null key, then take no part in the key match, so they are
-    spread by ``row_id`` in the shuffle that serves all other rows. ``weight`` names a lookup
-    column holding how many rows of ``df`` have the key; without it they are counted. Where
-    the caller knows that no key has more than ``heaviest`` rows, a plain join may do.
+    A plain join on purpose: both sides are dealt out for this join alone, so adaptive
+    execution sees a key with very many rows and splits it, or broadcasts a lookup that
+    turns out small.
     """
-    on = list(on)
-    values = [c for c in lookup.columns if c not in on and c != weight]
-    if heaviest is not None and heaviest <= hot_rows:
-        return df.join(lookup.select(*on, *values), on, "left").select(*df.columns, *values)
-    payload = F.struct(F.lit(True).alias("_found"), *values)
-    if weight is None:
-        hot = lookup.join(F.broadcast(frequent_keys(df, on, hot_rows, hot_keys)), on, "left_semi")
-    else:
-        hot = (
-            lookup.filter(F.col(weight) > hot_rows)
-            .orderBy(F.desc(weight), *on)
-            .limit(hot_keys)
-        )
-    hot = hot.select(*on, payload.alias("_hot"))
-    spread = df.join(F.broadcast(hot), on, "left")
-
-    aside = F.col("_hot").isNotNull()
-    no_match = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on], aside)
-    left = spread.select(
-        *df.columns,
-        "_hot",
-        *[F.when(~aside, F.col(c)).alias(f"_k_{c}") for c in on],
-        F.when(no_match, F.xxhash64(row_id)).otherwise(F.lit(0).cast("bigint")).alias("_spread"),
-    )
-    right = lookup.select(
-        *[F.col(c).alias(f"_k_{c}") for c in on],
-        F.lit(0).cast("bigint").alias("_spread"),
-        payload.alias("_cold"),
-    )
-    joined = left.join(right, [f"_k_{c}" for c in on] + ["_spread"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*df.columns, *[found.getField(v).alias(v) for v in values])
+    values = [c for c in lookup.columns if c not in on]
+    return df.join(lookup, list(on), "left").select(*df.columns, *values)

@@ -32,6 +32,14 @@ def _weights(params: DataFrame, model: LinkageModel) -> DataFrame:
     )
 
 
+def _known(weight: Column, model: LinkageModel) -> Column:
+    """The weight; a pair whose shard or level the parameters lack fails the query, since it
+    would be lost without a word otherwise.
+    """
+    told = F.concat(F.lit("no parameters for a pair of shard "), F.col(model.shard))
+    return F.when(weight.isNull(), F.raise_error(told).cast("double")).otherwise(weight)
+
+
 def _best_case(c: Comparison) -> Column:
     """The most that a comparison can add before any similarity is known."""
     missing = F.col(f"l_{c.column}").isNull() | F.col(f"r_{c.column}").isNull()
@@ -69,8 +77,8 @@ def reachable_pairs(
     for c in model.comparisons:
         best = best + _best_case(c)
     needed = math.log2(threshold / max(1 - threshold, 1e-300)) - SLACK
-    joined = pairs.join(F.broadcast(_weights(params, model)), model.shard)
-    return joined.filter(best >= needed).select(*pairs.columns)
+    joined = pairs.join(F.broadcast(_weights(params, model)), model.shard, "left")
+    return joined.filter(_known(best, model) >= needed).select(*pairs.columns)
 
 
 def score_pairs(
@@ -93,9 +101,9 @@ def score_pairs(
         if c.term_frequency:
             rarity = F.log2(F.col(f"u_{c.gamma}") / F.col(f"tf_{c.column}"))
             weight = weight + F.when(F.col(c.gamma) == 0, rarity).otherwise(F.lit(0.0))
-    joined = vectors.join(F.broadcast(_weights(params, model)), model.shard)
+    joined = vectors.join(F.broadcast(_weights(params, model)), model.shard, "left")
     scored = joined.select(
-        *vectors.columns, weight.alias("match_weight")
+        *vectors.columns, _known(weight, model).alias("match_weight")
     ).withColumn(
         "match_probability", 1.0 / (1.0 + F.pow(F.lit(2.0), -F.col("match_weight")))
     )

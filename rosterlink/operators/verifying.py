@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
-from rosterlink.operators.lookups import lookup_join
 from rosterlink.operators.profiling import matches_any, percent, present
 
 NULL_LABEL = "(null)"
@@ -104,8 +103,8 @@ def largest_clusters(clusters: DataFrame, k: int = 20) -> DataFrame:
 
 
 def _members(df: DataFrame, chosen: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    """Rows of a handful of chosen clusters (a top-k list, so it has k rows)."""
-    rows = df.join(F.broadcast(chosen.select("cluster_id")), "cluster_id", "left_semi")
+    """Rows of the chosen clusters."""
+    rows = df.join(chosen.select("cluster_id"), "cluster_id", "left_semi")
     return rows.select(*present(df, columns)) if columns else rows
 
 
@@ -184,13 +183,8 @@ def entity_search(
     """All rows of every cluster that has a matching row."""
     if not term.strip():
         raise ValueError("give a name or part of a name to search for")
-    sizes = cluster_sizes(df)
-    hits = matched_clusters(df, term, columns, regex).join(sizes, "cluster_id")
-    return (
-        lookup_join(df, hits, ["cluster_id"], id, weight="size")
-        .filter(F.col("matches").isNotNull())
-        .drop("matches")
-    )
+    hits = matched_clusters(df, term, columns, regex).select("cluster_id")
+    return df.join(hits, "cluster_id", "left_semi").select(*df.columns)
 
 
 def search_counts(

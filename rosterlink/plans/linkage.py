@@ -82,13 +82,11 @@ def cluster_records(
     labelled = materialize(
         with_profile_key(profiles, model)
         .join(members, "id")
-        .select(*PROFILE_KEY, "_linked", F.col("n").alias("_copies")),
+        .select(*PROFILE_KEY, "_linked"),
         "labelled",
     )
     return (
-        lookup_join(
-            with_profile_key(records, model), labelled, PROFILE_KEY, model.id, weight="_copies"
-        )
+        lookup_join(with_profile_key(records, model), labelled, PROFILE_KEY)
         .withColumn("cluster_id", F.coalesce("_linked", model.id))
         .drop(*PROFILE_KEY, "_linked")
     )

@@ -11,22 +11,27 @@ from pyspark.sql.types import StringType, StructField, StructType
 _local_folders: dict[str, str] = {}
 
 
-def read_grants_csv(spark: SparkSession, path: str, columns: list[str] | StructType) -> DataFrame:
+def read_grants_csv(
+    spark: SparkSession, path: str, columns: list[str] | StructType, bad_records: str | None = None
+) -> DataFrame:
     """CSV with a header; quoted fields may hold newlines and doubled quotes.
 
     Everything is read as text (inference would drop leading zeros) and bytes that are not
     UTF-8 become U+FFFD. A quoted field may cross lines, so a single file is one task: a
     large export should come as many files.
+
+    A record with too many or too few fields fails the read. With ``bad_records``, the name of
+    a further column, such records are kept: that column holds the record as it stands.
     """
     schema = columns if isinstance(columns, StructType) else StructType(
         [StructField(c, StringType()) for c in columns]
     )
-    return (
-        spark.read.options(header=True, multiLine=True, quote='"', escape='"')
-        .options(enforceSchema=False, mode="PERMISSIVE")
-        .schema(schema)
-        .csv(path)
-    )
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    if bad_records is None:
+        return reader.options(enforceSchema=False, mode="FAILFAST").schema(schema).csv(path)
+    kept = StructType([*schema.fields, StructField(bad_records, StringType())])
+    reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=bad_records)
+    return reader.schema(kept).csv(path)
 
 
 def read_stage(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from rosterlink.fixtures import grants
+from checks.fixtures import grants
 from rosterlink.operators.classifying import classify_with_provenance
 from rosterlink.operators.normalizing import normalize_grants
 from rosterlink.sources import tables

@@ -122,7 +122,7 @@ def test_an_empty_label_counts_as_original(spark):
 
 
 def test_replaced_columns_go_last(spark):
-    from rosterlink.fixtures import grants
+    from checks.fixtures import grants
     from tests.conftest import SMALL
 
     raw = grants(spark, SMALL)
