@@ -117,3 +117,37 @@ def test_blocks_need_no_broadcast_limit(spark):
     records = make_records(spark, [("F", f"n{i}", None, None, None) for i in range(20)])
     plan = blocking.block_pairs(blocking.collapse_profiles(records))._jdf.queryExecution().toString()
     assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
+def test_a_hanging_call_ends_and_the_last_body_stays(spark):
+    import time
+
+    rows = [("b", i, [f"n{i}"], f"p{i}") for i in range(3)]
+    batches = spark.createDataFrame(rows, "bucket string, batch_no bigint, names array<string>, prompt string")
+
+    def score(prompt):
+        if prompt == "p0":
+            time.sleep(60)
+        if prompt == "p1":
+            return enriching.Reply(429, "slow down")
+        return enriching.Reply(200, "[1]")
+
+    began = time.time()
+    scored = enriching.score_batches(
+        batches, score, threads=3, max_retries=0, pause=lambda s: None, call_timeout=1.0
+    )
+    got = {r["names"][0]: r for r in scored.collect()}
+    assert time.time() - began < 40
+    assert got["n0"]["status"] == "exception" and "Timeout" in got["n0"]["error"]
+    assert (got["n1"]["status_code"], got["n1"]["body"]) == (429, "slow down")
+    assert got["n2"]["status"] == "success"
+    assert {"status_code", "body"} <= set(enriching.verdict_rows(scored).columns)
+
+
+@pytest.mark.parametrize(("partitions", "threads", "max_calls"), [(None, 8, 200), (500, 8, 200), (4, 500, 100)])
+def test_calls_at_a_time_have_a_limit(spark, partitions, threads, max_calls):
+    batches = spark.createDataFrame([("b", 1, ["n"], "p")], "bucket string, batch_no bigint, names array<string>, prompt string")
+    scored = enriching.score_batches(
+        batches, lambda p: enriching.Reply(200, "[]"), partitions, threads, max_calls=max_calls
+    )
+    assert scored.rdd.getNumPartitions() * min(threads, max_calls) <= max_calls
