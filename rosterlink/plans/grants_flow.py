@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rosterlink.operators.blocking import with_unique_id
 from rosterlink.operators.canonical import canonical_entities
 from rosterlink.operators.classifying import classify_with_provenance
+from rosterlink.operators.clustering import linkage_totals, shard_report
 from rosterlink.operators.enriching import (
     Reply,
+    bucket_digits,
     context_values,
     make_batches,
     merge_verdicts,
@@ -20,11 +24,13 @@ from rosterlink.operators.enriching import (
     render_prompt,
     residual_contexts,
     score_batches,
+    verdict_cache,
     verdict_rows,
 )
 from rosterlink.operators.normalizing import normalize_grants
 from rosterlink.plans.linkage import Linkage, link_and_cluster
-from rosterlink.sources.tables import materialize
+from rosterlink.sources.results import read_snapshot, save_model, snapshot_verdicts
+from rosterlink.sources.tables import materialize, read_grants_csv, read_stage, write_stage
 
 
 def normalized_table(raw: DataFrame) -> DataFrame:
@@ -44,13 +50,26 @@ def labelled_table(
         label = "recipient_type"
         return classified.drop(label).withColumnRenamed(f"{label}_new", label)
     contexts = materialize(residual_contexts(classified), "contexts")
-    prompts = render_prompt(contexts, context_values(classified))
-    scored = score_batches(make_batches(prompts, batch_size), score_fn, partitions)
-    verdicts = materialize(verdict_rows(scored), "verdicts")
+    verdicts = materialize(
+        _verdicts(classified, contexts, score_fn, batch_size, partitions), "verdicts"
+    )
     parsed = parse_verdicts(verdicts, position="position")
     return materialize(merge_verdicts(classified, parsed, row_id), "labelled")
 
 
+def _verdicts(
+    classified: DataFrame,
+    contexts: DataFrame,
+    score_fn: Callable[[str], Reply],
+    batch_size: int,
+    partitions: int | None,
+) -> DataFrame:
+    """One row per name of ``contexts``, as the scorer answers."""
+    prompts = render_prompt(contexts, context_values(classified))
+    batches = make_batches(prompts, batch_size, hex_digits=bucket_digits(contexts.count()))
+    return verdict_rows(score_batches(batches, score_fn, partitions))
+
+
 def canonical_grants(
     raw: DataFrame, row_id: str, score_fn: Callable[[str], Reply] | None = None
 ) -> tuple[DataFrame, Linkage]:
@@ -58,3 +77,64 @@ def canonical_grants(
     labelled = labelled_table(normalized_table(raw), row_id, score_fn)
     linkage = link_and_cluster(labelled.withColumnRenamed(row_id, "unique_id"))
     return canonical_entities(linkage.clusters), linkage
+
+
+def grants_from_csv(
+    spark: SparkSession,
+    csv: str,
+    columns: list[str],
+    folder: str,
+    run_ts: str,
+    score_fn: Callable[[str], Reply] | None = None,
+    scorer: str = "",
+    endpoint: str = "",
+    cached: bool = False,
+    batch_size: int = 1,
+    partitions: int | None = None,
+) -> dict[str, DataFrame]:
+    """From a CSV export to named tables under ``folder``, one per step.
+
+    ``raw_grants``, ``normalized_grants``, ``rule_labels``, ``classified_grants``,
+    ``entity_clusters`` (by type), ``shard_report``, ``linkage_totals``, ``canonical_names``; also
+    ``verdicts`` (a snapshot per run and the latest) and ``model`` (the trained parameters).
+    With ``cached``, verdicts of the latest snapshot are used again and only names without an
+    answer are asked.
+    """
+
+    def step(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        write_stage(df, f"{folder}/{name}", partition_by)
+        return read_stage(spark, f"{folder}/{name}")
+
+    raw = with_unique_id(read_grants_csv(spark, csv, columns))
+    raw = raw.withColumn("agreement_value", F.col("agreement_value").try_cast("double"))
+    normalized = step("normalized_grants", normalize_grants(step("raw_grants", raw)))
+    rules = step("rule_labels", classify_with_provenance(normalized))
+    label, new = "recipient_type", "recipient_type_new"
+    labelled = rules.drop(label).withColumnRenamed(new, label)
+    if score_fn is not None:
+        contexts = materialize(residual_contexts(rules), "contexts")
+
+        def score(unseen: DataFrame) -> DataFrame:
+            return _verdicts(rules, materialize(unseen, "unseen"), score_fn, batch_size, partitions)
+
+        if cached:
+            known = read_snapshot(spark, f"{folder}/verdicts")
+            known = known.drop("success", "backup_created_at", "model", "openai_base_url", "run_ts")
+            verdicts = verdict_cache(known, contexts, score)
+        else:
+            verdicts = materialize(score(contexts), "verdicts")
+        snapshot_verdicts(verdicts, f"{folder}/verdicts", run_ts, scorer, endpoint)
+        verdicts = read_snapshot(spark, f"{folder}/verdicts", run_ts)
+        parsed = parse_verdicts(verdicts, position="position")
+        labelled = merge_verdicts(rules, parsed, "unique_id")
+    classified = step("classified_grants", labelled)
+    linkage = link_and_cluster(classified)
+    save_model(linkage.params, f"{folder}/model")
+    clusters = step("entity_clusters", linkage.clusters, [label])
+    return {
+        "classified_grants": classified,
+        "entity_clusters": clusters,
+        "shard_report": step("shard_report", shard_report(classified, clusters)),
+        "linkage_totals": step("linkage_totals", linkage_totals(classified, clusters)),
+        "canonical_names": step("canonical_names", canonical_entities(clusters)),
+    }
