@@ -23,7 +23,6 @@ mark and are scored each. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlink.llm.common import shuffle_partitions
+from rosterlink.llm.common import mix, shuffle_partitions
 
 #: Word slots; the last number is the start of a document, so both fit 20 bits.
 SLOT_BITS = 20
@@ -41,7 +40,11 @@ STRENGTH = 20.0
 BLOCK_CHARS = 16_000_000
 TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
 JAVA_TOKEN = r"[^ \t\n\x0B\f\r]+"
-_VALUES = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+#: N-grams travel in rows of many: keys by their differences, counts of all and of targets.
+KINDS, CODEC = (np.int64, np.int64, np.int64), "zstd"
+_VALUES = pa.schema(
+    [("part", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())]
+)
 _SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -86,32 +89,68 @@ def counted(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def count_block(key: tuple, rows: pa.Table) -> pa.Table:
-    _, words, target = block_ngrams(rows)
-    keys, n = counted(words)
-    own, m = counted([w for w, t in zip(words, target, strict=True) if t])
-    t = np.zeros(len(keys), np.int64)
-    t[np.searchsorted(keys, own)] = m
-    block = np.full(len(keys), key[0].as_py(), np.int64)
-    return pa.Table.from_arrays([pa.array(x) for x in (block, keys, n, t)], schema=_VALUES)
+def packed(keys: np.ndarray, *counts: np.ndarray) -> list[bytes]:
+    """Ascending keys as their differences, and counts, compressed."""
+    gaps = np.diff(keys, prepend=0)
+    return [pa.compress(v.astype(kind).tobytes(), CODEC, asbytes=True) for v, kind in zip((gaps, *counts), KINDS, strict=True)]
 
 
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpacked(size: int, columns: list[bytes]) -> list[np.ndarray]:
+    widths = [np.dtype(kind).itemsize for kind in KINDS]
+    raw = [pa.decompress(c, size * w, CODEC) for c, w in zip(columns, widths, strict=True)]
+    gaps, *counts = (np.frombuffer(r, kind) for r, kind in zip(raw, KINDS, strict=True))
+    return [np.cumsum(gaps), *counts]
+
+
+def _rows(made: list[tuple]) -> pa.Table:
+    return pa.table({f.name: pa.array([r[i] for r in made], f.type) for i, f in enumerate(_VALUES)})
+
+
+def count_block(parts: int):
+    """A function of a block's documents: its counts in ``parts`` parts by key."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        _, words, target = block_ngrams(rows)
+        keys, n = counted(words)
+        own, m = counted([w for w, t in zip(words, target, strict=True) if t])
+        t = np.zeros(len(keys), np.int64)
+        t[np.searchsorted(keys, own)] = m
+        part = mix(keys.astype(np.uint64), 3) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=parts + 1))
+        made = []
+        for at in np.split(order, cuts[1:]) if len(cuts) else []:
+            made.append((int(part[at[0]]), key[0].as_py(), len(at), *packed(keys[at], n[at], t[at])))
+        return _rows(made)
+
+    return run
+
+
+def add_up(key: tuple, rows: pa.Table) -> pa.Table:
     """From the counts of blocks, the sums of n-grams that several blocks hold, by block."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    block, key, n, t = (table[c].to_numpy() for c in ("block", "key", "n", "t"))
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    size = np.diff(first, append=len(ranked))
-    shared = np.repeat(size > 1, size)
-    sums = [np.repeat(np.add.reduceat(x[order], first), size)[shared] for x in (n, t)]
-    out = [block[order][shared], ranked[shared], *sums]
-    for i in range(0, len(out[0]), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in out], schema=_VALUES)
+    found = [
+        (r["block"], *unpacked(r["size"], [r["keys"], r["n"], r["t"]])) for r in rows.to_pylist()
+    ]
+    every = np.concatenate([keys for _, keys, _, _ in found])
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    first = np.flatnonzero(new)
+    group = np.empty(len(every), np.int64)
+    group[order] = np.cumsum(new) - 1
+    shared = np.diff(first, append=len(ranked)) > 1
+    sums = [
+        np.add.reduceat(np.concatenate([f[i] for f in found])[order].astype(np.int64), first) for i in (2, 3)
+    ]
+    made, start = [], 0
+    for block, keys, _, _ in found:
+        own = group[start : start + len(keys)]
+        start += len(keys)
+        keep = shared[own]
+        if keep.any():
+            values = packed(keys[keep], *(s[own[keep]] for s in sums))
+            made.append((key[0].as_py(), block, int(keep.sum()), *values))
+    return _rows(made)
 
 
 def score_block(totals: tuple[int, int]):
@@ -123,8 +162,10 @@ def score_block(totals: tuple[int, int]):
         own, m = counted([w for w, t in zip(words, target, strict=True) if t])
         t = np.zeros(len(keys), np.int64)
         t[np.searchsorted(keys, own)] = m
-        at = np.searchsorted(keys, values["key"].to_numpy())
-        n[at], t[at] = values["n"].to_numpy(), values["t"].to_numpy()
+        for r in values.to_pylist():
+            got, all_n, all_t = unpacked(r["size"], [r["keys"], r["n"], r["t"]])
+            at = np.searchsorted(keys, got)
+            n[at], t[at] = all_n, all_t
         out: list[tuple] = []
         for doc, w in zip(ids, words, strict=True):
             if not len(w):
@@ -161,10 +202,10 @@ def score_documents(docs: DataFrame, targets: DataFrame, block_chars: int = BLOC
     rows = own.select(block, "doc_id", "text", F.lit(False).alias("target")).unionByName(
         marked.select(block, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target"))
     )
-    kind = "block long, key long, n long, t long"
-    grams = rows.groupBy("block").applyInArrow(count_block, kind)
-    partitions = max(blocks, shuffle_partitions(docs.sparkSession))
-    values = grams.repartition(partitions, "key").mapInArrow(add_up, kind)
+    kind = "part long, block long, size long, keys binary, n binary, t binary"
+    parts = max(blocks, shuffle_partitions(docs.sparkSession))
+    grams = rows.groupBy("block").applyInArrow(count_block(parts), kind)
+    values = grams.groupBy("part").applyInArrow(add_up, kind)
     return (
         rows.groupBy("block")
         .cogroup(values.groupBy("block"))
