@@ -9,8 +9,9 @@ distance / length of the longer text must be 0.8 or more.
 
 Classes are the connected components of verified links. Equal word sequences are one text
 from the start. Candidates are first compared with the least text of their sketch; texts
-that then are in different components are all compared, so no link is lost, while a group
-of any size that hangs together costs one comparison for each member and sketch.
+that then are in different components are all looked at in blocks of bounded size, so no link
+is lost, while a group of any size that hangs together costs one comparison for each member
+and sketch.
 
 Null text, and text without a word, is a class of its own. A text of fewer than five words
 has one k-mer. Rows with equal ids are one document: the text digest that is least counts.
@@ -36,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: misses all sketches with a chance below 1e-5, one that agrees to 0.5 with one of 1 in 25.
 SKETCHES, KEPT = 24, 3
 CACHED_WORDS = 200_000
+#: Words of the texts in one block of a sketch; bins of a bag of words.
+BLOCK_WORDS, BINS = 400_000, 1_024
 #: K-mers times sketches that are ranked at once; an odd factor that spreads bits.
 MATRIX, SPREAD = 1 << 20, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -177,7 +180,10 @@ def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
 
     The band grows step by step, so that texts which hardly differ cost little.
     """
-    x, y = words_of(a), words_of(b)
+    return similar_words(words_of(a), words_of(b), least)
+
+
+def similar_words(x: list[str], y: list[str], least: float = SIMILARITY) -> bool:
     longer = max(len(x), len(y))
     most = int((1 - least) * longer + 1e-9)
     band = min(most, 8)
@@ -203,6 +209,88 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
 
 
+def _bags(hashes: list[np.ndarray]) -> np.ndarray:
+    """How many words of each text fall into each of ``BINS`` bins."""
+    out = np.zeros((len(hashes), BINS), np.uint16)
+    for row, h in zip(out, hashes, strict=True):
+        row[:] = np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 65_535)
+    return out
+
+
+def _compare_cell(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between texts of one sketch that are in different components.
+
+    A pair is looked at where its first common sketch is. Two texts can be similar only if
+    they share enough words, whatever their order; bins of words bound that number from above
+    and rule out most pairs before any is aligned.
+    """
+    s, low, high = key[0].as_py(), key[2].as_py(), key[3].as_py()
+    ids, top, component, n, block = (
+        rows[c].to_numpy() for c in ("doc_id", "top", "component", "n", "block")
+    )
+    keys = np.array(rows["keys"].to_pylist(), np.int64)
+    words = [words_of(t) for t in rows["text"].to_pylist()]
+    hashed = WordHashes()
+    bags = _bags([hashed.of(w) for w in words])
+    forest = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while forest[c] != c:
+            forest[c] = forest[forest[c]]
+            c = forest[c]
+        return c
+
+    links: list[tuple[int, int]] = []
+    for i in range(len(ids)):
+        fit = (ids > ids[i]) & (component != component[i])
+        fit &= np.minimum(n, n[i]) >= SIMILARITY * np.maximum(n, n[i])
+        if low != high:
+            fit &= block != block[i]
+        if top[i] == ids[i]:
+            continue  # compared with all texts of the sketch before
+        at = np.flatnonzero(fit & (ids != top[i]))
+        at = at[~(keys[at, :s] == keys[i, :s]).any(axis=1)]
+        for j in range(0, len(at), 4_096):
+            part = at[j : j + 4_096]
+            shared = np.minimum(bags[part], bags[i]).sum(axis=1, dtype=np.int64)
+            # Counts at the limit of a bin say nothing about such a text.
+            open_end = (bags[part] == 65_535).any(axis=1) | (bags[i] == 65_535).any()
+            for k in part[open_end | (shared >= SIMILARITY * np.maximum(n[part], n[i]) - 1e-6)].tolist():
+                a, b = root(int(component[i])), root(int(component[k]))
+                if a != b and similar_words(words[i], words[k]):
+                    forest[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[k])))
+    return pa.table({name: pa.array([x[c] for x in links], pa.int64()) for c, name in enumerate("ab")})
+
+
+def links_apart(buckets: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts that share a sketch but are in different components so far.
+
+    ``buckets``: ``s, key, doc_id, n, keys, top``; ``grouped``: ``node, component``. A sketch
+    with many words in its texts is cut into blocks by a hash; each pair of blocks is one group
+    of bounded size. Pairs are looked at inside the task and only links leave it.
+    """
+    apart = buckets.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "s", "key", "doc_id", "n", "keys", F.col("top.doc_id").alias("top"),
+        F.coalesce("component", "doc_id").alias("component"),
+    )
+    sizes = apart.groupBy("s", "key").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.sum("n").alias("words")
+    ).filter("first < last")
+    blocks = sizes.select("s", "key", F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = (
+        apart.join(blocks, ["s", "key"])
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .select("*", other)
+        .select(
+            "s", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            "block", "doc_id", "top", "component", "n", "keys",
+        )
+    )
+    return cells.join(texts, "doc_id").groupBy("s", "key", "low", "high").applyInArrow(_compare_cell, "a long, b long")
+
+
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id`` for each different document id."""
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
@@ -222,11 +310,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "n")).alias("top"), F.count(F.lit(1)).alias("size")
     ).filter("size > 1")
     near = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    buckets = materialize(
+    members = materialize(
         keyed.join(shared.select("s", "key", "top"), ["s", "key"]), "buckets"
     )
     first_pairs = materialize(
-        buckets.select(
+        members.select(
             F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b"), "n",
             F.col("top.n").alias("m"),
         )
@@ -235,26 +323,13 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     )
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+        .join(members.select("doc_id").distinct(), "doc_id", "left_semi")
         .groupBy("doc_id").agg(F.max("text").alias("text"))
     )
     links = materialize(verified(first_pairs, texts), "links")
     grouped = components(links)
-    # Texts of one sketch that are still apart: all pairs of them that were not compared yet.
-    apart = buckets.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "s", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")
-    )
-    open_keys = apart.groupBy("s", "key").agg(
-        F.min("c").alias("low"), F.max("c").alias("high")
-    ).filter("low < high").select("s", "key")
-    apart = materialize(apart.join(open_keys, ["s", "key"], "left_semi"), "apart")
-    other = apart.select("s", "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    more_pairs = (
-        apart.withColumnRenamed("doc_id", "a").join(other, ["s", "key"])
-        .filter("a < b and c <> d").filter(near).select("a", "b").distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
-    )
-    more = materialize(verified(more_pairs, texts), "more-links")
+    buckets = members.join(signed.select("doc_id", "keys"), "doc_id")
+    more = materialize(links_apart(buckets, grouped, texts), "more-links")
     grouped = components(links.unionByName(more))
     roots = grouped.select(F.col("node").alias("first"), "component")
     classes = copies.join(roots, "first", "left").select(

@@ -249,3 +249,24 @@ def test_queries_against_sql(spark, name):
     got = QUERIES[name](spark, SMALL).toArrow().to_pylist()
     rows = [sorted(str(sorted(r.items())) for r in x) for x in (got, wanted)]
     assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("block_words", [60, 10**6])
+def test_texts_that_stay_apart_from_the_first_are_compared(spark, documents, monkeypatch, block_words):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", block_words)
+    rng = random.Random(12)
+    rows = ["nothing like the others " * 8]
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(32)]
+        rows += [" ".join(base), " ".join([*base[:10], "other", *base[11:]])]
+    docs = documents(rows)
+    buckets = docs.select(
+        F.lit(0).alias("s"), F.lit(7).cast("long").alias("key"), "doc_id", F.lit(32).cast("long").alias("n"),
+        F.array_repeat(F.lit(7).cast("long"), 24).alias("keys"),
+        F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(32).cast("long").alias("n")).alias("top"),
+    )
+    grouped = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    got = order_minhash.links_apart(buckets, grouped, docs.select("doc_id", "text")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(i, i + 1) for i in range(3, 25, 2)]
