@@ -653,12 +653,24 @@ add(
     f"LEFT JOIN ({_caught(_a)}) a USING (recipient_type) LEFT JOIN ({_caught(_b)}) b USING (recipient_type) "
     f"LEFT JOIN ({_caught(_a + ', ' + _b)}) ab USING (recipient_type)",
 )
-_u_parts = " UNION ALL ".join(
-    f"SELECT l.recipient_type AS shard, '{c}' AS comparison, ({_level(c, k)})::BIGINT AS level, count(*) AS pairs "
-    f"FROM sample l JOIN sample r ON l.recipient_type = r.recipient_type AND l.unique_id < r.unique_id "
-    f"WHERE l.{c} IS NOT NULL AND r.{c} IS NOT NULL GROUP BY 1, 3"
-    for c, k in KINDS.items()
-)
+
+
+def _u_part(c: str, kind: str) -> str:
+    """Levels of pairs: exact ones from block sizes of whole tables, others from the sample."""
+    if kind == "exact":
+        return (
+            f"SELECT shard, '{c}' AS comparison, unnest([0, 1])::BIGINT AS level, unnest([same, every - same])::BIGINT AS pairs "
+            f"FROM (SELECT recipient_type AS shard, sum(n * (n - 1) // 2) AS same, sum(n) * (sum(n) - 1) // 2 AS every "
+            f"FROM (SELECT recipient_type, {c}, count(*) AS n FROM records WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY 1)"
+        )
+    return (
+        f"SELECT l.recipient_type AS shard, '{c}' AS comparison, ({_level(c, kind)})::BIGINT AS level, count(*) AS pairs "
+        f"FROM sample l JOIN sample r ON l.recipient_type = r.recipient_type AND l.unique_id < r.unique_id "
+        f"WHERE l.{c} IS NOT NULL AND r.{c} IS NOT NULL GROUP BY 1, 3"
+    )
+
+
+_u_parts = " UNION ALL ".join(f"SELECT * FROM ({_u_part(c, k)}) WHERE pairs > 0" for c, k in KINDS.items())
 ORACLE["estimate_u"] = on(
     "records",
     ", sample AS MATERIALIZED (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY recipient_type "
