@@ -1,19 +1,23 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A text is its words in lower case. Its k-mers are five words in a row, labelled with the
-number of times the same five words came before, so that repeats count. A sketch takes the
+A text is its words in lower case. Its k-mers are three words in a row, labelled with the
+number of times the same three words came before, so that repeats count. A sketch takes the
 ``KEPT`` k-mers with the least hashes and keeps them in text order, which makes it sensitive
 to edit similarity and not only to shared k-mers. Texts that agree in one of ``SKETCHES``
 sketches are candidates. A link is verified by banded alignment of the words: 1 - edit
 distance / length of the longer text must be 0.8 or more.
 
+Texts of few words have too few k-mers for that. Where the shorter text has ``SHORT`` words or
+fewer, candidates are exact: a text cut into one piece more than edits are allowed keeps a
+piece whole, near its place. Texts that share such a piece are candidates too.
+
 Classes are the connected components of verified links. Equal word sequences are one text
 from the start. Candidates are first compared with the least text of their sketch; texts
 that then are in different components are all looked at in blocks of bounded size, so no link
 is lost, while a group of any size that hangs together costs one comparison for each member
 and sketch.
 
-Null text, and text without a word, is a class of its own. A text of fewer than five words
+Null text, and text without a word, is a class of its own. A text of fewer than three words
 has one k-mer. Rows with equal ids are one document: the text digest that is least counts.
 The class is the least document id in it. Other columns are not read. Null ids are left out.
 """
@@ -21,6 +25,7 @@ The class is the least document id in it. Other columns are not read. Null ids a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +37,13 @@ from rosterlink.llm.common import WORD, mix
 from rosterlink.llm.components import components
 from rosterlink.sources.tables import materialize, materialize_observed
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches of a text, and k-mers that each of them keeps. A pair whose k-mers agree to 0.8
-#: misses all sketches with a chance below 1e-5, one that agrees to 0.5 with one of 1 in 25.
-SKETCHES, KEPT = 24, 3
+SHINGLE, SIMILARITY = 3, 0.8
+#: Sketches of a text, and k-mers that each of them keeps. Scattered edits at the limit leave
+#: 0.8 ** 3 of the k-mers, which is 0.34 of those of both texts; such a pair agrees in a sketch
+#: with a chance of 0.34 ** 2 and misses all of them with one of 1 in 300.
+SKETCHES, KEPT = 48, 2
+#: Words of a text up to which candidates are found by whole pieces.
+SHORT = 32
 CACHED_WORDS = 200_000
 #: Words of the texts in one block of a sketch; bins of a bag of words.
 BLOCK_WORDS, BINS = 400_000, 1_024
@@ -62,12 +70,19 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def kmers(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the k-mers in text order, each labelled with its earlier occurrences."""
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words in a row, by their start."""
     n = max(1, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(size, len(hashes))):
         out = mix(out * np.uint64(31) + hashes[i : i + n], 7)
+    return out
+
+
+def kmers(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the k-mers in text order, each labelled with its earlier occurrences."""
+    out = runs(hashes, size)
+    n = len(out)
     order = np.argsort(out, kind="stable")
     ranked = out[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -100,31 +115,79 @@ def sketch_seeds(number: int = SKETCHES) -> np.ndarray:
     return mix(np.arange(number, dtype=np.uint64), 5_000)
 
 
+def edits_of(n: int) -> int:
+    """The most edits of a pair whose longer text has ``n`` words."""
+    return int((1 - SIMILARITY) * n + 1e-9)
+
+
+@cache
+def piece_places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a text of ``n`` words can hold a piece of a text that is not longer: a code of
+    that text's length and the number of the piece, its start here and its words.
+
+    A text of m words is cut into one piece more than the edits of any pair in which it is the
+    shorter. Of a pair within them, some piece stays whole and is moved by no more than the
+    edits before it, and the ones behind it, can move it.
+    """
+    found = []
+    for m in range(n - edits_of(n), min(n, SHORT) + 1):
+        longest = m
+        while longest + 1 - edits_of(longest + 1) <= m:
+            longest += 1
+        edits, moved = edits_of(longest), n - m
+        if not edits:
+            continue  # only equal texts, which are one already
+        cuts = [m * i // (edits + 1) for i in range(edits + 2)]
+        for i, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            low = max(0, start - i, start + moved - (edits - i))
+            high = min(n - (end - start), start + i, start + moved + edits - i)
+            found += [(m * 1_000 + i, at, end - start) for at in range(low, high + 1)]
+    code, at, size = (np.array([f[c] for f in found], np.int64) for c in range(3))
+    return code.astype(np.uint64), at, size
+
+
+def pieces(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a text's pieces; two texts within the edits share one if the shorter has
+    ``SHORT`` words or fewer."""
+    n = len(hashes)
+    if n - edits_of(n) > SHORT:
+        return np.empty(0, np.uint64)
+    code, at, size = piece_places(n)
+    out = [
+        mix(runs(hashes, k)[at[size == k]] + code[size == k] * np.uint64(0x9E3779B97F4A7C15), 17)
+        for k in np.unique(size).tolist()
+    ]
+    return np.unique(np.concatenate([*out, np.empty(0, np.uint64)]))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_id, n, keys``; a text without words has null ``text_id`` and no keys."""
+    """``doc_id, text_id, n, keys, pieces``; a text without words has null ``text_id`` and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, seeds = WordHashes(), sketch_seeds()
         for batch in batches:
-            ids, numbers, keys = [], [], []
+            ids, numbers, keys, parts = [], [], [], []
             for value in batch["text"]:
                 words = words_of(value.as_py())
                 numbers.append(len(words))
                 ids.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
                 if words:
-                    keys.append(sketches(kmers(hashed.of(words)), seeds).view(np.int64))
+                    h = hashed.of(words)
+                    keys.append(sketches(kmers(h), seeds).view(np.int64))
+                    parts.append(pieces(h).view(np.int64))
                 else:
                     keys.append(None)
+                    parts.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], pa.array(ids, pa.string()), pa.array(numbers, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    *(pa.array(k, pa.list_(pa.int64())) for k in (keys, parts)),
                 ],
-                ["doc_id", "text_id", "n", "keys"],
+                ["doc_id", "text_id", "n", "keys", "pieces"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, text_id string, n long, keys array<long>"
+        run, "doc_id long, text_id string, n long, keys array<long>, pieces array<long>"
     )
 
 
@@ -297,7 +360,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = materialize(
         sketched(known)
         .groupBy("doc_id")
-        .agg(F.min_by(F.struct("text_id", "n", "keys"), F.coalesce("text_id", F.lit(""))).alias("s"))
+        .agg(F.min_by(F.struct("text_id", "n", "keys", "pieces"), F.coalesce("text_id", F.lit(""))).alias("s"))
         .select("doc_id", "s.*"),
         "sketches",
     )
@@ -305,7 +368,10 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")
     )
     firsts = signed.join(copies.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    keyed = firsts.select("doc_id", "n", F.posexplode("keys").alias("s", "key"))
+    # Pieces come after all sketches, as one more number, and pairs that share a sketch are done there.
+    keyed = firsts.select("doc_id", "n", F.posexplode("keys").alias("s", "key")).unionByName(
+        firsts.select("doc_id", "n", F.lit(SKETCHES).alias("s"), F.explode("pieces").alias("key"))
+    )
     shared = keyed.groupBy("s", "key").agg(
         F.min(F.struct("doc_id", "n")).alias("top"), F.count(F.lit(1)).alias("size")
     ).filter("size > 1")

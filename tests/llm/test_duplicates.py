@@ -173,6 +173,41 @@ def test_a_shared_passage_does_not_join_texts(documents):
     assert all(r["doc_id"] == r["class_id"] for r in got)
 
 
+def edited_words(base, edits, rng):
+    """Words after so many scattered changes of one word, among them words lost and new."""
+    out = list(base)
+    for at in sorted(rng.sample(range(len(base)), edits), reverse=True):
+        new, how = f"new{rng.randrange(10**9)}", rng.random()
+        out[at : at + 1] = [] if how < 0.15 else [new, base[at]] if how < 0.3 else [new]
+    return out
+
+
+@pytest.mark.parametrize("low, high, least", [(5, 32, 1.0), (33, 300, 0.97)])
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_scattered_edits_are_found(documents, low, high, least, similarity):
+    rng = random.Random(13)
+    rows = []
+    while len(rows) < 240:
+        base = [f"w{rng.randrange(3_000)}" for _ in range(rng.randint(low, high))]
+        edits = int((1 - similarity) * len(base) + 1e-9)
+        pair = [" ".join(w) for w in (base, edited_words(base, edits, rng))]
+        if edits and order_minhash.similar(*pair):
+            rows += pair
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.duplicate_classes(documents(rows)).collect()}
+    found = [got[i] == got[i + 1] for i in range(0, len(rows), 2)]
+    assert sum(found) >= least * len(found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=4, max_size=30), st.randoms(use_true_random=False))
+def test_no_short_pair_is_without_a_common_piece(base, rng):
+    a = [f"w{b}" for b in base]
+    b = edited_words(a, rng.randint(0, len(a) // 4), rng)
+    hashed = order_minhash.WordHashes()
+    if a != b and order_minhash.similar_words(a, b):
+        assert np.intersect1d(*(order_minhash.pieces(hashed.of(w)) for w in (a, b))).size
+
+
 def test_near_copies_odd_texts(documents, odd_texts):
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.duplicate_classes(documents(odd_texts)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
