@@ -3,8 +3,11 @@
 In each pass every vector gets the signs of its projections on ``BITS`` random directions, one
 after the other, as one number; vectors are ordered by it and compared with the neighbours in
 a bounded window by their exact cosine. Passes use other directions, and verified pairs of all
-passes are united. The number of passes follows from the number of vectors, so that a pair at
-the threshold is met with a chance of about ``RECALL`` at any size.
+passes are united. The first passes look at all vectors, as many as spread vectors need. Each
+pass also works out, from a vector's distance to the cuts and from how many bits its window
+stands for, with what chance the vector met a partner at the threshold. Vectors for which the
+passes so far do not add up to ``RECALL`` lie in a crowd; they go through further passes among
+themselves, whose cuts come from the crowd, until so few are left that all their pairs are compared.
 
 Equal vectors are one vector with a count. A window gives only what hangs together in it
 (a forest), so a large group makes no more rows than it has members. All pairs inside of
@@ -32,11 +35,17 @@ from pyspark.sql import functions as F
 
 from rosterlink.llm.common import shuffle_partitions, spread
 from rosterlink.llm.components import components
-from rosterlink.sources.tables import materialize
+from rosterlink.sources.tables import materialize, materialize_observed
 
 COSINE, RECALL = 0.95, 0.99
 #: Bits of a projection key; neighbours on each side that a vector is compared with at least.
 BITS, WINDOW = 63, 512
+#: Further passes between two looks at who is left; the window doubles each time up to a limit.
+ROUND, WIDEST = 4, 2048
+#: Vectors from which the cuts of a further pass are taken.
+CUT_SAMPLE = 1000
+#: Vectors left of which all pairs are compared.
+FEW = 16_384
 #: Vectors of a block in which all pairs are compared; vectors of a sorted partition.
 BLOCK, PARTITION = 1024, 50_000
 
@@ -56,6 +65,58 @@ def directions(width: int, number: int) -> np.ndarray:
     return np.random.default_rng(7_000 + number).standard_normal((BITS, width))
 
 
+def sign_keys(x: np.ndarray, number: int, cuts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unit vectors, and their projections; a cut is 0 where none is given."""
+    along = x @ directions(x.shape[1], number).T
+    signs = along >= (0.0 if cuts is None else cuts)
+    return signs.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)), along
+
+
+def crowd_cuts(vectors: DataFrame, number: int) -> np.ndarray:
+    """Cuts of a pass: quantiles of the projections of a sample, so that the crowd is cut."""
+    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(number)), "vec_id").limit(CUT_SAMPLE).select("embedding")
+    x = unit(rows.toArrow()["embedding"].combine_chunks())
+    along = x @ directions(x.shape[1], number).T
+    share = np.random.default_rng(9_000 + number).uniform(0.2, 0.8, BITS)
+    return np.array([np.quantile(along[:, b], share[b]) for b in range(BITS)])
+
+
+_GRID = np.linspace(-6, 6, 4_001)
+_LOG_NORMAL = np.log([0.5 * math.erfc(-z / math.sqrt(2)) for z in _GRID])
+
+
+def log_together(along: np.ndarray, cuts: np.ndarray | None, cosine: float) -> np.ndarray:
+    """By vector and number of bits, the log of the chance that a partner at the threshold has
+    the same first bits. Given one projection, that of the partner is normal around ``cosine``
+    times it.
+    """
+    cut = 0.0 if cuts is None else cuts
+    side = np.where(along >= cut, 1.0, -1.0)
+    margin = side * (cosine * along - cut) / math.sqrt(max(1e-12, 1 - cosine**2))
+    return np.cumsum(np.interp(margin, _GRID, _LOG_NORMAL), axis=1).astype(np.float32)
+
+
+def log_missed(keys: np.ndarray, together: np.ndarray, window: int, first: bool) -> np.ndarray:
+    """The log of the chance that a vector's window missed a partner at the threshold.
+
+    ``keys`` are in order; nothing comes before them if they are ``first``. A window holds all
+    vectors with as many first bits as are shared by no vector outside of it; at an open end,
+    by none at that end. Vectors that share all bits are in random order.
+    """
+    n, at = len(keys), np.arange(len(keys))
+    bits = np.zeros(n, np.int64)
+    for far, beyond, closed in ((at - window, at < window, first), (at + window, at + window >= n, False)):
+        differ = keys ^ keys[np.clip(far, 0, n - 1)]
+        shared = BITS - np.frexp(differ.astype(np.float64))[1]
+        # Near 2 ** k, a rounded number may count one bit more, which shares one bit less.
+        shared = np.where((shared < BITS) & (differ >> np.maximum(BITS - 1 - shared, 0) == 0), shared + 1, shared)
+        bits = np.maximum(bits, np.where(beyond & closed, 0, shared + 1))
+    alike = np.searchsorted(keys, keys, "right") - np.searchsorted(keys, keys)
+    chance = np.exp(np.where(bits > 0, together[at, np.clip(bits, 1, BITS) - 1], 0.0))
+    chance = chance * np.where(bits > BITS, np.minimum(1.0, window / alike), 1.0)
+    return np.log(np.maximum(1 - chance, 1e-12))
+
+
 def unit(rows: pa.Array) -> np.ndarray:
     """Vectors of one length in double precision, each of length 1."""
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -103,27 +164,29 @@ def window_links(x: np.ndarray, window: int, cosine: float) -> list[tuple[int, i
     return out
 
 
-def sorted_pass(vectors: DataFrame, number: int, partitions: int, window: int, cosine: float) -> DataFrame:
-    """Links ``a, b`` of one pass. Where two sorted partitions meet, the ends of both are
-    compared in a step of their own, so that a window does not end with its partition.
+def sorted_pass(
+    vectors: DataFrame, number: int, partitions: int, window: int, cosine: float, cuts: np.ndarray | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of one pass, and ``vec_id, missed`` by ``log_missed``. Where two sorted
+    partitions meet, the ends of both are compared in a step of their own, so that a window
+    does not end with its partition.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(batch["embedding"])
-            signs = (x @ directions(x.shape[1], number).T) >= 0
-            key = signs.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+            key, _ = sign_keys(unit(batch["embedding"]), number, cuts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), batch["vec_id"], batch["embedding"]], ["key", "vec_id", "embedding"]
             )
 
     rows_of = "vec_id long, embedding array<float>"
-    edge_of = f"a long, b long, border int, {rows_of}"
+    edge_of = f"a long, b long, border int, {rows_of}, missed double"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
         kept: pa.Table | None = None
         first = True
+        keys, together, seen = [], [], []
 
         def rows(links: list, border: int, ends: pa.Table | None) -> pa.RecordBatch:
             n, m = len(links), 0 if ends is None else ends.num_rows
@@ -133,8 +196,11 @@ def sorted_pass(vectors: DataFrame, number: int, partitions: int, window: int, c
                 ids, vecs = ends["vec_id"].combine_chunks(), ends["embedding"].combine_chunks()
             a, b = ([x[i] for x in links] + [None] * m for i in (0, 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([border] * (n + m), pa.int32()), ids, vecs],
-                ["a", "b", "border", "vec_id", "embedding"],
+                [
+                    pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([border] * (n + m), pa.int32()), ids, vecs,
+                    pa.nulls(n + m, pa.float64()),
+                ],
+                ["a", "b", "border", "vec_id", "embedding", "missed"],
             )
 
         for batch in batches:
@@ -144,6 +210,10 @@ def sorted_pass(vectors: DataFrame, number: int, partitions: int, window: int, c
             if first:
                 yield rows([], place - 1, now.slice(0, window))
                 first = False
+            key, along = sign_keys(unit(batch["embedding"]), number, cuts)
+            keys.append(key)
+            together.append(log_together(along, cuts, cosine))
+            seen.append(batch["vec_id"].to_numpy())
             # The last rows of the batch before are the window of the first rows of this one.
             both = now if kept is None else pa.concat_tables([kept, now])
             ids = both["vec_id"].to_numpy()
@@ -154,35 +224,46 @@ def sorted_pass(vectors: DataFrame, number: int, partitions: int, window: int, c
             kept = both.slice(max(0, both.num_rows - window))
         if kept is not None:
             yield rows([], place, kept)
+            missed = log_missed(np.concatenate(keys), np.concatenate(together), window, place == 0)
+            none = pa.nulls(len(missed), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    none, none, pa.nulls(len(missed), pa.int32()), pa.array(np.concatenate(seen)),
+                    pa.nulls(len(missed), pa.list_(pa.float32())), pa.array(missed),
+                ],
+                ["a", "b", "border", "vec_id", "embedding", "missed"],
+            )
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["key", "vec_id"])
+        rows = group.sort_values(["key", "tie"])
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         ids = rows["vec_id"].to_numpy()
         links = [(int(ids[i]), int(ids[j])) for i, j in window_links(x, window, cosine)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
+    tie = F.xxhash64("vec_id", F.lit(number))
     ordered = (
         vectors.select("vec_id", "embedding")
         .mapInArrow(keyed, f"key long, {rows_of}")
-        .repartitionByRange(partitions, "key", "vec_id")
-        .sortWithinPartitions("key", "vec_id")
+        .withColumn("tie", tie)
+        .repartitionByRange(partitions, "key", "tie")
+        .sortWithinPartitions("key", "tie")
+        .drop("key", "tie")
     )
     found = materialize(ordered.mapInArrow(windows, edge_of), f"pass-{number}")
-    ends = found.filter("vec_id is not null").select("border", "vec_id", "embedding")
+    ends = found.filter("border is not null and vec_id is not null").select("border", "vec_id", "embedding")
     rekeyed = ends.mapInArrow(
-        lambda batches: _with_border(batches, number), f"border int, key long, {rows_of}"
-    )
+        lambda batches: _with_border(batches, number, cuts), f"border int, key long, {rows_of}"
+    ).withColumn("tie", tie)
     met = rekeyed.groupBy("border").applyInPandas(meet, "a long, b long")
-    return found.filter("vec_id is null").select("a", "b").unionByName(met)
+    links = found.filter("vec_id is null").select("a", "b").unionByName(met)
+    return links, found.filter("missed is not null").select("vec_id", "missed")
 
 
-def _with_border(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+def _with_border(batches: Iterator[pa.RecordBatch], number: int, cuts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = unit(batch["embedding"])
-        signs = (x @ directions(x.shape[1], number).T) >= 0
-        key = signs.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+        key, _ = sign_keys(unit(batch["embedding"]), number, cuts)
         yield pa.RecordBatch.from_arrays(
             [batch["border"], pa.array(key), batch["vec_id"], batch["embedding"]],
             ["border", "key", "vec_id", "embedding"],
@@ -221,6 +302,48 @@ def links_inside(members: DataFrame, cosine: float) -> DataFrame:
     return parts.groupBy("vec_id").agg(F.sum("n").alias("n"))
 
 
+def found_links(distinct: DataFrame, number: int, window: int, cosine: float) -> list[DataFrame]:
+    """Links ``a, b`` of all passes over ``number`` different vectors, further passes included."""
+    out: list[DataFrame] = []
+    left, count, width = distinct.withColumn("missed", F.lit(0.0)), number, window
+    first = passes = passes_for(number, window, cosine)
+    least = min(4, shuffle_partitions(distinct.sparkSession))
+    while count > FEW or not out:
+        partitions = spread(count, PARTITION, 1 if count < 2 * width else least)
+        misses = [left.select("vec_id", "missed")]
+        for _ in range(passes):
+            cuts = crowd_cuts(left, len(out)) if len(out) >= first else None
+            links, missed = sorted_pass(left, len(out), partitions, width, cosine, cuts)
+            out.append(materialize(links, f"links-{len(out)}"))
+            misses.append(missed)
+        total = reduce(DataFrame.unionByName, misses).groupBy("vec_id").agg(F.sum("missed").alias("missed"))
+        total = total.filter(F.col("missed") > math.log(1 - RECALL))
+        left, seen = materialize_observed(
+            left.drop("missed").join(total, "vec_id"), "crowded", n=F.count(F.lit(1))
+        )
+        count = seen["n"]
+        width, passes = min(2 * width, max(WIDEST, window)), ROUND
+    if count:
+        out.append(materialize(all_links(left, count, cosine), "links-crowded"))
+    return out
+
+
+def all_links(vectors: DataFrame, count: int, cosine: float) -> DataFrame:
+    """Links ``a, b`` among ``count`` vectors by comparing all pairs, each two blocks in one group."""
+    blocks = -(-count // BLOCK)
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    cells = vectors.select(
+        "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), other
+    ).select("vec_id", "embedding", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        x, ids = unit(rows["embedding"].combine_chunks()), rows["vec_id"].to_numpy()
+        links = window_links(x, len(x), cosine)
+        return pa.table({c: pa.array([int(ids[p[i]]) for p in links], pa.int64()) for i, c in enumerate("ab")})
+
+    return cells.groupBy("low", "high").applyInArrow(compare, "a long, b long")
+
+
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     rows = vectors.filter("vec_id is not null").select(
@@ -232,11 +355,7 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WIN
         "distinct-vectors",
     )
     number = distinct.count()
-    partitions = spread(number, PARTITION, 1 if number < 2 * window else min(4, shuffle_partitions(rows.sparkSession)))
-    passes = [
-        materialize(sorted_pass(distinct, i, partitions, window, cosine), f"links-{i}")
-        for i in range(passes_for(number, window, cosine))
-    ]
+    passes = found_links(distinct, number, window, cosine)
     grouped = components(reduce(DataFrame.unionByName, passes))
     grouped = grouped.withColumnRenamed("node", "vec_id")
     inside = links_inside(distinct.join(grouped, "vec_id"), cosine)

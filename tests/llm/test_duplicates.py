@@ -1,5 +1,6 @@
 """Line dedup, Order MinHash, embeddings and components against brute force."""
 
+import math
 import random
 from itertools import combinations
 
@@ -258,6 +259,29 @@ def test_passes_grow_with_the_number():
     assert numbers == sorted(numbers) and numbers[0] < numbers[-1] < 100
 
 
+@pytest.mark.parametrize("few", [300, 16_384])
+def test_pairs_in_a_crowd_are_met(spark, monkeypatch, few):
+    """A third of the vectors lie in a cone without linking; pairs are planted in it."""
+    monkeypatch.setattr(embedding_dedup, "FEW", few, raising=False)
+    rng = np.random.default_rng(5)
+    n, width, window = 9_000, 64, 16
+
+    def units(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x = units(rng.standard_normal((n, width)))
+    middle = units(rng.standard_normal((1, width)))
+    x[: n // 3] = units(middle + 0.5 * x[: n // 3])
+    x[: n // 3] = x[rng.permutation(n // 3)]
+    pairs = [(i, n + i) for i in range(300)]
+    aside = rng.standard_normal((300, width))
+    aside = units(aside - (aside * x[:300]).sum(1, keepdims=True) * x[:300])
+    x = np.vstack([x, 0.955 * x[:300] + math.sqrt(1 - 0.955**2) * aside])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.linked_vectors(rows, window=window).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+
+
 def test_vectors_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [
