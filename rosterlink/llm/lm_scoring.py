@@ -1,10 +1,11 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
 Both models are word bigram models of one form over one vocabulary: lower-case words, parted
-by ASCII white space, hashed to ``VOCABULARY`` slots. The target model counts the documents
-named as targets, the background model all documents. With c for counts and N words,
+by ASCII white space, known by 62-bit hashes. The target model counts the documents named as
+targets, the background model all documents. With c for counts, N words, and V different words
+in all documents or ``VOCABULARY``, whichever is more,
 
-    p(w) = (c(w) + 1) / (N + VOCABULARY)
+    p(w) = (c(w) + 1) / (N + V)
     p(w | h) = (c(h, w) + STRENGTH * p(w)) / (c(h) + STRENGTH)
 
 and a document's score is the mean over its words of the loss under the target model minus
@@ -31,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.llm.common import mix, shuffle_partitions
-
-#: Word slots; the last number is the start of a document, so both fit 20 bits.
-SLOT_BITS = 20
-VOCABULARY = (1 << SLOT_BITS) - 1
-START = VOCABULARY
+from rosterlink.sources.tables import materialize
+
+#: The least number of words that smoothing reckons with; what is above the words seen is for unseen ones.
+VOCABULARY = (1 << 20) - 1
+#: Keys are 62 bits of a hash below one bit that says whether it is a bigram's; no word has the
+#: number of a document's start.
+WORD_BITS = 62
+START = (1 << WORD_BITS) - 1
 STRENGTH = 20.0
 BLOCK_CHARS = 16_000_000
 TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
@@ -43,13 +47,13 @@ JAVA_TOKEN = r"[^ \t\n\x0B\f\r]+"
 #: N-grams travel in rows of many: keys by their differences, counts of all and of targets.
 KINDS, CODEC = (np.int64, np.int64, np.int64), "zstd"
 _VALUES = pa.schema(
-    [("part", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())]
+    [("part", pa.int64()), ("distinct", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("t", pa.binary())]
 )
 _SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
 class Slots:
-    """Word slots, remembered."""
+    """Word hashes, remembered."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -58,14 +62,15 @@ class Slots:
         words = TOKEN.findall(text.lower())
         known = self.known
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w) % VOCABULARY
+            known[w] = xxhash.xxh3_64_intdigest(w) % START
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def pairs(words: np.ndarray) -> np.ndarray:
     """Keys of the bigrams of a text; those of single words are below them."""
-    before = np.concatenate([[START], words[:-1]])
-    return (before + 1) << SLOT_BITS | words
+    before = np.concatenate([[START], words[:-1]]).astype(np.uint64)
+    hashed = mix(mix(before, 21) * np.uint64(31) + words.astype(np.uint64), 23)
+    return (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64) | 1 << WORD_BITS
 
 
 def block_ngrams(rows: pa.Table) -> tuple[list, list[np.ndarray], np.ndarray]:
@@ -90,15 +95,20 @@ def counted(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(keys: np.ndarray, *counts: np.ndarray) -> list[bytes]:
-    """Ascending keys as their differences, and counts, compressed."""
+    """Ascending keys as their differences, and counts, compressed; all first bytes, then all
+    second bytes and so on, so that the high ones take no room.
+    """
     gaps = np.diff(keys, prepend=0)
-    return [pa.compress(v.astype(kind).tobytes(), CODEC, asbytes=True) for v, kind in zip((gaps, *counts), KINDS, strict=True)]
+    planes = [np.ascontiguousarray(v, kind).view(np.uint8).reshape(len(keys), -1).T for v, kind in zip((gaps, *counts), KINDS, strict=True)]
+    return [pa.compress(p.tobytes(), CODEC, asbytes=True) for p in planes]
 
 
 def unpacked(size: int, columns: list[bytes]) -> list[np.ndarray]:
     widths = [np.dtype(kind).itemsize for kind in KINDS]
-    raw = [pa.decompress(c, size * w, CODEC) for c, w in zip(columns, widths, strict=True)]
-    gaps, *counts = (np.frombuffer(r, kind) for r, kind in zip(raw, KINDS, strict=True))
+    raw = [np.frombuffer(pa.decompress(c, size * w, CODEC), np.uint8) for c, w in zip(columns, widths, strict=True)]
+    gaps, *counts = (
+        np.ascontiguousarray(r.reshape(w, size).T).view(kind).ravel() for r, w, kind in zip(raw, widths, KINDS, strict=True)
+    )
     return [np.cumsum(gaps), *counts]
 
 
@@ -120,7 +130,7 @@ def count_block(parts: int):
         cuts = np.flatnonzero(np.diff(part[order], prepend=parts + 1))
         made = []
         for at in np.split(order, cuts[1:]) if len(cuts) else []:
-            made.append((int(part[at[0]]), key[0].as_py(), len(at), *packed(keys[at], n[at], t[at])))
+            made.append((int(part[at[0]]), None, key[0].as_py(), len(at), *packed(keys[at], n[at], t[at])))
         return _rows(made)
 
     return run
@@ -142,18 +152,20 @@ def add_up(key: tuple, rows: pa.Table) -> pa.Table:
     sums = [
         np.add.reduceat(np.concatenate([f[i] for f in found])[order].astype(np.int64), first) for i in (2, 3)
     ]
-    made, start = [], 0
+    # A row without a block says how many different words the part holds.
+    single = ranked[first] < START
+    made, start = [(key[0].as_py(), int(single.sum()), None, 0, b"", b"", b"")], 0
     for block, keys, _, _ in found:
         own = group[start : start + len(keys)]
         start += len(keys)
         keep = shared[own]
         if keep.any():
             values = packed(keys[keep], *(s[own[keep]] for s in sums))
-            made.append((key[0].as_py(), block, int(keep.sum()), *values))
+            made.append((key[0].as_py(), None, block, int(keep.sum()), *values))
     return _rows(made)
 
 
-def score_block(totals: tuple[int, int]):
+def score_block(totals: tuple[int, int], vocabulary: int):
     """A function of a block's documents and of the sums it got back; ``totals`` are N."""
 
     def run(rows: pa.Table, values: pa.Table) -> pa.Table:
@@ -176,7 +188,7 @@ def score_block(totals: tuple[int, int]):
             losses = []
             for counts, total in ((t, totals[1]), (n, totals[0])):
                 one, history, two = (counts[p] for p in places)
-                single = (one + 1) / (total + VOCABULARY)
+                single = (one + 1) / (total + vocabulary)
                 losses.append(float(-np.log((two + STRENGTH * single) / (history + STRENGTH)).mean()))
             out.append((doc, len(w), *losses, losses[0] - losses[1]))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -202,12 +214,13 @@ def score_documents(docs: DataFrame, targets: DataFrame, block_chars: int = BLOC
     rows = own.select(block, "doc_id", "text", F.lit(False).alias("target")).unionByName(
         marked.select(block, "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target"))
     )
-    kind = "part long, block long, size long, keys binary, n binary, t binary"
+    kind = "part long, distinct long, block long, size long, keys binary, n binary, t binary"
     parts = max(blocks, shuffle_partitions(docs.sparkSession))
     grams = rows.groupBy("block").applyInArrow(count_block(parts), kind)
-    values = grams.groupBy("part").applyInArrow(add_up, kind)
+    values = materialize(grams.groupBy("part").applyInArrow(add_up, kind), "ngram-sums")
+    different = values.agg(F.sum("distinct")).first()[0] or 0
     return (
         rows.groupBy("block")
-        .cogroup(values.groupBy("block"))
-        .applyInArrow(score_block((sums["n"] or 0, sums["t"] or 0)), _SCORES)
+        .cogroup(values.filter("block is not null").groupBy("block"))
+        .applyInArrow(score_block((sums["n"] or 0, sums["t"] or 0), max(VOCABULARY, different)), _SCORES)
     )

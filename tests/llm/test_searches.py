@@ -197,6 +197,41 @@ def test_scores_in_blocks(spark, documents, block_chars):
             assert r["score"] == pytest.approx(target - background)
 
 
+def test_scores_count_real_words(spark, documents, monkeypatch):
+    """Against counts of the words themselves; many words, and a vocabulary above its least size."""
+    rng = random.Random(15)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 1_000, raising=False)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.3)) % 40_000}" for _ in range(600)) for i in range(50)}
+    targets = set(range(0, 50, 5))
+    marks = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    got = lm_scoring.score_documents(documents(list(texts.items())), marks, 40_000).collect()
+    words = {i: t.split() for i, t in texts.items()}
+    size = len({w for own in words.values() for w in own})
+    assert size > 1_000
+    wanted = {}
+    for held in (targets, set(texts)):
+        c = Counter(w for i in held for w in words[i])
+        c.update(p for i in held for p in zip([None, *words[i]], words[i], strict=False))
+        c[None] = len(held)
+        n, strength = sum(len(words[i]) for i in held), lm_scoring.STRENGTH
+        for i, own in words.items():
+            chances = [
+                (c[h, w] + strength * (c[w] + 1) / (n + size)) / (c[h] + strength)
+                for h, w in zip([None, *own], own, strict=False)
+            ]
+            wanted.setdefault(i, []).append(-sum(map(math.log, chances)) / len(own))
+    assert len(got) == 50
+    for r in got:
+        assert [r["loss_target"], r["loss_background"]] == pytest.approx(wanted[r["doc_id"]])
+
+
+def test_words_that_differ_have_keys_of_their_own():
+    words = lm_scoring.Slots().of(" ".join(f"w{i}" for i in range(50_000)))
+    assert len(set(words.tolist())) == 50_000
+    assert len(set(lm_scoring.pairs(words).tolist())) == 50_000
+    assert max(words.tolist()) < lm_scoring.START < min(lm_scoring.pairs(words).tolist())
+
+
 def test_scores_odd_texts(spark, documents, odd_texts):
     targets = spark.createDataFrame([(7,)], "doc_id long")
     docs = documents(odd_texts).withColumnRenamed("source", "block")
