@@ -5,9 +5,11 @@ Further spans of kind ``markov`` are tokens of identifier characters that a Mark
 random strings explains better than one of ordinary identifiers: the mean log-likelihood
 ratio of their characters must reach a threshold. Both models are trained on labelled tokens
 of the corpus itself: random are the values that base patterns caught, ordinary are
-tokens of the same characters outside of them. Training looks at documents picked by a hash of their
-text, about ``SAMPLE`` of them, a documented bound; counts of transitions are summed by task
-before they meet. Base spans never change by what the method adds; ``markov`` spans
+tokens of the same characters outside of them. Training looks at two samples picked by a hash,
+about ``SAMPLE`` documents each, a documented bound: one of the documents that match the base
+patterns, one of all others; so secrets train the model however rare they are. Counts of
+transitions are summed by task before they meet. A corpus without any secret gives a warning
+and no ``markov`` spans. Base spans never change by what the method adds; ``markov`` spans
 that overlap a base span are left out.
 
 Spans are in code points with the end exclusive. A span covers the whole match. Null or empty
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,14 +38,21 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: For Spark: what a text with a base span matches.
+HOLDS_SECRET = (
+    r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}"
+    r"|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
+)
 #: A text without a run of this length has no hex span, which is faster to find out.
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 #: What the models look at: tokens of identifier characters, at least this long.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Words and numbers alone are no candidates: a token needs both a letter and a digit.
-MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+MIXED = re.compile(r"\A(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 10_000
+#: Steps in which the share of a sample is set.
+SHARES = 10**15
 #: Least mean log-likelihood ratio by character, in nats.
 LEAST_RATIO = 0.5
 _CODE = np.full(128, len(ALPHABET), np.int64)
@@ -108,10 +118,14 @@ def secret_values(text: str) -> Iterator[tuple[str, int, int]]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovRatio | None:
     """Both models from the corpus; ``None`` where it holds no secret to learn from."""
-    texts = docs.filter("text is not null").select("text")
-    total = texts.count()
-    share = min(1.0, sample / total) if total else 1.0
-    picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    texts = docs.filter("text is not null").select(
+        "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).alias("place"),
+        F.col("text").rlike(HOLDS_SECRET).alias("holds"),
+    )
+    sizes = texts.agg(F.count_if("holds").alias("holds"), F.count_if(~F.col("holds")).alias("others")).first()
+    share = {c: int(min(1.0, sample / max(1, sizes[c])) * SHARES) for c in ("holds", "others")}
+    bound = F.when(F.col("holds"), share["holds"]).otherwise(share["others"])
+    picked = texts.filter(F.col("place") < bound).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {label: np.zeros(STATES**2, np.int64) for label in ("random", "ordinary")}
@@ -141,6 +155,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovRatio | None:
     for r in rows:
         sums[r["label"]][r["step"]] = r["n"]
     if not sums["random"].any():
+        warnings.warn("no document holds a secret to train on, so there are no markov spans", stacklevel=2)
         return None
     return MarkovRatio.of(sums["random"], sums["ordinary"])
 

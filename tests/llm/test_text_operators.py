@@ -143,6 +143,34 @@ def test_markov_adds_spans_and_keeps_base(spark, documents):
     assert got["base_sha256"].tolist() == [digest(",".join(plain_base(t))) for t in rows]
 
 
+def test_rare_secrets_train_the_model(documents):
+    rng = random.Random(6)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    rows = [f"plain_words {PROSE[i % 3]} number {i}" for i in range(2_000)]
+    rows += [f"token = {digits(40)}" for _ in range(20)] + [f"see {digits(24)} there" for _ in range(20)]
+    got = secret_scan.find_secrets(documents(rows), sample=20).orderBy("doc_id").toPandas()
+    assert got["n_markov"][2_020:].sum() >= 16 and got["n_markov"][:2_000].sum() == 0
+
+
+def test_many_copies_of_a_secret_train_the_model(documents):
+    rows = [f"token = {'0123456789abcdef' * 2}"] * 500
+    assert secret_scan.train(documents(rows), sample=50) is not None
+
+
+def test_no_secret_to_train_on_is_said(documents):
+    with pytest.warns(UserWarning, match="no document holds a secret"):
+        assert secret_scan.train(documents(PROSE)) is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "API_KEY", "toKen", " ", "=", ":", '"', "'", "AKIA", "ABCDEFGH1234", "deadbeef01", "0" * 30, "é"]), max_size=14).map("".join))
+def test_texts_with_base_spans_are_sampled(text):
+    assert re.search(secret_scan.HOLDS_SECRET, text, re.ASCII) or not secret_scan.base_spans(text)
+
+
 def test_secrets_odd_texts(documents, odd_texts):
     got = secret_scan.find_secrets(documents(odd_texts)).toPandas()
     assert len(got) == len(odd_texts) and (got["spans"] == "").all()
