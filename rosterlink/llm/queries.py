@@ -10,6 +10,7 @@ from rosterlink.llm import (
     bpe,
     decontamination,
     embedding_dedup,
+    fill_middle,
     language_id,
     line_dedup,
     lm_scoring,
@@ -96,3 +97,11 @@ ORACLE["op9_url_filter"] = url_filter.SQL
 def op4_lm_scoring(s: SparkSession, d: str) -> DataFrame:
     good = table(s, d, "labels").filter("quality = 1").select("doc_id")
     return lm_scoring.score_documents(table(s, d, "documents"), good)
+
+
+@query
+def op13_fill_middle(s: SparkSession, d: str) -> DataFrame:
+    return fill_middle.middle_report(table(s, d, "documents"))
+
+
+ORACLE["op13_fill_middle"] = fill_middle.SQL
