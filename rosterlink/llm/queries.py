@@ -16,6 +16,7 @@ from rosterlink.llm import (
     lm_scoring,
     order_minhash,
     secret_scan,
+    substring_dedup,
     toxicity,
     url_filter,
 )
@@ -105,3 +106,11 @@ def op13_fill_middle(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op13_fill_middle"] = fill_middle.SQL
+
+
+@query
+def op12_substring_dedup(s: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(s, d, "documents"))
+
+
+ORACLE["op12_substring_dedup"] = substring_dedup.sql()
