@@ -16,6 +16,7 @@ from rosterlink.llm import (
     lm_scoring,
     order_minhash,
     secret_scan,
+    spelling_variants,
     substring_dedup,
     toxicity,
     url_filter,
@@ -114,3 +115,8 @@ def op12_substring_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op12_substring_dedup"] = substring_dedup.sql()
+
+
+@query
+def op11_spelling_variants(s: SparkSession, d: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(s, d, "documents"))
