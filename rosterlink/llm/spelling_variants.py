@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,7 +47,7 @@ RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 HELD_WORDS, LONG_TEXT = 200_000, 1 << 20
 #: Words and bytes of a side of a cell; words whose products are formed together.
 TILE_WORDS, TILE_BYTES, PACK_WORDS = 4096, 1 << 20, 256
-#: Bytes of a block of products, and of the letters looked at when edits are verified.
+#: Bytes of a block of products.
 PRODUCT_BYTES = 16 << 20
 #: Rows that a partition of the word table and of the cells should hold.
 PARTITION_ROWS = 100_000
@@ -149,60 +149,59 @@ class Letters:
         sums = np.stack([self.sums(np.where(group == g, _WEIGHTS, np.uint64(0))) for g in range(groups)], axis=1)
         return sums[a] != sums[b]
 
-    def spelt(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """The letters of the rows in a matrix, filled up with zeros."""
-        out = np.zeros((len(rows), width), np.uint8)
-        lengths = self.lengths[rows]
-        at = np.arange(width) < lengths[:, None]
-        first = np.repeat(self.starts[rows], lengths)
-        step = np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[at] = self.codes[first + step]
-        return out
+    def spelt(self, rows: np.ndarray) -> np.ndarray:
+        """The letters of rows of one length, a row of a matrix each."""
+        width = int(self.lengths[rows[0]]) if len(rows) else 0
+        return self.codes[self.starts[rows, None] + np.arange(width)]
 
 
 #: A random weight for each letter; sums of them stand for letter counts.
 _WEIGHTS = mix(np.arange(256, dtype=np.uint64), 41)
 
 
-def one_edit(letters: Letters, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each pair of rows is one edit apart; ``b`` is as long as ``a`` or one longer."""
-    if not len(a):
-        return np.empty(0, bool)
-    width = int(letters.lengths[b].max())
-    step = max(1, PRODUCT_BYTES // (4 * width))
-    out = []
-    for i in range(0, len(a), step):
-        short, long = a[i : i + step], b[i : i + step]
-        s, t = letters.spelt(short, width + 1), letters.spelt(long, width + 1)
-        same = letters.lengths[short] == letters.lengths[long]
-        agree = s == t
-        front = np.cumprod(agree[:, :-1], axis=1).sum(axis=1)
-        back = np.cumprod((s[:, :-1] == t[:, 1:])[:, ::-1], axis=1).sum(axis=1)
-        out.append(np.where(same, (~agree).sum(axis=1) == 1, front + back >= width))
-    return np.concatenate(out)
-
-
-def close_counts(letters: Letters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same or adjacent lengths whose counts are at most two apart,
-    squared; the second is as long as the first or one longer."""
+def replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words of one length differ in one letter."""
+    return (a != b).sum(axis=1) == 1
+
+
+def inserted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``b``, longer by one letter, is ``a`` with a letter put in: what agrees from
+    the front and what agrees from the back make up all of ``a``."""
+    width = a.shape[1]
+    front, back = a != b[:, :-1], (a != b[:, 1:])[:, ::-1]
+    agree = [np.where(x.any(axis=1), x.argmax(axis=1), width) for x in (front, back)]
+    return agree[0] + agree[1] >= width
+
+
+def close_pairs(letters: Letters, meet: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet and are one edit apart; the second is as long as the first or
+    one longer.
+
+    Pairs whose letter counts are at most two apart, squared, come from products of a block of
+    rows with all rows of their length and of the next; ``meet`` says which of them to look at.
+    """
     counts = letters.counts()
-    norms = (counts**2).sum(axis=1)
+    half = (counts**2).sum(axis=1, keepdims=True) / -2
+    # Products of these two are half the squared distance, negative.
+    one, two = np.hstack([counts, half, half * 0 + 1]), np.hstack([counts, half * 0 + 1, half])
     of_length = {int(n): np.flatnonzero(letters.lengths == n) for n in np.unique(letters.lengths)}
     for n, rows in of_length.items():
-        for others in (rows, of_length.get(n + 1, rows[:0])):
-            step = max(1, PRODUCT_BYTES // (4 * max(1, len(others))))
-            for i in range(0, len(rows) if len(others) else 0, step):
-                part = rows[i : i + step]
-                gram = counts[part] @ counts[others].T
-                squared = norms[part, None] + norms[others] - 2 * gram
-                x, y = np.nonzero(squared < 2.5)
-                a, b = part[x], others[y]
+        spelt = letters.spelt(rows)
+        for others, edit in ((rows, replaced), (of_length.get(n + 1), inserted)):
+            if others is None:
+                continue
+            longer = spelt if others is rows else letters.spelt(others)
+            step = max(1, PRODUCT_BYTES // (4 * len(others) * (1 + n // 8)))
+            for i in range(0, len(rows), step):
+                gram = one[rows[i : i + step]] @ two[others].T
+                x, y = np.divmod(np.flatnonzero(gram >= -1), len(others))
+                x += i
+                keep = meet(rows[x], others[y])
                 if others is rows:
-                    a, b = a[a < b], b[a < b]
-                yield a, b
-
-
-_CELL = "choice int, key long, left int, right int, tile int, word binary, n long"
+                    keep &= x < y
+                x, y = x[keep], y[keep]
+                near = edit(spelt[x], longer[y])
+                yield rows[x[near]], others[y[near]]
 
 
 def meeting_rows(words: DataFrame, group: np.ndarray, groups: int) -> DataFrame:
@@ -256,14 +255,11 @@ def near_in(pack: pa.Table, group: np.ndarray, groups: int) -> pa.RecordBatch:
     new = np.zeros(len(choice), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (choice, key, left, right)])
     cell = np.cumsum(new)
-    firsts, seconds = [], []
-    for a, b in close_counts(letters):
-        met = (cell[a] == cell[b]) & ((left[a] == right[a]) | (tile[a] != tile[b]))
-        firsts.append(a[met])
-        seconds.append(b[met])
-    a, b = np.concatenate(firsts), np.concatenate(seconds)
-    near = one_edit(letters, a, b)
-    a, b = a[near], b[near]
+
+    def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (cell[a] == cell[b]) & ((left[a] == right[a]) | (tile[a] != tile[b]))
+
+    a, b = (np.concatenate(x) for x in zip(*close_pairs(letters, meet), strict=True))
     # A pair that differs in one group alone counts where that one is left out with the first other.
     touched = letters.touched(a, b, group, groups)
     single = touched.sum(axis=1) == 1
@@ -289,11 +285,11 @@ def near_in(pack: pa.Table, group: np.ndarray, groups: int) -> pa.RecordBatch:
     )
 
 
-def near_words(words: DataFrame, count: int) -> DataFrame:
+def near_words(words: DataFrame, count: int, tile_words: int = TILE_WORDS) -> DataFrame:
     """``word, n_near, best_n, best`` of the words of ``words`` (``count`` rows) that have near words."""
     groups = max(4, (count.bit_length() - 11) // 2)
     group = letter_groups(words, groups)
-    met = cells(meeting_rows(words, group, groups))
+    met = cells(meeting_rows(words, group, groups), tile_words)
     at = ["choice", "key", "left", "right"]
     rows = count * groups * (groups - 1) // 2
     parts = spread(rows, PARTITION_ROWS, shuffle_partitions(words.sparkSession))
