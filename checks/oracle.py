@@ -645,14 +645,14 @@ def _caught(keys: str) -> str:
     )
 
 
-add(
-    "estimate_prior", "records",
-    "SELECT s.recipient_type, round(greatest(1e-7, least(1 - 1e-7, "
-    "(coalesce(a.c, 0) + coalesce(b.c, 0) - coalesce(ab.c, 0)) / 0.7 / (s.n * (s.n - 1) / 2))), 9) AS prior "
+_priors = (
+    "SELECT s.recipient_type, greatest(1e-7, least(1 - 1e-7, "
+    "(coalesce(a.c, 0) + coalesce(b.c, 0) - coalesce(ab.c, 0)) / 0.7 / (s.n * (s.n - 1) / 2))) AS prior "
     "FROM (SELECT recipient_type, count(*) AS n FROM records GROUP BY 1) s "
     f"LEFT JOIN ({_caught(_a)}) a USING (recipient_type) LEFT JOIN ({_caught(_b)}) b USING (recipient_type) "
-    f"LEFT JOIN ({_caught(_a + ', ' + _b)}) ab USING (recipient_type)",
+    f"LEFT JOIN ({_caught(_a + ', ' + _b)}) ab USING (recipient_type)"
 )
+add("estimate_prior", "records", f"SELECT * REPLACE (round(prior, 9) AS prior) FROM ({_priors})")
 
 
 def _u_part(c: str, kind: str) -> str:
@@ -670,12 +670,32 @@ def _u_part(c: str, kind: str) -> str:
     )
 
 
-_u_parts = " UNION ALL ".join(f"SELECT * FROM ({_u_part(c, k)}) WHERE pairs > 0" for c, k in KINDS.items())
-ORACLE["estimate_u"] = on(
+def _u_whole(c: str, kind: str) -> str:
+    """Levels of all pairs of records, by pairs of distinct values."""
+    if kind == "exact":
+        return _u_part(c, kind)
+    columns = f"{c}, recipient_legal_name_stripped_en" if kind == "custom" else c
+    return (
+        f"SELECT shard, '{c}' AS comparison, level, sum(pairs)::BIGINT AS pairs FROM ("
+        f"WITH v AS MATERIALIZED (SELECT recipient_type, {columns}, count(*) AS n, row_number() OVER () AS i "
+        f"FROM records WHERE {c} IS NOT NULL GROUP BY ALL) "
+        f"SELECT l.recipient_type AS shard, ({_level(c, kind)})::BIGINT AS level, "
+        "sum(CASE WHEN l.i = r.i THEN l.n * (l.n - 1) // 2 ELSE l.n * r.n END) AS pairs "
+        "FROM v l JOIN v r ON l.recipient_type = r.recipient_type AND l.i <= r.i GROUP BY 1, 2) GROUP BY 1, 3"
+    )
+
+
+def _u_table(part) -> str:
+    parts = " UNION ALL ".join(f"SELECT * FROM ({part(c, k)}) WHERE pairs > 0" for c, k in KINDS.items())
+    return f"SELECT *, pairs::DOUBLE / sum(pairs) OVER (PARTITION BY shard, comparison) AS u FROM ({parts})"
+
+
+_shown_u = "SELECT * REPLACE (round(u, 9) AS u) FROM"
+ORACLE["estimate_u"] = on("records", f"{_shown_u} ({_u_table(_u_whole)})")
+ORACLE["estimate_u_sampled"] = on(
     "records",
     ", sample AS MATERIALIZED (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY recipient_type "
-    "ORDER BY md5('0:' || unique_id), unique_id) <= 1000) "
-    f"SELECT *, round(pairs::DOUBLE / sum(pairs) OVER (PARTITION BY shard, comparison), 9) AS u FROM ({_u_parts})",
+    f"ORDER BY md5('0:' || unique_id), unique_id) <= 1000) {_shown_u} ({_u_table(_u_part)})",
 )
 _gammas = ", ".join(f"g_{c}" for c in KINDS)
 _patterns = (
@@ -712,6 +732,113 @@ ORACLE["em_round"] = on(
     "vectors",
     f", patterns AS ({_patterns}) {_session(0, [_a])} UNION ALL {_session(1, _b.split(', '))}",
 )
+
+
+def _clamped(x: str) -> str:
+    return f"greatest(1e-7, least(1 - 1e-7, {x}))"
+
+
+_LEVELS = {c: len(VALUES[kind][0]) for c, kind in KINDS.items()}
+_SESSIONS = [[_a], _b.split(", ")]
+_codes_of = " UNION ALL ".join(
+    f"SELECT '{c}' AS comparison, unnest(range({k})) AS level, {k} AS levels" for c, k in _LEVELS.items()
+)
+
+
+def _free(c: str) -> str:
+    """Whether the session trains the comparison."""
+    held = [str(i) for i, fixed in enumerate(_SESSIONS) if c in fixed]
+    return f"session NOT IN ({', '.join(held)})" if held else "true"
+
+
+def _em(priors: str, u: str) -> str:
+    """CTEs that train from tables ``(shard, prior)`` and ``(shard, comparison, level, u)``.
+
+    ``em`` holds a row for each session, type and round, its shares as lists; a session goes on
+    until no share moves by 1e-4. ``trained`` is where each ends, and ``shares`` m of both sessions.
+    """
+    lists = ", ".join(f"list(u ORDER BY level) FILTER (comparison = '{c}') AS u_{c}" for c in KINDS)
+    starts = []
+    for number, fixed in enumerate(_SESSIONS):
+        odds = " * ".join(["prior / (1 - prior)", *[f"0.95::DOUBLE / {_clamped(f'u_{c}[1]')}" for c in fixed]])
+        starts.append(f"SELECT {number} AS session, *, {odds} AS odds FROM u_lists JOIN priors USING (shard)")
+    first = ", ".join(
+        f"[0.95::DOUBLE, {', '.join([f'0.05::DOUBLE / {k - 1}'] * (k - 1))}] AS m_{c}, false AS t_{c}" for c, k in _LEVELS.items()
+    )
+    kept_u = ", ".join(f"u_{c}" for c in KINDS)
+    ratio = " * ".join(
+        f"CASE WHEN g_{c} < 0 OR NOT ({_free(c)}) THEN 1.0::DOUBLE ELSE {_clamped(f'm_{c}[g_{c} + 1]')} / {_clamped(f'u_{c}[g_{c} + 1]')} END"
+        for c in KINDS
+    )
+    sums = ", ".join(
+        "[" + ", ".join(f"sum(CASE WHEN g_{c} = {k} THEN n_pairs * w ELSE 0 END)" for k in range(n)) + f"] AS a_{c}"
+        for c, n in _LEVELS.items()
+    )
+    carried = ", ".join(f"any_value({x}_{c}) AS {x}_{c}" for c in KINDS for x in ("m", "t", "u"))
+    moves = {c: f"(({_free(c)}) AND list_sum(a_{c}) > 1e-7)" for c in KINDS}
+    new = {c: f"list_transform(a_{c}, lambda x: {_clamped(f'x / list_sum(a_{c})')})" for c in KINDS}
+    moved = ", ".join(
+        f"CASE WHEN {moves[c]} THEN {new[c]} ELSE m_{c} END AS m_{c}, t_{c} OR {moves[c]} AS t_{c}" for c in KINDS
+    )
+    change = ", ".join(
+        f"CASE WHEN {moves[c]} THEN list_max(list_transform(list_zip({new[c]}, m_{c}), lambda x: abs(x[1] - x[2]))) ELSE 0 END"
+        for c in KINDS
+    )
+    long = " UNION ALL ".join(
+        f"SELECT session, shard, rounds, prior, '{c}' AS comparison, unnest(range({n})) AS level, unnest(m_{c}) AS m, t_{c} AS trained FROM last"
+        for c, n in _LEVELS.items()
+    )
+    known_u = _clamped(
+        "coalesce(CASE WHEN bool_or(u IS NOT NULL) OVER (PARTITION BY shard, comparison) "
+        "THEN coalesce(u, 0) END, others, 1.0::DOUBLE / levels)"
+    )
+    return f"""
+, patterns AS MATERIALIZED ({_patterns}),
+held AS MATERIALIZED (SELECT session, p.* EXCLUDE (recipient_type), recipient_type AS shard FROM patterns p, (VALUES (0), (1)) t(session)
+  WHERE CASE session {' '.join(f"WHEN {i} THEN {' AND '.join(f'g_{c} = 0' for c in fixed)}" for i, fixed in enumerate(_SESSIONS))} END),
+priors AS MATERIALIZED ({priors}),
+u_seen AS MATERIALIZED ({u}),
+u_full AS MATERIALIZED (SELECT shard, comparison, level, {known_u} AS u
+  FROM priors CROSS JOIN ({_codes_of}) LEFT JOIN u_seen USING (shard, comparison, level)
+  LEFT JOIN (SELECT comparison, level, coalesce(sum(u), 0) / any_value(k) AS others FROM ({_codes_of})
+    JOIN (SELECT comparison, count(DISTINCT shard) AS k FROM u_seen GROUP BY 1) USING (comparison)
+    LEFT JOIN u_seen USING (comparison, level) GROUP BY 1, 2) USING (comparison, level)),
+u_lists AS MATERIALIZED (SELECT shard, {lists} FROM u_full GROUP BY 1),
+em AS (SELECT session, shard, 0 AS rounds, false AS settled, {_clamped('odds / (1 + odds)')} AS prior, {first}, {kept_u}
+  FROM ({' UNION ALL '.join(starts)})
+UNION ALL SELECT session, shard, rounds + 1, greatest({change}) < 1e-4, CASE WHEN pairs > 0 THEN {_clamped('likely / pairs')} ELSE prior END, {moved}, {kept_u}
+  FROM (SELECT session, shard, any_value(rounds) AS rounds, any_value(prior) AS prior, {carried}, sum(n_pairs)::DOUBLE AS pairs,
+      sum(n_pairs * w) AS likely, {sums} FROM (SELECT *, o / (o + 1) AS w FROM
+      (SELECT *, prior / (1 - prior) * {ratio} AS o FROM em JOIN held USING (session, shard) WHERE NOT settled AND rounds < 200))
+    GROUP BY session, shard)),
+last AS MATERIALIZED (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY session, shard ORDER BY rounds DESC) = 1),
+trained AS MATERIALIZED ({long}),
+own AS MATERIALIZED (SELECT shard, comparison, level, avg(m) AS m FROM trained WHERE trained GROUP BY ALL),
+shares AS MATERIALIZED (SELECT shard, comparison, level, coalesce(o.m, x.m, CASE level WHEN 0 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE / (levels - 1) END) AS m
+  FROM priors CROSS JOIN ({_codes_of}) LEFT JOIN own o USING (shard, comparison, level)
+  LEFT JOIN (SELECT comparison, level, avg(m) AS m FROM own GROUP BY ALL) x USING (comparison, level)),
+params AS MATERIALIZED (SELECT shard, comparison, level, {_clamped('m')} AS m, u, prior FROM shares
+  JOIN u_full USING (shard, comparison, level) JOIN priors USING (shard))
+"""
+
+
+_fixed_em = _em(
+    f"SELECT unnest([{', '.join(repr(x) for x in V.RECIPIENT_TYPES)}]) AS shard, {PRIOR}::DOUBLE AS prior",
+    "SELECT shard, comparison, unnest(range(len(us))) AS level, unnest(us)::DOUBLE AS u FROM priors, (VALUES "
+    + ", ".join(f"('{c}', {VALUES[kind][1]})" for c, kind in KINDS.items()) + ") t(comparison, us)",
+)
+ORACLE["em_train"] = on("vectors", _fixed_em + (
+    "SELECT session::BIGINT AS session, shard, rounds::BIGINT AS rounds, round(prior, 6) AS prior, comparison, level, "
+    "round(m, 6) AS m, trained FROM trained"
+))
+ORACLE["combine_sessions"] = on("vectors", _fixed_em + "SELECT shard, comparison, level, round(m, 6) AS m FROM shares")
+_whole_em = _em(
+    f"SELECT recipient_type AS shard, prior FROM ({_priors}) WHERE shard IN (SELECT recipient_type FROM records GROUP BY 1 HAVING count(*) > 1)",
+    _u_table(_u_whole),
+)
+ORACLE["trained_parameters"] = ORACLE["save_load_model"] = on("vectors", _whole_em + (
+    "SELECT shard, comparison, level, round(m, 6) AS m, round(u, 9) AS u, round(prior, 9) AS prior FROM params"
+), "records")
 add(
     "score_pairs", "scored",
     "SELECT id_l, id_r, n_pairs, round(match_weight, 6) AS match_weight, "

@@ -154,7 +154,7 @@ def snapshot_verdicts(s: SparkSession, d: str) -> DataFrame:
 def save_load_model(s: SparkSession, d: str) -> DataFrame:
     path = _scratch(s, "model")
     results.save_model(stage(s, d, "params"), path)
-    return results.load_model(s, path)
+    return _shown_params(results.load_model(s, path))
 
 
 # Profiling
@@ -597,7 +597,12 @@ def estimate_prior(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def estimate_u(s: SparkSession, d: str) -> DataFrame:
-    return _longs(_rounded(training.estimate_u(stage(s, d, "records")), ["u"], 9))
+    return _longs(_rounded(training.estimate_u(stage(s, d, "profiles")), ["u"], 9))
+
+
+@query
+def estimate_u_sampled(s: SparkSession, d: str) -> DataFrame:
+    return _longs(_rounded(training.estimate_u_sampled(stage(s, d, "records")), ["u"], 9))
 
 
 @query
@@ -605,24 +610,58 @@ def gamma_patterns(s: SparkSession, d: str) -> DataFrame:
     return _longs(training.gamma_patterns(stage(s, d, "vectors")))
 
 
+def _fixed_start() -> tuple[dict[str, dict[str, list[float]]], dict[str, float]]:
+    """The fixed test parameters: u and the prior by type."""
+    u = {c.column: LEVEL_VALUES[len(c.codes)][1] for c in MODEL.comparisons}
+    return {shard: u for shard in MODEL.shards}, {shard: PRIOR for shard in MODEL.shards}
+
+
 @query
 def em_round(s: SparkSession, d: str) -> DataFrame:
     """One round from the fixed test parameters."""
     patterns = training.session_patterns(training.gamma_patterns(stage(s, d, "vectors")))
-    values = {c.column: LEVEL_VALUES[len(c.codes)] for c in MODEL.comparisons}
+    m = {c.column: LEVEL_VALUES[len(c.codes)][0] for c in MODEL.comparisons}
     states = {
-        (number, shard): training.SessionState(
-            PRIOR, {c.column: values[c.column][0] for c in MODEL.comparisons}
-        )
+        (number, shard): training.SessionState(PRIOR, m)
         for number in range(len(MODEL.sessions))
         for shard in MODEL.shards
     }
-    u = {shard: {c: v[1] for c, v in values.items()} for shard in MODEL.shards}
-    table = training.session_frame(s, states, u, MODEL)
+    table = training.session_frame(s, states, _fixed_start()[0], MODEL)
     result = training.em_round(patterns, table, MODEL)
+    result = result.drop("prior", "m", "u", "trained", "rounds", "settled")
     return _longs(_rounded(result, [c for c in result.columns if c not in ("session", "shard")], 4))
 
 
+def _fixed_training(s: SparkSession, d: str) -> training.EmStates:
+    return training.em_train(training.gamma_patterns(stage(s, d, "vectors")), *_fixed_start())
+
+
+@query
+def em_train(s: SparkSession, d: str) -> DataFrame:
+    """Rounds from the fixed test u and prior until each session settles."""
+    rows = [
+        (session, shard, state.rounds, state.prior, c.column, level, state.m[c.column][level], c.column in state.trained)
+        for (session, shard), state in _fixed_training(s, d).items()
+        for c in MODEL.comparisons
+        for level in c.codes
+    ]
+    kind = "session long, shard string, rounds long, prior double, comparison string, level long, m double, trained boolean"
+    return _rounded(s.createDataFrame(rows, kind), ["prior", "m"])
+
+
+@query
+def combine_sessions(s: SparkSession, d: str) -> DataFrame:
+    """m of both sessions together."""
+    found = training.combine_sessions(_fixed_training(s, d))
+    rows = [
+        (shard, column, level, m)
+        for shard, columns in found.items()
+        for column, shares in columns.items()
+        for level, m in enumerate(shares)
+    ]
+    return _rounded(s.createDataFrame(rows, "shard string, comparison string, level long, m double"), ["m"])
+
+
 def _params(s: SparkSession, d: str) -> DataFrame:
     return training.train(
         stage(s, d, "records"),
@@ -634,10 +673,14 @@ def _params(s: SparkSession, d: str) -> DataFrame:
 STAGES["params"] = _params
 
 
+def _shown_params(params: DataFrame) -> DataFrame:
+    return _longs(_rounded(_rounded(params, ["m"]), ["u", "prior"], 9))
+
+
 @query
 def trained_parameters(s: SparkSession, d: str) -> DataFrame:
     """Prior, u and m by EM over both sessions, combined."""
-    return _params(s, d)
+    return _shown_params(_params(s, d))
 
 
 @query

@@ -1,13 +1,14 @@
 """Jaro-Winkler similarity over UTF-8 bytes as an Arrow-batched function.
 
-Spark has no built-in for it. The kernel compares all pairs of a batch at once, one byte
-position at a time, and looks at each distinct pair of the batch only once.
+Spark has no built-in for it. The kernel works on the offsets and bytes of Arrow columns: it
+compares all pairs of a batch at once, one byte position at a time, and looks at each distinct
+pair of the batch only once. No text becomes a Python object.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -16,13 +17,41 @@ PREFIX_WEIGHT = 0.1
 BOOST_ABOVE = 0.7
 CHUNK = 2048
 WORD = 64
-
-
-def _matrix(texts: list[bytes], lengths: np.ndarray, width: int, pad: int) -> np.ndarray:
-    """Bytes as a (pairs, width) matrix, padded with a byte that UTF-8 never uses."""
-    out = np.full((len(texts), width), pad, dtype=np.uint8)
-    out[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    return out
+#: Classes of bytes that are counted to bound a similarity.
+CLASSES = 64
+
+
+class Texts:
+    """Texts as bytes, each by its number."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        raw = texts.cast(pa.binary())
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        held = raw.buffers()[2]
+        self.data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+        self.starts = ends[:-1].astype(np.int64)
+        self.lengths = np.diff(ends).astype(np.int64)
+
+    def matrix(self, rows: np.ndarray, width: int, pad: int) -> np.ndarray:
+        """Bytes of the rows, cut or filled up to one width with a byte that UTF-8 never uses."""
+        lengths = np.minimum(self.lengths[rows], width)
+        out = np.full((len(rows), width), pad, np.uint8)
+        first = np.repeat(self.starts[rows], lengths)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out[np.arange(width) < lengths[:, None]] = self.data[first + step]
+        return out
+
+    def classes(self) -> np.ndarray:
+        """By text, how many of its bytes are in each class."""
+        row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        every = self.letters_of(row)
+        flat = np.bincount(row * CLASSES + every % CLASSES, minlength=len(self.lengths) * CLASSES)
+        return flat.reshape(-1, CLASSES)
+
+    def letters_of(self, row: np.ndarray) -> np.ndarray:
+        """The bytes of all texts, one text after the other; ``row`` says whose each is."""
+        begins = np.cumsum(self.lengths) - self.lengths
+        return self.data[self.starts[row] + np.arange(len(row)) - begins[row]]
 
 
 def _words(bits: int, count: int) -> np.ndarray:
@@ -30,76 +59,111 @@ def _words(bits: int, count: int) -> np.ndarray:
     return np.array([bits >> WORD * k & (1 << WORD) - 1 for k in range(count)], dtype=np.uint64)
 
 
-def _same_window(left: list[bytes], right: list[bytes], window: int) -> np.ndarray:
+def _boosted(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
+
+
+def _same_window(
+    left: Texts, i: np.ndarray, right: Texts, j: np.ndarray, window: int
+) -> np.ndarray:
     """Similarities of pairs that share one match window.
 
     The free positions of the left text are bits; each position of the right text takes the
     lowest free bit with the same byte inside the window.
     """
-    n_left = np.array([len(x) for x in left])
-    n_right = np.array([len(x) for x in right])
+    n_left, n_right = left.lengths[i], right.lengths[j]
     wide_left, wide_right = int(n_left.max()), int(n_right.max())
     if wide_left == 0 or wide_right == 0:
-        return np.zeros(len(left))
+        return np.zeros(len(i))
     count = -(-wide_left // WORD)
-    a = _matrix(left, n_left, count * WORD, 0xFF)
-    b = _matrix(right, n_right, wide_right, 0xFE)
-    free = np.full((len(left), count), ~np.uint64(0))
+    a = left.matrix(i, count * WORD, 0xFF)
+    b = right.matrix(j, wide_right, 0xFE)
+    free = np.full((len(i), count), ~np.uint64(0))
     hit = np.zeros(b.shape, dtype=bool)
-    rows = np.arange(len(left))
-    for j in range(wide_right):
-        low_end = max(0, j - window)
+    rows = np.arange(len(i))
+    for k in range(wide_right):
+        low_end = max(0, k - window)
         if low_end >= wide_left:
             break
-        reach = _words((1 << j + window + 1) - (1 << low_end), count)
-        same = np.packbits(a == b[:, j, None], axis=1, bitorder="little").view(np.uint64)
+        reach = _words((1 << k + window + 1) - (1 << low_end), count)
+        same = np.packbits(a == b[:, k, None], axis=1, bitorder="little").view(np.uint64)
         open_bits = same & free & reach
         at = (open_bits != 0).argmax(axis=1) if count > 1 else 0
         word = open_bits[rows, at]
         free[rows, at] ^= word & (~word + np.uint64(1))
-        hit[:, j] = word != 0
+        hit[:, k] = word != 0
     m = hit.sum(axis=1)
     if not m.any():
-        return np.zeros(len(left))
+        return np.zeros(len(i))
     used = np.unpackbits((~free).view(np.uint8), axis=1, bitorder="little").astype(bool)
     differs = a[used] != b[hit]  # both list the matched bytes pair by pair, in their order
-    half = np.bincount(np.repeat(rows, m), weights=differs, minlength=len(left)) // 2
+    half = np.bincount(np.repeat(rows, m), weights=differs, minlength=len(i)) // 2
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = (m / n_left + m / n_right + (m - half) / m) / 3.0
     jaro = np.where(m > 0, jaro, 0.0)
     depth = min(PREFIX_LENGTH, wide_left, wide_right)
     prefix = np.cumprod(a[:, :depth] == b[:, :depth], axis=1).sum(axis=1)
-    return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
+    return _boosted(jaro, prefix)
 
 
-def jaro_winkler_pairs(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarity of ``left[i]`` and ``right[i]``; pairs with one match window go together."""
-    a = [x.encode("utf-8") for x in left]
-    b = [x.encode("utf-8") for x in right]
-    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b)], dtype=np.int64)
+def similarities(left: Texts, i: np.ndarray, right: Texts, j: np.ndarray) -> np.ndarray:
+    """Similarity of ``left`` number ``i[k]`` and ``right`` number ``j[k]``; pairs with one match
+    window go together, ordered by length so that little is filled up."""
+    longest = np.maximum(left.lengths[i], right.lengths[j])
     windows = np.maximum(longest // 2 - 1, 0)
-    result = np.zeros(len(a))
-    for window in np.unique(windows):
-        group = np.flatnonzero(windows == window)
-        for start in range(0, len(group), CHUNK):
-            part = group[start : start + CHUNK]
-            result[part] = _same_window([a[i] for i in part], [b[i] for i in part], int(window))
+    order = np.lexsort((left.lengths[i], windows))
+    ends = np.flatnonzero(np.diff(windows[order], append=-1)) + 1
+    result = np.zeros(len(i))
+    start = 0
+    for end in ends.tolist():
+        window = int(windows[order[start]])
+        for at in range(start, end, CHUNK):
+            part = order[at : min(end, at + CHUNK)]
+            result[part] = _same_window(left, i[part], right, j[part], window)
+        start = end
     return result
 
 
-def jaro_winkler_series(left: pd.Series, right: pd.Series) -> pd.Series:
+def at_most(left: Texts, i: np.ndarray, right: Texts, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarities: as if all bytes that both texts have were matched, in
+    order, and the beginnings were as alike as they are."""
+    shared = np.zeros(len(i), np.int64)
+    a, b = (np.minimum(x.classes(), 255).astype(np.uint8) for x in (left, right))
+    long = (left.lengths[i] > 255) | (right.lengths[j] > 255)
+    for k in np.flatnonzero(a.any(axis=0) & b.any(axis=0)):
+        shared += np.minimum(a[i, k], b[j, k])
+    shared = np.where(long, np.minimum(left.lengths[i], right.lengths[j]), shared)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = (shared / left.lengths[i] + shared / right.lengths[j] + 1.0) / 3.0
+    jaro = np.where(shared > 0, jaro, 0.0)
+    x = left.matrix(np.arange(len(left.lengths)), PREFIX_LENGTH, 0xFF)
+    y = right.matrix(np.arange(len(right.lengths)), PREFIX_LENGTH, 0xFE)
+    prefix = np.cumprod(x[i] == y[j], axis=1).sum(axis=1)
+    return _boosted(jaro, prefix)
+
+
+def jaro_winkler_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """Similarity of ``left[i]`` and ``right[i]``."""
+    every = np.arange(len(left))
+    return similarities(Texts(pa.array(left, pa.string())), every, Texts(pa.array(right, pa.string())), every)
+
+
+def _numbered(texts: pa.Array) -> tuple[Texts, np.ndarray]:
+    """The distinct texts, and the number of each row's; -1 for null."""
+    coded = texts.dictionary_encode()
+    return Texts(coded.dictionary), coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def jaro_winkler_arrays(left: pa.Array, right: pa.Array) -> pa.Array:
     """Null where either side is null; each distinct pair is worked out once."""
-    slots: dict[tuple[str, str], int] = {}
-    slot_of = np.full(len(left), -1, dtype=np.int64)
-    for row, pair in enumerate(zip(left.to_numpy(), right.to_numpy())):
-        if isinstance(pair[0], str) and isinstance(pair[1], str):
-            slot_of[row] = slots.setdefault(pair, len(slots))
-    out = np.full(len(left), np.nan)
-    if slots:
-        known = slot_of >= 0
-        values = jaro_winkler_pairs([p[0] for p in slots], [p[1] for p in slots])
-        out[known] = values[slot_of[known]]
-    return pd.Series(out).astype(object).where(slot_of >= 0, None)
-
-
-jaro_winkler = F.pandas_udf(jaro_winkler_series, DoubleType())
+    a, i = _numbered(left)
+    b, j = _numbered(right)
+    known = (i >= 0) & (j >= 0)
+    pairs, slot = np.unique(i[known] * max(1, len(b.lengths)) + j[known], return_inverse=True)
+    out = np.zeros(len(i))
+    if len(pairs):
+        out[known] = similarities(a, pairs // len(b.lengths), b, pairs % len(b.lengths))[slot]
+    return pa.array(out, mask=~known)
+
+
+jaro_winkler = F.arrow_udf(jaro_winkler_arrays, DoubleType())

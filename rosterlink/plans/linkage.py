@@ -99,7 +99,7 @@ def link_and_cluster(
     pair_threshold: float = V.PAIR_THRESHOLD,
     cluster_threshold: float = V.CLUSTER_THRESHOLD,
     recall: float = V.PRIOR_RECALL,
-    max_pairs: int = V.RANDOM_PAIRS,
+    max_pairs: int | None = None,
     keep_unclustered: bool = False,
 ) -> Linkage:
     """Block, compare, train (unless ``params`` are given), score and cluster.

@@ -1,11 +1,19 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rosterlink.functions.similarity import jaro_winkler, jaro_winkler_pairs
+from rosterlink.functions.similarity import (
+    Texts,
+    at_most,
+    jaro_winkler,
+    jaro_winkler_arrays,
+    jaro_winkler_pairs,
+    similarities,
+)
 
 
 @pytest.mark.parametrize(
@@ -40,3 +48,19 @@ def test_same_as_an_independent_engine(pairs):
 def test_null_in_null_out(spark):
     df = spark.createDataFrame([("ab", "ab"), (None, "a"), ("a", None)], "a string, b string")
     assert [r[0] for r in df.select(jaro_winkler("a", F.col("b"))).collect()] == [1.0, None, None]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(words, words), min_size=1, max_size=40))
+def test_bounds_are_never_below_the_similarity(pairs):
+    left, right = (Texts(pa.array(x, pa.string())) for x in zip(*pairs))
+    every = np.arange(len(pairs))
+    assert (at_most(left, every, right, every) >= similarities(left, every, right, every) - 1e-12).all()
+
+
+def test_slices_and_repeated_pairs():
+    a = pa.array(["x", "martha", None, "martha", "", "dixon"]).slice(1)
+    b = pa.array(["x", "marhta", "a", "marhta", "", None]).slice(1)
+    got = jaro_winkler_arrays(a, b).to_pylist()
+    assert got[0] == got[2] == pytest.approx(0.961111, abs=1e-6) and got[1] is got[4] is None and got[3] == 0.0
+    assert jaro_winkler_arrays(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
