@@ -187,17 +187,20 @@ _tf_part = (
 TERMS = " UNION ALL ".join(_tf_part.format(c=c) for c in TF)
 
 
-def _weight(codes: str, side: str) -> str:
-    """Match weight from level codes; ``side`` holds the values for the term frequencies."""
-    parts = [f"log2({PRIOR} / (1 - {PRIOR}))"]
+def _weight(codes: str, trained: str = "") -> str:
+    """Match weight from level codes, by the fixed parameters or those of a joined table that
+    has lists of m and u by comparison."""
+    parts = [f"log2({trained}.prior / (1 - {trained}.prior))" if trained else f"log2({PRIOR} / (1 - {PRIOR}))"]
     for c, kind in KINDS.items():
         m, u = VALUES[kind]
-        whens = " ".join(
-            f"WHEN {k} THEN log2({m[k]}::DOUBLE / {u[k]}::DOUBLE)" for k in range(len(m))
-        )
+        if trained:
+            shares = [(f"{trained}.m_{c}[{k + 1}]", f"{trained}.u_{c}[{k + 1}]") for k in range(len(m))]
+        else:
+            shares = [(f"{a}::DOUBLE", f"{b}::DOUBLE") for a, b in zip(m, u)]
+        whens = " ".join(f"WHEN {k} THEN log2({a} / {b})" for k, (a, b) in enumerate(shares))
         parts.append(f"CASE {codes}.g_{c} {whens} ELSE 0 END")
         if c in TF:
-            parts.append(f"CASE WHEN {codes}.g_{c} = 0 THEN log2({u[0]}::DOUBLE / t_{c}.tf) ELSE 0 END")
+            parts.append(f"CASE WHEN {codes}.g_{c} = 0 THEN log2({shares[0][1]} / t_{c}.tf) ELSE 0 END")
     return " + ".join(parts)
 
 
@@ -211,28 +214,47 @@ def _terms_joined(side: str) -> str:
 
 SCORED = f"""
 SELECT *, 1.0 / (1.0 + pow(2.0, -match_weight)) AS match_probability FROM (
-  SELECT v.*, {_weight('v', 'l')} AS match_weight
+  SELECT v.*, {_weight('v')} AS match_weight
   FROM vectors v JOIN profiles l ON l.id = v.id_l {_terms_joined('l')})
 """
 # The same by single records: pairs, levels, scores and connected components.
-RECORD_SCORED = f"""
-SELECT id_l, id_r, 1.0 / (1.0 + pow(2.0, -({_weight('v', 'l')}))) AS match_probability
+
+
+def _record_scored(trained: str = "") -> str:
+    joined = f"JOIN {trained} ON {trained}.shard = l.recipient_type" if trained else ""
+    return f"""
+SELECT id_l, id_r, 1.0 / (1.0 + pow(2.0, -({_weight('v', trained)}))) AS match_probability
 FROM (SELECT p.*, {_codes} FROM ({_pairs_of('records', 'unique_id', '<')}) p
       JOIN records l ON l.unique_id = id_l JOIN records r ON r.unique_id = id_r) v
-JOIN records l ON l.unique_id = v.id_l {_terms_joined('l')}
+JOIN records l ON l.unique_id = v.id_l {_terms_joined('l')} {joined}
 """
-EDGES = """
-SELECT id_l AS a, id_r AS b FROM record_scored WHERE match_probability >= 0.95
-UNION ALL SELECT id_r, id_l FROM record_scored WHERE match_probability >= 0.95
+
+
+RECORD_SCORED = _record_scored()
+
+
+def _edges(scored: str) -> str:
+    return f"""
+SELECT id_l AS a, id_r AS b FROM {scored} WHERE match_probability >= 0.95
+UNION ALL SELECT id_r, id_l FROM {scored} WHERE match_probability >= 0.95
 """
-REACHED = """
+
+
+def _reached(name: str, edges: str) -> str:
+    return f"""
 SELECT unique_id AS id, unique_id AS label FROM records
-UNION SELECT e.b, x.label FROM reached x JOIN edges e ON x.id = e.a WHERE x.label < e.b
+UNION SELECT e.b, x.label FROM {name} x JOIN {edges} e ON x.id = e.a WHERE x.label < e.b
 """
-CLUSTERS = """
+
+
+def _clusters(reached: str) -> str:
+    return f"""
 SELECT r.*, c.cluster_id FROM records r JOIN
- (SELECT id, min(label) AS cluster_id FROM reached GROUP BY 1) c ON c.id = r.unique_id
+ (SELECT id, min(label) AS cluster_id FROM {reached} GROUP BY 1) c ON c.id = r.unique_id
 """
+
+
+EDGES, REACHED, CLUSTERS = _edges("record_scored"), _reached("reached", "edges"), _clusters("reached")
 TRUE_CLUSTERS = """
 SELECT * EXCLUDE (gid), gid AS unique_id, min(gid) OVER (PARTITION BY truth) AS cluster_id FROM normalized
 """
@@ -839,6 +861,17 @@ _whole_em = _em(
 ORACLE["trained_parameters"] = ORACLE["save_load_model"] = on("vectors", _whole_em + (
     "SELECT shard, comparison, level, round(m, 6) AS m, round(u, 9) AS u, round(prior, 9) AS prior FROM params"
 ), "records")
+_weights = ", ".join(f"list({x} ORDER BY level) FILTER (comparison = '{c}') AS {x}_{c}" for c in KINDS for x in ("m", "u"))
+TRAINED_CLUSTERS = _whole_em + f"""
+, weights AS MATERIALIZED (SELECT shard, any_value(prior) AS prior, {_weights} FROM params GROUP BY 1),
+likely AS MATERIALIZED ({_record_scored('weights')}),
+linked AS MATERIALIZED ({_edges('likely')}),
+led AS ({_reached('led', 'linked')}),
+found AS MATERIALIZED ({_clusters('led')})
+"""
+ORACLE["link_and_cluster"] = on(
+    "vectors", TRAINED_CLUSTERS + f"SELECT unique_id, cluster_id, recipient_type, {NM} FROM found", "records", "terms"
+)
 add(
     "score_pairs", "scored",
     "SELECT id_l, id_r, n_pairs, round(match_weight, 6) AS match_weight, "
@@ -960,21 +993,29 @@ def _mode(column: str, keep: str) -> str:
     )
 
 
+_suffix = "CASE recipient_type " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in V.LABEL_SUFFIXES.items()
+) + " ELSE '' END"
 _legal = _mode("recipient_legal_name", "")
 _research = _mode("research_organization_name", "WHERE research_organization_name IS NOT NULL")
 add(
     "most_frequent", "true_clusters",
     f"SELECT cluster_id, recipient_legal_name, research_organization_name FROM ({_legal}) LEFT JOIN ({_research}) USING (cluster_id)",
 )
-_suffix = "CASE recipient_type " + " ".join(
-    f"WHEN '{k}' THEN '{v}'" for k, v in V.LABEL_SUFFIXES.items()
-) + " ELSE '' END"
-add(
-    "canonical_entities", "true_clusters",
+_entities = (
     f"SELECT cluster_id, coalesce(research_organization_name, recipient_legal_name) || {_suffix} AS canonical_name, "
     "recipient_type, total_funding, grant_count FROM ("
     "SELECT t.cluster_id, any_value(f.recipient_type) AS recipient_type, "
     "round(coalesce(sum(agreement_value), 0), 2) AS total_funding, count(*) AS grant_count "
     "FROM true_clusters t LEFT JOIN (SELECT cluster_id, recipient_type FROM true_clusters WHERE unique_id = cluster_id) f "
-    f"USING (cluster_id) GROUP BY 1) JOIN ({_legal}) USING (cluster_id) LEFT JOIN ({_research}) USING (cluster_id)",
+    f"USING (cluster_id) GROUP BY 1) JOIN ({_legal}) USING (cluster_id) LEFT JOIN ({_research}) USING (cluster_id)"
+)
+add("canonical_entities", "true_clusters", _entities)
+# The same over the linked clusters; empty texts of the raw columns are null once linked.
+ORACLE["canonical_grants"] = on(
+    "vectors",
+    TRAINED_CLUSTERS + ", named AS MATERIALIZED (SELECT c.* EXCLUDE (gid, recipient_type, recipient_type_new), "
+    "c.gid AS unique_id, f.recipient_type, f.cluster_id FROM classified c JOIN found f ON f.unique_id = c.gid) "
+    + _entities.replace("true_clusters", "named"),
+    "records", "terms", "classified",
 )

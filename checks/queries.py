@@ -767,8 +767,8 @@ STAGES["linked"] = _linked
 
 @query
 def link_and_cluster(s: SparkSession, d: str) -> DataFrame:
-    """The whole linkage with trained parameters; all columns and the cluster of each row."""
-    return stage(s, d, "linked")
+    """The whole linkage with trained parameters."""
+    return stage(s, d, "linked").select("unique_id", "cluster_id", "recipient_type", NM)
 
 
 # Verification
