@@ -17,7 +17,7 @@ each of its hashes once, sorted and packed into one row for each bucket, and a b
 every block with one bit for each hash that it sent: whether it occurs again. A hash in a third
 of all texts costs one entry a block. The number of blocks and buckets follows the text, and a
 row of the exchange holds at least one hash, so rows never outnumber words. Anchors are compared
-by 30 bits within a bucket of some two million hashes; what they find too much, the second
+by 30 bits within a bucket of some million hashes; what they find too much, the second
 search drops: it compares 78 bits within a bucket. Blocks must be the same whenever a task is
 run again, so the rows are written once, numbered.
 
@@ -45,7 +45,7 @@ from rosterlink.sources.tables import materialize_observed
 #: Words of a window that make a repeat.
 WINDOW = 35
 #: Bytes of text in a block, and hashes in a bucket (all words once, at the most).
-BLOCK_BYTES, BUCKET_HASHES = 16 << 20, 2 << 20
+BLOCK_BYTES, BUCKET_HASHES = 8 << 20, 1 << 20
 #: Bytes of text that are hashed at a time.
 RUN_BYTES = 1 << 20
 #: The white space that parts words, the same as ``bytes.split`` knows.
@@ -171,11 +171,11 @@ class Entries:
         return found[self.of]
 
 
-_PACKETS = "bucket long, block long, packed binary"
+_PACKETS = "bucket int, block int, packed binary"
 
 
 def _rows(buckets: list[int], blocks: list[int], packed: list[bytes]) -> pa.Table:
-    kinds = {"bucket": pa.int64(), "block": pa.int64(), "packed": pa.binary()}
+    kinds = {"bucket": pa.int32(), "block": pa.int32(), "packed": pa.binary()}
     columns = (buckets, blocks, packed)
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
 
@@ -342,17 +342,18 @@ def remove_repeats(
     spark = docs.sparkSession
     least = shuffle_partitions(spark)
     blocks = spread(size, block_bytes, 1)
-    # A word takes two bytes at least with the space behind it.
-    bits = max(0, (spread(size, 2 * bucket_hashes, 1) - 1).bit_length())
-    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block")
+    # A word takes five bytes or so with the space behind it.
+    bits = max(0, (spread(size, 5 * bucket_hashes, 1) - 1).bit_length())
+    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int").alias("block")
+    # One block or bucket to a partition, so that no task gets many by chance.
     dealt, asked = max(least, blocks), max(least, 1 << bits)
-    texts = placed.select(block, "rest", "text").repartition(dealt, "block")
+    texts = placed.select(block, "rest", "text").repartitionById(dealt, "block")
 
     def by_block(answers: DataFrame) -> GroupedData:
-        return answers.repartition(dealt, "block").groupBy("block")
+        return answers.repartitionById(dealt, "block").groupBy("block")
 
     def answered(packets: DataFrame, kind: np.dtype) -> DataFrame:
-        grouped = packets.repartition(asked, "bucket").groupBy("bucket")
+        grouped = packets.repartitionById(asked, "bucket").groupBy("bucket")
         return grouped.applyInArrow(answer(kind), _PACKETS)
 
     hits = answered(texts.groupBy("block").applyInArrow(probe(window, bits), _PACKETS), NARROW)
