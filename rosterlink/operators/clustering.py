@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,32 +12,72 @@ from rosterlink.functions import vocabulary as V
 from rosterlink.operators.blocking import with_unique_id
 from rosterlink.operators.lookups import lookup_join
 from rosterlink.operators.profiling import percent
-from rosterlink.sources.tables import materialize_observed
+from rosterlink.sources.tables import materialize
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return (
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+#: Links that one task holds at a time.
+TASK_LINKS = 1_000_000
 
 
-def connected_components(edges: DataFrame, clean: bool = False) -> DataFrame:
-    """``(node, component)`` for every node of an edge table ``(a, b)``; the component is
-    its least node.
+def forest(task_links: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a partition of links ``(a, b)``: each node with the least node it hangs
+    together with there. It starts anew whenever it holds ``task_links`` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x: object) -> object:
+            while (higher := up.setdefault(x, x)) != x:
+                up[x] = up[higher]
+                x = higher
+            return x
+
+        def told(kind: pa.DataType) -> pa.RecordBatch:
+            rows = [(x, top(x)) for x in list(up)]
+            rows = [r for r in rows if r[0] != r[1]]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i in (0, 1)], ["a", "b"])
 
-    Each round every node links its larger neighbours to the least node it knows, then its
-    smaller neighbours and itself; what is left in the end are stars around least nodes. A
-    node's neighbours are only reduced to a least value and joined back, so a node with very
-    many of them is no burden. Each round is written out; one that changes nothing is the
-    last. ``clean`` says that the edges hold each pair once, without loops.
+        kind = None
+        for batch in batches:
+            kind = batch["a"].type
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                x, y = top(a), top(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= task_links:
+                yield told(kind)
+        if up:
+            yield told(kind)
+
+    return run
+
+
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links on disk, with their number and a checksum of 128 bits that their order does
+    not change. Both are read back, so a task that ran twice counts once."""
+    live = materialize(links, "links")
+    sums = [F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(38,0)")) for seed in (0, 1)]
+    return live, tuple(live.agg(F.count(F.lit(1)), *sums).first())
+
+
+def connected_components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """``(node, component)`` for every node of an edge table ``(a, b)``; the component is
+    its least node. Null nodes have no links, and a node linked with itself alone is left out.
+
+    Before anything is shuffled, each partition reduces its links to a forest: a link for each
+    node but the roots. While these are more than one task holds, rounds follow: every node
+    links its larger neighbours to the least node it knows, then its smaller neighbours and
+    itself; what is left in the end are stars around least nodes. A node's neighbours are only
+    reduced to a least value and joined back, so a node with very many of them is no burden.
+    Each round is written out; one that changes nothing is the last. Where one task holds all
+    links, its forest is the result.
     """
-    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    pairs = edges.select("a", "b") if clean else _undirected(edges)
-    ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    live, seen = materialize_observed(ordered, "edges", sum=checksum, n=F.count(F.lit(1)))
-    while seen["n"]:
+    kind = f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['b'].dataType.simpleString()}"
+    known = edges.select("a", "b").dropna()
+    live, seen = _written(known.mapInArrow(forest(task_links), kind))
+    before: tuple = ()
+    while seen[0] > task_links and seen != before:
         before = seen
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -51,12 +92,10 @@ def connected_components(edges: DataFrame, clean: bool = False) -> DataFrame:
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
         small = large.join(own, "a").select(moved.alias("a"), F.col("m").alias("b"))
-        live, seen = materialize_observed(
-            small.filter(F.col("a") != F.col("b")).distinct(),
-            "edges", sum=checksum, n=F.count(F.lit(1)),
-        )
-        if seen == before:
-            break
+        live, seen = _written(small.filter(F.col("a") != F.col("b")).distinct())
+    if seen != before:
+        # One task holds them all: their number has just been counted.
+        live = materialize(live.coalesce(1).mapInArrow(forest(2 * seen[0] + 2), kind), "stars")
     stars = live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = live.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.unionByName(centres)

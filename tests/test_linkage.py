@@ -99,11 +99,13 @@ def components_by_union(edges):
     return {x: find(x) for x in list(parent)}
 
 
-def check_components(spark, edges, **sizes):
+def check_components(spark, edges):
+    """In one task, and in rounds of tasks that hold few links."""
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["component"] for r in clustering.connected_components(df, **sizes).collect()}
-    real = [(a, b) for a, b in edges if a != b]
-    assert got == components_by_union(real)
+    wanted = components_by_union([(a, b) for a, b in edges if a != b])
+    for task_links in (clustering.TASK_LINKS, 3, 0):
+        rows = clustering.connected_components(df, task_links).collect()
+        assert {r["node"]: r["component"] for r in rows} == wanted and len(rows) == len(wanted)
 
 
 @pytest.mark.parametrize(
@@ -128,6 +130,14 @@ def test_components_of_any_graph(spark, edges):
     check_components(spark, edges)
 
 
+def test_components_of_odd_links(spark):
+    links = [("b", "a"), ("a", "b"), (None, "a"), ("c", None), ("d", "d"), ("c", "b")]
+    got = clustering.connected_components(spark.createDataFrame(links, "a string, b string")).collect()
+    assert {tuple(r) for r in got} == {("a", "a"), ("b", "a"), ("c", "a")}
+    none = spark.createDataFrame([], "a long, b long")
+    assert clustering.connected_components(none).count() == 0
+
+
 def test_isolated_nodes_stay_alone(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     pairs = spark.createDataFrame([(1, 3, 0.96), (3, 4, 0.94)], "id_l long, id_r long, match_probability double")
