@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Steps in which the share of a sample is set, far more than there are rows.
+SHARES = 10**15
+
+
+def sample_slots(wanted: float, rows: int) -> int:
+    """Of ``SHARES`` slots so many that ``wanted`` of the rows fall into them, and one at least."""
+    return SHARES if rows <= wanted else max(1, int(SHARES * (wanted / rows)))
+
+
+def ship(spark: SparkSession, value: object) -> Broadcast[bytes]:
+    """A broadcast that a worker can read which cannot import the class of the value."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent: Broadcast[bytes]) -> object:
+    return pickle.loads(sent.value)
+
+
 def spread(rows: int, per_partition: int, least: int) -> int:
     """Partitions for so many rows: it grows with them and never falls below ``least``."""
     return max(least, -(-rows // per_partition))

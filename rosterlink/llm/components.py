@@ -1,46 +1,14 @@
-"""Connected components of links, by hashing to the least node in written rounds."""
+"""Connected components of links between documents or vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rosterlink.sources.tables import materialize, materialize_observed
+from rosterlink.operators.clustering import connected_components
+from rosterlink.sources.tables import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for each node of ``links (a, b)``; the component is its least node.
-
-    Large stars and small stars take turns: a node links its larger neighbours to its least
-    one, then its smaller neighbours and itself. Each round is written out, so lineage stays
-    short; a round that changes nothing is the last. Rows of one node are only reduced to a
-    least value and joined back, never gathered, so a node with very many links is no burden.
-    """
-    ordered = links.filter("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
-    edges, seen = materialize_observed(ordered.distinct(), "links", n=F.sum(F.hash("a", "b").cast("long")))
-    while seen["n"] is not None:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            edges.select(F.col("a").alias("v"), F.col("b").alias("a"))
-            .join(least, "a")
-            .filter("v <> m")
-            .select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(own, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            .filter("a <> b")
-            .distinct()
-        )
-        before = seen["n"]
-        edges, seen = materialize_observed(small, "links", n=F.sum(F.hash("a", "b").cast("long")))
-        if seen["n"] == before:
-            break
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return materialize(roots.unionByName(tops), "components")
+    """``node, component`` for each node of ``links (a, b)``, written out; the component is its
+    least node. A node of very many links is no burden, and no lineage is left."""
+    return materialize(connected_components(links), "components")
