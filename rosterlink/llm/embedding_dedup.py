@@ -14,10 +14,11 @@ Equal vectors are one vector with a count. A window gives only what hangs togeth
 a component are then compared in blocks of bounded size, spread over tasks, which gives the exact
 number of links there, however many neighbours a window had no room for.
 
-Vectors that are null, empty, of another length than most in their block, zero, or with
-null or non-finite components link with nothing and are components of their own. Rows that
-repeat a ``vec_id`` are links of each other only if their vectors are; the id is counted
-once for each row. Null ids are left out. Only ``vec_id`` and ``embedding`` are read.
+Vectors that are null, empty, zero, or with null or non-finite components link with nothing and
+are components of their own; vectors of different lengths never link. Rows that repeat a
+``vec_id`` are vectors of their own: each has its row, links and component. Null ids are left
+out. Components are single or double precision, as they come; cosines are in double precision, of
+vectors scaled so that none overflows. Only ``vec_id`` and ``embedding`` are read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from rosterlink.llm.common import shuffle_partitions, spread
 from rosterlink.llm.components import components
@@ -62,7 +64,8 @@ def passes_for(vectors: int, window: int = WINDOW, cosine: float = COSINE, recal
 
 
 def directions(width: int, number: int) -> np.ndarray:
-    return np.random.default_rng(7_000 + number).standard_normal((BITS, width))
+    """The first ``width`` coordinates of a pass's directions, the same at every width."""
+    return np.random.default_rng(7_000 + number).standard_normal((width, BITS)).T
 
 
 def sign_keys(x: np.ndarray, number: int, cuts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,20 +121,25 @@ def log_missed(keys: np.ndarray, together: np.ndarray, window: int, first: bool)
 
 
 def unit(rows: pa.Array) -> np.ndarray:
-    """Vectors of one length in double precision, each of length 1."""
+    """Vectors in double precision, each of length 1; shorter ones are filled up with zeros."""
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(rows), -1)
+    lengths = widths(rows)
+    x = np.zeros((len(rows), int(lengths.max(initial=0))))
+    x[np.arange(x.shape[1]) < lengths[:, None]] = flat
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that can have an angle: not null, finite, not zero."""
+def widths(rows: pa.Array) -> np.ndarray:
+    return pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def finite() -> Column:
+    """Whether a vector can have an angle: not null, finite, not zero."""
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     zero = F.forall("embedding", lambda c: c == 0)
-    return vectors.filter(
-        F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-        & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True))
-    )
+    fit = (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True))
+    return F.coalesce(F.col("embedding").isNotNull() & fit, F.lit(False))
 
 
 class Forest:
@@ -154,12 +162,16 @@ class Forest:
         return True
 
 
-def window_links(x: np.ndarray, window: int, cosine: float) -> list[tuple[int, int]]:
+def window_links(rows: pa.Array, window: int, cosine: float) -> list[tuple[int, int]]:
     """A forest of the pairs at the threshold among rows at most ``window`` apart."""
+    x, n = unit(rows), widths(rows)
     forest, out = Forest(len(x)), []
     for start in range(0, len(x), window):
-        own, reach = x[start : start + window], x[start : start + 2 * window]
-        hits = np.argwhere(np.triu(own @ reach.T, 1) >= cosine) + start
+        near = slice(start, start + window), slice(start, start + 2 * window)
+        linked = np.triu(x[near[0]] @ x[near[1]].T, 1) >= cosine
+        if n.min() != n.max():
+            linked &= n[near[0], None] == n[near[1]]
+        hits = np.argwhere(linked) + start
         out.extend((i, j) for i, j in hits.tolist() if forest.unite(i, j))
     return out
 
@@ -179,7 +191,9 @@ def sorted_pass(
                 [pa.array(key), batch["vec_id"], batch["embedding"]], ["key", "vec_id", "embedding"]
             )
 
-    rows_of = "vec_id long, embedding array<float>"
+    kind = vectors.schema["embedding"].dataType
+    values = pa.list_(pa.float32() if isinstance(kind.elementType, FloatType) else pa.float64())
+    rows_of = f"vec_id long, embedding {kind.simpleString()}"
     edge_of = f"a long, b long, border int, {rows_of}, missed double"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +205,7 @@ def sorted_pass(
         def rows(links: list, border: int, ends: pa.Table | None) -> pa.RecordBatch:
             n, m = len(links), 0 if ends is None else ends.num_rows
             ids = pa.array([None] * n, pa.int64())
-            vecs = pa.array([None] * n, pa.list_(pa.float32()))
+            vecs = pa.array([None] * n, values)
             if ends is not None:
                 ids, vecs = ends["vec_id"].combine_chunks(), ends["embedding"].combine_chunks()
             a, b = ([x[i] for x in links] + [None] * m for i in (0, 1))
@@ -217,8 +231,8 @@ def sorted_pass(
             # The last rows of the batch before are the window of the first rows of this one.
             both = now if kept is None else pa.concat_tables([kept, now])
             ids = both["vec_id"].to_numpy()
-            x = unit(both["embedding"].combine_chunks())
-            links = [(int(ids[i]), int(ids[j])) for i, j in window_links(x, window, cosine)]
+            near = window_links(both["embedding"].combine_chunks(), window, cosine)
+            links = [(int(ids[i]), int(ids[j])) for i, j in near]
             if links:
                 yield rows(links, -1, None)
             kept = both.slice(max(0, both.num_rows - window))
@@ -229,18 +243,16 @@ def sorted_pass(
             yield pa.RecordBatch.from_arrays(
                 [
                     none, none, pa.nulls(len(missed), pa.int32()), pa.array(np.concatenate(seen)),
-                    pa.nulls(len(missed), pa.list_(pa.float32())), pa.array(missed),
+                    pa.nulls(len(missed), values), pa.array(missed),
                 ],
                 ["a", "b", "border", "vec_id", "embedding", "missed"],
             )
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["key", "tie"])
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    def meet(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("key", "ascending"), ("tie", "ascending")])
         ids = rows["vec_id"].to_numpy()
-        links = [(int(ids[i]), int(ids[j])) for i, j in window_links(x, window, cosine)]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        near = window_links(rows["embedding"].combine_chunks(), window, cosine)
+        return pa.table({c: pa.array([int(ids[p[i]]) for p in near], pa.int64()) for i, c in enumerate("ab")})
 
     tie = F.xxhash64("vec_id", F.lit(number))
     ordered = (
@@ -256,7 +268,7 @@ def sorted_pass(
     rekeyed = ends.mapInArrow(
         lambda batches: _with_border(batches, number, cuts), f"border int, key long, {rows_of}"
     ).withColumn("tie", tie)
-    met = rekeyed.groupBy("border").applyInPandas(meet, "a long, b long")
+    met = rekeyed.groupBy("border").applyInArrow(meet, "a long, b long")
     links = found.filter("vec_id is null").select("a", "b").unionByName(met)
     return links, found.filter("missed is not null").select("vec_id", "missed")
 
@@ -287,18 +299,19 @@ def links_inside(members: DataFrame, cosine: float) -> DataFrame:
         "block", "vec_id", "copies", "embedding",
     )
 
-    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group["embedding"].combine_chunks()
+        x, size = unit(rows), widths(rows)
         linked = x @ x.T >= cosine
+        linked &= size[:, None] == size
         np.fill_diagonal(linked, False)
         if key[1] != key[2]:  # pairs inside one block are counted where it meets itself
             side = group["block"].to_numpy()
             linked &= side[:, None] != side[None, :]
-        n = linked.astype(np.float64) @ group["copies"].to_numpy(np.float64)
-        return pd.DataFrame({"vec_id": group["vec_id"], "n": n.astype(np.int64)})
+        n = linked.astype(np.float64) @ group["copies"].to_numpy().astype(np.float64)
+        return pa.table({"vec_id": group["vec_id"], "n": pa.array(n.astype(np.int64))})
 
-    parts = cells.groupBy("component", "low", "high").applyInPandas(count, "vec_id long, n long")
+    parts = cells.groupBy("component", "low", "high").applyInArrow(count, "vec_id long, n long")
     return parts.groupBy("vec_id").agg(F.sum("n").alias("n"))
 
 
@@ -337,8 +350,8 @@ def all_links(vectors: DataFrame, count: int, cosine: float) -> DataFrame:
     ).select("vec_id", "embedding", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def compare(rows: pa.Table) -> pa.Table:
-        x, ids = unit(rows["embedding"].combine_chunks()), rows["vec_id"].to_numpy()
-        links = window_links(x, len(x), cosine)
+        ids = rows["vec_id"].to_numpy()
+        links = window_links(rows["embedding"].combine_chunks(), len(ids), cosine)
         return pa.table({c: pa.array([int(ids[p[i]]) for p in links], pa.int64()) for i, c in enumerate("ab")})
 
     return cells.groupBy("low", "high").applyInArrow(compare, "a long, b long")
@@ -346,27 +359,37 @@ def all_links(vectors: DataFrame, count: int, cosine: float) -> DataFrame:
 
 def linked_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     rows = vectors.filter("vec_id is not null").select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"),
     )
-    good = usable(rows)
+    # Different vectors get numbers of their own, since ids may repeat; ids come back last.
     distinct = materialize(
-        good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")),
+        rows.filter(finite())
+        .groupBy("embedding")
+        .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("vec_id", F.monotonically_increasing_id()),
         "distinct-vectors",
     )
     number = distinct.count()
     passes = found_links(distinct, number, window, cosine)
-    grouped = components(reduce(DataFrame.unionByName, passes))
-    grouped = grouped.withColumnRenamed("node", "vec_id")
+    grouped = materialize(
+        components(reduce(DataFrame.unionByName, passes)).withColumnRenamed("node", "vec_id"), "grouped-vectors"
+    )
     inside = links_inside(distinct.join(grouped, "vec_id"), cosine)
-    per_text = (
-        distinct.join(grouped, "vec_id", "left").join(inside, "vec_id", "left").select(
-            "embedding", F.coalesce("component", "vec_id").alias("component_id"),
+    named = distinct.select("vec_id", "first").join(grouped, "vec_id")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    per_vector = (
+        distinct.join(grouped, "vec_id", "left").join(inside, "vec_id", "left").join(least, "component", "left")
+        .select(
+            "embedding", F.coalesce("least", "first").alias("component_id"),
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    linked = good.join(per_text, "embedding").select("vec_id", "n_links", "component_id")
-    bad = rows.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select(
+    linked = rows.filter(finite()).join(per_vector, "embedding").select("vec_id", "n_links", "component_id")
+    bad = rows.filter(~finite()).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return linked.unionByName(bad).select(
