@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.llm.common import SHARES, sample_slots, ship, shipped
+
 #: Labelled documents to learn from in all; hashed n-grams.
 SAMPLE, WIDTH_BITS = 2_000, 12
 WIDTH = 1 << WIDTH_BITS
@@ -127,9 +129,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, families: list[list[str]] | None
         return LanguageModel()
     each = sample / len(counts)
     shares = F.create_map(
-        *[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, each / n) * 1_000_000))]
+        *[F.lit(x) for name, n in counts.items() for x in (name, sample_slots(each, n))]
     )
-    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(1_000_000))
+    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(SHARES))
     picked = known.filter(slot < F.element_at(shares, F.col("lang")))
     letters = docs.sparkSession.sparkContext.broadcast(letter_table())
 
@@ -169,11 +171,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, families: list[list[str]] | None
 
 def language(model: LanguageModel, docs: DataFrame, text: Column) -> Column:
     """``lang_pred`` and ``score`` of a text."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, letter_table()))
+    sent = ship(docs.sparkSession, (model, letter_table()))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict_language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, letters = sent.value
+        own, letters = shipped(sent)
         for texts in batches:
             rows = [own.predict(t, letters) for t in texts]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"], dtype=object)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlink.llm.common import WORD
+from rosterlink.llm.common import SHARES, WORD, sample_slots
 from rosterlink.sources.tables import materialize
 
 GRADES = 3
@@ -64,8 +64,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """``text, toxic`` of about ``sample`` labelled documents, chosen by a hash of the id."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     total = known.count()
-    share = min(1.0, sample / total) if total else 1.0
-    chosen = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).alias("in")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < sample_slots(sample, total)
     one = known.filter(chosen).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
     picked = docs.filter(chosen).select("doc_id", "text")
     return picked.join(one, "doc_id").select("text", F.col("_toxic").alias("toxic"))
@@ -254,5 +253,6 @@ def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the documents that are more likely toxic than not."""
     model = fit(docs.select("doc_id", "text"), labels, sample)
-    scored = docs.withColumn("_toxicity", severity(model, F.col("text")))
-    return scored.filter(F.col("_toxicity.p_toxic") < 0.5).drop("_toxicity")
+    # The columns of the input are one column meanwhile, so their names meet no others.
+    scored = docs.select(F.struct("*").alias("doc"), severity(model, F.col("text")).alias("s"))
+    return scored.filter(F.col("s.p_toxic") < 0.5).select("doc.*")
