@@ -18,19 +18,19 @@ is lost, while a group of any size that hangs together costs one comparison for
 and sketch.
 
 Null text, and text without a word, is a class of its own. A text of fewer than three words
-has one k-mer. Rows with equal ids are one document: the text digest that is least counts.
+has one k-mer. Rows with equal ids are one document with one of their texts: null if one
+of them is null, else the one with the least MD5.
 The class is the least document id in it. Other columns are not read. Null ids are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlink.llm.common import WORD, mix
@@ -120,7 +120,6 @@ def edits_of(n: int) -> int:
     return int((1 - SIMILARITY) * n + 1e-9)
 
 
-@cache
 def piece_places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where a text of ``n`` words can hold a piece of a text that is not longer: a code of
     that text's length and the number of the piece, its start here and its words.
@@ -146,13 +145,15 @@ def piece_places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code.astype(np.uint64), at, size
 
 
-def pieces(hashes: np.ndarray) -> np.ndarray:
+def pieces(hashes: np.ndarray, places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Keys of a text's pieces; two texts within the edits share one if the shorter has
-    ``SHORT`` words or fewer."""
+    ``SHORT`` words or fewer. ``places`` remembers ``piece_places`` by length."""
     n = len(hashes)
     if n - edits_of(n) > SHORT:
         return np.empty(0, np.uint64)
-    code, at, size = piece_places(n)
+    if n not in places:
+        places[n] = piece_places(n)
+    code, at, size = places[n]
     out = [
         mix(runs(hashes, k)[at[size == k]] + code[size == k] * np.uint64(0x9E3779B97F4A7C15), 17)
         for k in np.unique(size).tolist()
@@ -160,37 +161,48 @@ def pieces(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([*out, np.empty(0, np.uint64)]))
 
 
+def text_digest(words: list[str]) -> str | None:
+    """What equal word sequences have in common; null for none."""
+    return xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_id, n, keys, pieces``; a text without words has null ``text_id`` and no keys."""
+    """``doc_id, pick, text_id, n, keys, pieces``; a text without words has null ``text_id`` and no
+    keys. Of rows with equal ids, the one with the least ``pick`` counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, seeds = WordHashes(), sketch_seeds()
+        hashed, seeds, places = WordHashes(), sketch_seeds(), {}
         for batch in batches:
             ids, numbers, keys, parts = [], [], [], []
             for value in batch["text"]:
                 words = words_of(value.as_py())
                 numbers.append(len(words))
-                ids.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
+                ids.append(text_digest(words))
                 if words:
                     h = hashed.of(words)
                     keys.append(sketches(kmers(h), seeds).view(np.int64))
-                    parts.append(pieces(h).view(np.int64))
+                    parts.append(pieces(h, places).view(np.int64))
                 else:
                     keys.append(None)
                     parts.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"], pa.array(ids, pa.string()), pa.array(numbers, pa.int64()),
+                    batch["doc_id"], batch["pick"], pa.array(ids, pa.string()), pa.array(numbers, pa.int64()),
                     *(pa.array(k, pa.list_(pa.int64())) for k in (keys, parts)),
                 ],
-                ["doc_id", "text_id", "n", "keys", "pieces"],
+                ["doc_id", "pick", "text_id", "n", "keys", "pieces"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, text_id string, n long, keys array<long>, pieces array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _pick().alias("pick")).mapInArrow(
+        run, "doc_id long, pick string, text_id string, n long, keys array<long>, pieces array<long>"
     )
 
 
+def _pick() -> Column:
+    """By what one of several texts with one id is chosen: null first, then by digest."""
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences if it is ``most`` or less, else ``most + 1``.
 
@@ -360,7 +372,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = materialize(
         sketched(known)
         .groupBy("doc_id")
-        .agg(F.min_by(F.struct("text_id", "n", "keys", "pieces"), F.coalesce("text_id", F.lit(""))).alias("s"))
+        .agg(F.min_by(F.struct("text_id", "n", "keys", "pieces"), F.col("pick")).alias("s"))
         .select("doc_id", "s.*"),
         "sketches",
     )
@@ -390,7 +402,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.max("text").alias("text"))
+        .groupBy("doc_id").agg(F.min_by("text", _pick()).alias("text"))
     )
     links = materialize(verified(first_pairs, texts), "links")
     grouped = components(links)
@@ -408,5 +420,8 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the least id. Null ids stay."""
-    copies = duplicate_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    classes = duplicate_classes(docs.select("doc_id", "text"))
+    copies = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("copy"))
+    # The columns of the input are one column meanwhile, so their names meet no others.
+    whole = docs.select(F.struct("*").alias("doc"))
+    return whole.join(copies, F.col("doc.doc_id").cast("long") == F.col("copy"), "left_anti").select("doc.*")
