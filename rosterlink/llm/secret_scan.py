@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.llm.common import SHARES, sample_slots, ship, shipped
+
 KINDS = ("assign", "access", "hex")
 # The base patterns, and the least length of what counts.
 ASSIGN = re.compile(
@@ -51,8 +53,6 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIXED = re.compile(r"\A(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 10_000
-#: Steps in which the share of a sample is set.
-SHARES = 10**15
 #: Least mean log-likelihood ratio by character, in nats.
 LEAST_RATIO = 0.5
 _CODE = np.full(128, len(ALPHABET), np.int64)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovRatio | None:
         F.col("text").rlike(HOLDS_SECRET).alias("holds"),
     )
     sizes = texts.agg(F.count_if("holds").alias("holds"), F.count_if(~F.col("holds")).alias("others")).first()
-    share = {c: int(min(1.0, sample / max(1, sizes[c])) * SHARES) for c in ("holds", "others")}
+    share = {c: sample_slots(sample, sizes[c]) for c in ("holds", "others")}
     bound = F.when(F.col("holds"), share["holds"]).otherwise(share["others"])
     picked = texts.filter(F.col("place") < bound).select("text")
 
@@ -191,15 +191,16 @@ def show(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, model: MarkovRatio | None) -> DataFrame:
     """``doc_id, kind, start, end`` lists by document, as arrays of structs."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = ship(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped(sent)
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             for value in batch["text"]:
                 text = value.as_py() or ""
                 base = base_spans(text)
-                more = markov_spans(text, sent.value, base) if sent.value else []
+                more = markov_spans(text, own, base) if own else []
                 for i, kind in enumerate(KINDS):
                     columns[i].append(sum(k == kind for k, _, _ in base))
                 columns[3].append(hashlib.sha256(show(base).encode()).hexdigest())
