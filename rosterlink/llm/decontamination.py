@@ -9,10 +9,16 @@ diagonals, each of which overlaps the next by half. Bands that reach the bound a
 an item is aligned with the characters of a region, and a leak is an alignment with e edits
 or fewer.
 
+A text is looked at in overlapping stretches, each of which can hold a whole place, so that
+what a stretch of repeated patterns shares with an item has a bound.
+
 Items shorter than q are found as exact words. Null, empty or blank items match nothing; null
 or empty documents hold nothing. Items are looked up in blocks of ``BLOCK_CHARS`` characters
-in all, so what is broadcast has a bound; each block is one pass over the documents. Rows
-that repeat give the same pairs once. Other columns are not read.
+in all, so what is broadcast has a bound; each block is one pass over the documents, and where
+there are several, each pass is written before the next block is read. ``find_leaks`` leaves
+items without id out, gives documents without id as null, and rows that repeat the same pairs
+once; it reads no other columns. ``clean_documents`` decides row by row, whatever the ids of
+documents and items, and keeps all columns of the rows it keeps.
 """
 
 from __future__ import annotations
@@ -22,13 +28,19 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlink.llm.common import ship, shipped
+from rosterlink.sources.tables import materialize
+
 Q, EDITS = 10, 0.08
 #: Characters of items in one block, about.
 BLOCK_CHARS = 4_000_000
+#: Characters of a stretch of text, or four times the longest place if that is more.
+STRETCH = 8_192
 #: Slots of the table that rules out most q-grams before the exact look-up.
 SLOT_BITS = 20
 BASE = 0x100000001B3
@@ -80,6 +92,8 @@ class Items:
         self.edits = np.array([edit_budget(len(t), q, share) for t in self.texts], np.int64)
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.least = lengths - q + 1 - q * self.edits
+        #: Characters that a place of any item may take, edits included.
+        self.reach = int((lengths + 4 * (self.edits + 1)).max(initial=0))
         grams = [qgram_hashes(t, q) for t in self.texts]
         every = np.concatenate([*grams, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -95,9 +109,20 @@ class Items:
     def regions(self, text: str) -> Iterator[tuple[int, int, int]]:
         """Item number and the part of the text that a band with enough q-grams covers."""
         hashes = qgram_hashes(text, self.q)
-        at = np.flatnonzero(self.maybe[slots(hashes)])
-        if not len(at) or not len(self.hashes):
+        every = np.flatnonzero(self.maybe[slots(hashes)])
+        if not len(every) or not len(self.hashes):
             return
+        seen: set[tuple[int, int, int]] = set()
+        stretch = max(STRETCH, 4 * self.reach)
+        for begin in range(0, max(1, len(hashes) - self.reach), stretch - self.reach):
+            a, b = np.searchsorted(every, [begin, begin + stretch])
+            if a < b:
+                new = set(self._regions_of(hashes, every[a:b], len(text))) - seen
+                seen |= new
+                yield from sorted(new)
+
+    def _regions_of(self, hashes: np.ndarray, at: np.ndarray, chars: int) -> Iterator[tuple[int, int, int]]:
+        """The regions of one stretch; ``at`` are its q-grams that items may have."""
         found = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
         hit = self.hashes[found] == hashes[at]
         at, found = at[hit], found[hit]
@@ -115,7 +140,7 @@ class Items:
             inside = np.searchsorted(own, starts + 2 * step) - np.searchsorted(own, starts)
             for start in starts[inside >= self.least[i]].tolist():
                 end = start + 2 * step + len(self.texts[i]) + step
-                yield i, max(0, start - step), min(len(text), end)
+                yield i, max(0, start - step), min(chars, end)
 
     def leaks(self, text: str | None) -> dict[int, tuple[int, int]]:
         """By item id, the fewest edits and the end of the first place with so few."""
@@ -157,20 +182,23 @@ def align(item: str, region: str) -> tuple[int, int]:
     return best
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The different items in blocks whose size has a bound, one block at a time."""
-    items = benchmark.filter("item_id is not null and text is not null").select(
+def item_blocks(
+    benchmark: DataFrame, block_chars: int = BLOCK_CHARS
+) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """The different items in blocks whose size has a bound, one block at a time, each with
+    whether it is the only one."""
+    items = benchmark.filter("text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), "text"
     ).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield [(r["item_id"], plain(r["text"])) for r in own.collect()]
+        yield blocks == 1, [(r["item_id"], plain(r["text"])) for r in own.collect()]
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """``doc_id, item_id, edits, end`` for each document and item it holds.
 
@@ -181,14 +209,15 @@ def find_leaks(
     kind = "doc_id long, item_id long, edits long, end long"
 
     def search(items: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Items(items, q, edits))
+        sent = ship(spark, Items(items, q, edits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shipped(sent)
             for batch in batches:
                 rows = [
                     (doc.as_py(), item, n, end)
                     for doc, text in zip(batch["doc_id"], batch["text"], strict=True)
-                    for item, (n, end) in index.value.leaks(text.as_py()).items()
+                    for item, (n, end) in index.leaks(text.as_py()).items()
                 ]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
@@ -197,7 +226,10 @@ def find_leaks(
 
         return source.mapInArrow(run, kind)
 
-    parts = [search(items) for items in item_blocks(benchmark)]
+    parts = []
+    for alone, items in item_blocks(benchmark.filter("item_id is not null"), block_chars):
+        part = search(items)
+        parts.append(part if alone else materialize(part, "leaks"))
     if not parts:
         return spark.createDataFrame([], kind)
     found = reduce(DataFrame.unionByName, parts)
@@ -205,7 +237,26 @@ def find_leaks(
     return best.select("doc_id", "item_id", "best.*")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    leaking = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaking, F.col("doc_id") == F.col("_leak"), "left_anti")
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item. No text is shuffled."""
+    spark = docs.sparkSession
+    left = docs
+
+    def holds(items: list[tuple[int, str]]) -> Column:
+        # Whose item it is does not matter here, so items without id count too.
+        sent = ship(spark, Items([(0, text) for _, text in items], q, edits))
+
+        @F.pandas_udf("boolean")
+        def holds_item(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = shipped(sent)
+            for texts in batches:
+                yield pd.Series([bool(index.leaks(t)) for t in texts], dtype=bool)
+
+        return holds_item("text")
+
+    for alone, items in item_blocks(benchmark, block_chars):
+        left = left.filter(~holds(items))
+        left = left if alone else materialize(left, "clean-documents")
+    return left
