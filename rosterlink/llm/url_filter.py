@@ -96,7 +96,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def entries_at_fetch(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``page_id, url, key, listed, entry_at, entry_id``: by capture and key, the entry that holds.
+    """``page_id, url, at, key, listed, entry_at, entry_id``: by capture and key, the entry that holds.
 
     ``captures``: ``page_id, url, at``; ``entries``: ``pattern, at, entry_id, listed``. Times
     are whole numbers on one scale.
@@ -130,10 +130,10 @@ def entries_at_fetch(captures: DataFrame, entries: DataFrame) -> DataFrame:
             own = held[1]
         held = (end["key"], own)
     carried = spark.createDataFrame(starts, "task int, listed boolean, entry_at long, entry_id long")
-    columns = ["page_id", "url", "key", "listed", "entry_at", "entry_id"]
+    columns = ["page_id", "url", "at", "key", "listed", "entry_at", "entry_id"]
     known = walked.filter("not open and not last").select(columns)
     # ``carried`` has one row per task, which bounds its size.
-    late = walked.filter("open").select("page_id", "url", "key", "task").join(F.broadcast(carried), "task")
+    late = walked.filter("open").select("page_id", "url", "at", "key", "task").join(F.broadcast(carried), "task")
     return known.unionByName(late.select(columns)).filter("listed is not null")
 
 
@@ -144,11 +144,15 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     whole = captures.select("page_id", "url", "at").distinct()
     active = entries_at_fetch(whole.filter("url is not null"), entries).filter("listed")
-    best = active.groupBy("page_id", "url").agg(
+    best = active.groupBy("page_id", "url", "at").agg(
         F.count(F.lit(1)).alias("n_active"),
         F.max(F.struct(F.length("key").alias("size"), F.col("key").alias("pattern"), F.col("entry_at").alias("listed_at"))).alias("b"),
     )
-    same = whole["page_id"].eqNullSafe(best["page_id"]) & whole["url"].eqNullSafe(best["url"])
+    same = (
+        whole["page_id"].eqNullSafe(best["page_id"])
+        & whole["url"].eqNullSafe(best["url"])
+        & (whole["at"] == best["at"])
+    )
     return whole.join(best, same, "left").select(
         whole["page_id"], F.col("n_active").isNotNull().alias("blocked"),
         F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "b.pattern", "b.listed_at",
