@@ -166,66 +166,80 @@ def _gone(lines: str) -> Column:
     return F.flatten(F.transform(numbers, stretch))
 
 
-def dedup_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES
-) -> DataFrame:
-    """``docs`` with the lines left in ``text``, and ``lines`` and ``lines_deleted``.
-
-    Columns of these two names are replaced if the input has them.
-    """
+def _shortened(docs: DataFrame, min_words: int, min_lines: int) -> DataFrame:
+    """``rest, text, lines, lines_deleted`` with the text that is left; ``rest`` holds all other
+    columns of the input, so that their names meet none of those used here."""
     texts = materialize(distinct_texts(docs.select("doc_id", "text")), "texts")
     levels = copied_suffixes(texts)
-    known = texts.select("digest", F.struct("doc_id").alias("_first"))
+    known = texts.select("digest", F.struct("doc_id").alias("first"))
     if levels:
         known = known.join(deleted_lines(levels, min_words, min_lines), "digest", "left")
     else:
         known = known.withColumn("gone", F.lit(None).cast("array<int>"))
-    known = known.withColumnsRenamed({"digest": "_digest", "gone": "_lines"})
-    rest = [c for c in docs.columns if c not in ("text", "lines", "lines_deleted")]
-    whole = docs.select(*rest, "text", F.unhex(F.md5("text")).alias("_digest"))
-    joined = whole.join(known, "_digest", "left")
+    known = known.withColumnRenamed("gone", "numbers")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    whole = docs.select(rest.alias("rest"), "text", F.unhex(F.md5("text")).alias("digest"))
+    joined = whole.join(known, "digest", "left")
     lines = _lines("text")
-    later = F.struct(F.col("doc_id").cast("long").alias("doc_id")) != F.col("_first")
+    later = F.struct(F.col("rest.doc_id").cast("long").alias("doc_id")) != F.col("first")
     copied = F.transform(lines, lambda t: _words(t) >= min_words)
     all_gone = F.transform(lines, lambda t: F.lit(True))
     gone = (
         F.when(later & (F.size(lines) >= min_lines), all_gone)
         .when(later, copied)
-        .when(F.col("_lines").isNotNull(), _gone("_lines"))
+        .when(F.col("numbers").isNotNull(), _gone("numbers"))
         .otherwise(F.array().cast("array<boolean>"))
     )
     left = F.filter(
-        F.zip_with("_split", "_gone", lambda t, g: F.when(~F.coalesce(g, F.lit(False)), t)),
+        F.zip_with("split", "gone", lambda t, g: F.when(~F.coalesce(g, F.lit(False)), t)),
         lambda t: t.isNotNull(),
     )
-    counted = F.when(F.col("text").isNotNull(), F.size("_split")).otherwise(0)
+    counted = F.when(F.col("text").isNotNull(), F.size("split")).otherwise(0)
     shortened = (
-        joined.withColumn("_split", lines)
-        .withColumn("_gone", gone)
-        .withColumn("_left", F.when(F.col("text").isNotNull(), left))
+        joined.withColumn("split", lines)
+        .withColumn("gone", gone)
+        .withColumn("left", F.when(F.col("text").isNotNull(), left))
     )
     return shortened.select(
-        *rest,
-        F.when(F.size("_left") == F.size("_split"), F.col("text"))
-        .otherwise(F.array_join("_left", "\n"))
+        "rest",
+        F.when(F.size("left") == F.size("split"), F.col("text"))
+        .otherwise(F.array_join("left", "\n"))
         .alias("text"),
         counted.cast("long").alias("lines"),
-        (counted - F.when(F.col("text").isNotNull(), F.size("_left")).otherwise(0))
+        (counted - F.when(F.col("text").isNotNull(), F.size("left")).otherwise(0))
         .cast("long")
         .alias("lines_deleted"),
     )
 
 
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, min_lines: int = MIN_LINES
+) -> DataFrame:
+    """``docs`` with the lines left in ``text``, and ``lines`` and ``lines_deleted``.
+
+    Columns of these two names are replaced if the input has them.
+    """
+    made = ["text", "lines", "lines_deleted"]
+    kept = [F.col("rest").getField(c).alias(c) for c in docs.columns if c not in made]
+    return _shortened(docs, min_words, min_lines).select(*kept, *made)
+
+
 def drop_copied_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left; documents that lose every line go.
 
-    A column ``n_chars`` is set to the length of the new text.
+    A column ``n_chars`` is set to the length of the new text; all others stay as they are.
     """
-    left = dedup_lines(docs.drop("lines", "lines_deleted"))
-    kept = left.filter("lines_deleted = 0 or lines_deleted < lines").drop("lines", "lines_deleted")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[c for c in docs.columns if c in kept.columns])
+    left = _shortened(docs, MIN_WORDS, MIN_LINES)
+    kept = left.filter("lines_deleted = 0 or lines_deleted < lines")
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(F.col("text"))
+        elif c == "n_chars":
+            columns.append(F.length("text").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("rest").getField(c).alias(c))
+    return kept.select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

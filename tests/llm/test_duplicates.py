@@ -1,5 +1,6 @@
 """Line dedup, Order MinHash, embeddings and components against brute force."""
 
+import hashlib
 import math
 import random
 from itertools import combinations
@@ -206,7 +207,7 @@ def test_no_short_pair_is_without_a_common_piece(base, rng):
     b = edited_words(a, rng.randint(0, len(a) // 4), rng)
     hashed = order_minhash.WordHashes()
     if a != b and order_minhash.similar_words(a, b):
-        assert np.intersect1d(*(order_minhash.pieces(hashed.of(w)) for w in (a, b))).size
+        assert np.intersect1d(*(order_minhash.pieces(hashed.of(w), {}) for w in (a, b))).size
 
 
 def test_near_copies_odd_texts(documents, odd_texts):
@@ -329,3 +330,56 @@ def test_texts_that_stay_apart_from_the_first_are_compared(spark, documents, mon
     grouped = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
     got = order_minhash.links_apart(buckets, grouped, docs.select("doc_id", "text")).collect()
     assert sorted((r["a"], r["b"]) for r in got) == [(i, i + 1) for i in range(3, 25, 2)]
+
+
+def test_rows_with_one_id_are_one_document_with_one_text(spark, documents):
+    """The text that is sketched is the one that is aligned, whichever that is."""
+    words = [f"w{i}" for i in range(60)]
+    one, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    for text in (one, other):
+        near = text.replace("5", "five", 1)
+        rows = [(1, one), (1, other), (2, near)]
+        got = {r["doc_id"]: r["class_id"] for r in order_minhash.duplicate_classes(documents(rows)).collect()}
+        chosen = min(one, other, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+        assert got == {1: 1, 2: 1 if text == chosen else 2}
+
+
+VECTOR = "vec_id long, embedding array<double>"
+
+
+def plain_vectors(rows):
+    """By row: links and component, from all pairs."""
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b):
+            return None
+        x, y = np.array(a, np.longdouble), np.array(b, np.longdouble)
+        if not np.isfinite(x.astype(float)).all() or not np.isfinite(y.astype(float)).all() or not x.any() or not y.any():
+            return None
+        return float(x @ y / np.sqrt((x @ x) * (y @ y)))
+
+    n = len(rows)
+    links = [(i, j) for i, j in combinations(range(n), 2) if (c := cosine(rows[i][1], rows[j][1])) is not None and c >= 0.95]
+    top = least_members(range(n), links)
+    least = {}
+    for i in range(n):
+        least[top[i]] = min(least.get(top[i], rows[i][0]), rows[i][0])
+    count = [sum(i in p for p in links) for i in range(n)]
+    return sorted((rows[i][0], count[i], least[top[i]], rows[i][0] == least[top[i]]) for i in range(n))
+
+
+def test_vectors_of_any_length_size_and_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [
+        (10, [1e200, 1e200]), (11, [1e200, 1.01e200]), (12, [1e-200, 1e-200]),
+        (1, [0.0, 1.0]), (1, [1.0, 0.0]), (5, [0.0, 2.0]), (1, [0.0, 1.0]), (1, [0.0, 0.0]), (2, [float("nan"), 1.0]),
+        (20, [1.0, 0.0, 0.0]), (21, [1.0, 0.0, 0.0]), (22, [1.0]), (23, [3.0]), (24, []), (25, [0.0, 0.0]),
+    ]
+    rows += [(100 + i, [rng.gauss(0, 1) for _ in range(rng.choice([2, 3]))]) for i in range(60)]
+    got = embedding_dedup.linked_vectors(spark.createDataFrame(rows, VECTOR))
+    assert sorted(tuple(r) for r in got.collect()) == plain_vectors(rows)
+    wide = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    wide += [(300 + i, [x + rng.gauss(0, 0.02) for x in wide[i][1]]) for i in range(100)] + [(500 + i, v[:5]) for i, v in wide[:50]]
+    links, _ = embedding_dedup.sorted_pass(spark.createDataFrame(wide, VECTOR), 0, 3, 16, 0.95)
+    found = {tuple(sorted(r)) for r in links.collect()}
+    vector = dict(wide)
+    assert found and all(len(vector[a]) == len(vector[b]) for a, b in found)

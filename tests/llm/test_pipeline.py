@@ -1,15 +1,24 @@
 """The pipeline against its stages done plainly, one after the other."""
 
-import pytest
+import os
+import re
+import subprocess
+import sys
 from itertools import combinations
+from pathlib import Path
+
+import pytest
 
 import corpus_pipeline
 from rosterlink.llm import bpe, decontamination, order_minhash, toxicity
-from rosterlink.llm.queries import byte_vocabulary
+from rosterlink.llm.common import SHARES, sample_slots
+from rosterlink.llm.queries import QUERIES, byte_vocabulary
 from tests.conftest import SMALL
 from tests.llm.conftest import PROSE
 from tests.llm.test_duplicates import least_members, plain_line_dedup
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
@@ -54,3 +63,40 @@ def test_stages_keep_columns_and_odd_rows(spark, documents, odd_texts, number):
     kept = {r["doc_id"]: r["text"] for r in got.collect()}
     assert kept[0] is None and kept[1] == "" and kept[7] == PROSE[0] and None in kept
     assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+CLASHES = ["_toxicity", "lines", "lines_deleted", "_digest", "_lines", "_copy", "copy", "_leak", "rest", "doc", "gone", "d", "s", "first"]
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_keep_columns_with_any_name(spark, documents, number):
+    docs = documents([(1, PROSE[0]), (2, PROSE[1]), (3, PROSE[1])]).selectExpr("*", *[f"'{c}' AS `{c}`" for c in CLASHES])
+    got = corpus_pipeline.STAGES[number][1](spark, docs, SMALL)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) >= 2 and all(r[c] == c for r in rows for c in CLASHES)
+
+
+def test_samples_never_vanish_on_large_tables():
+    for rows in (1, 1_999, 10**9, 10**10, 10**13):
+        slots = sample_slots(500, rows)
+        assert slots == SHARES if rows <= 500 else slots / SHARES * rows == pytest.approx(500, rel=0.01)
+
+
+def test_workers_need_not_import_the_package(tmp_path):
+    """Queries run from a folder without the package, on workers that cannot see it."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+s = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+     .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+queries = entry.queries()
+sys.path.remove({ROOT!r})
+for name in {sorted(n for n in QUERIES if re.match("op(3|6|7|8|12)_", n))!r}:
+    assert queries[name](s, {SMALL!r}).collect()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]

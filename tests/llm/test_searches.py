@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -79,21 +80,43 @@ def test_leaks_of_the_table(spark):
                 assert best == got[doc, item]["edits"] <= decontamination.edit_budget(len(p))
 
 
-def test_blocks_short_items_and_odd_rows(spark, documents, odd_texts, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 40)
+def test_blocks_short_items_and_odd_rows(spark, documents, odd_texts):
     rows = [(1, PROSE[0]), (1, PROSE[0]), (2, None), (3, ""), (4, " "), (5, "A  b"), (None, PROSE[1]), (6, PROSE[2])]
     tests = spark.createDataFrame([(*r, 0) for r in rows], "item_id long, text string, doc_id int").drop("doc_id")
     blocks = list(decontamination.item_blocks(tests, 40))
-    assert len(blocks) > 1 and sum(map(len, blocks)) == 5
+    assert len(blocks) > 1 and sum(len(items) for _, items in blocks) == 6
+    assert not any(alone for alone, _ in blocks)
     docs = documents(odd_texts).withColumnRenamed("source", "item_id")
-    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, tests).collect())
-    assert got == [(5, 5), (6, 5), (7, 1)]
-    clean = decontamination.clean_documents(docs, tests)
-    assert clean.columns == docs.columns and clean.count() == len(odd_texts) - 4
+    for chars in (40, 10**6):
+        found = decontamination.find_leaks(docs, tests, block_chars=chars).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(5, 5), (6, 5), (7, 1)]
+        # Rows go whatever their ids: an item without id counts, and a document without id goes.
+        clean = decontamination.clean_documents(docs, tests, block_chars=chars)
+        assert clean.columns == docs.columns and clean.count() == len(odd_texts) - 5
     assert decontamination.find_leaks(docs, tests.limit(0)).count() == 0
     assert decontamination.find_leaks(docs.limit(0), tests).count() == 0
 
 
+def test_repeated_patterns_take_bounded_memory():
+    items = decontamination.Items([(1, "abcab" * 30), (2, "abcab" * 12 + "x" + "abcab" * 12), (3, "q" * 200)])
+    text = "abcab" * 80_000 + " " + "q" * 100_000
+    tracemalloc.start()
+    found = items.leaks(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[1][0] == 0 and found[3][0] == 0 and found[2][0] == 1
+    assert peak < 200 << 20
+
+
+def test_places_across_stretches_are_found(items, monkeypatch):
+    monkeypatch.setattr(decontamination, "STRETCH", 64)
+    rng, index = random.Random(4), decontamination.Items(items)
+    for n in range(len(items)):
+        before = " ".join(rng.choice(PROSE) for _ in range(rng.randint(1, 40)))
+        found = index.leaks(f"{before} {items[n][1]} {PROSE[0] * 30}")
+        assert found[n] == (0, len(before) + 1 + len(decontamination.plain(items[n][1])))
+
+
 # URLs
 
 
@@ -129,6 +152,14 @@ def covering(url):
 CAPTURE, ENTRY = "page_id long, url string, at long", "pattern string, at long, entry_id long, listed boolean"
 
 
+def test_captures_of_one_page_at_several_times(spark):
+    captures = [(1, "http://a.b/x", 10), (1, "http://a.b/x", 100), (1, "http://a.b/x", 200), (None, "http://a.b/x", 60)]
+    entries = [("a.b", 50, 1, True), ("a.b", 150, 2, False), ("a.b/x", 150, 3, True)]
+    got = url_filter.judge(spark.createDataFrame(captures, CAPTURE), spark.createDataFrame(entries, ENTRY)).collect()
+    wanted = [(None, True, 1, "a.b", 50), (1, False, 0, None, None), (1, True, 1, "a.b", 50), (1, True, 1, "a.b/x", 150)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_judged_as_of_the_fetch(spark, seed):
     rng = random.Random(seed)
