@@ -96,10 +96,12 @@ def block_pairs(
 
     All rules go through one equi-join on (rule, block). A pair that an earlier rule finds
     too is dropped right in the join, so pairs are never shuffled to remove doubles. A large
-    block becomes a square grid: each profile belongs to one row and one column of it and is
-    copied along them, so that every pair meets in one cell, and cells are spread over tasks.
-    ``carry`` names further profile columns to keep on the left side; ``only`` gives the
-    numbers of the rules whose pairs are wanted.
+    block is cut into tiles by a hash and becomes a triangle of cells, one for each two tiles:
+    a profile is the left side of the cells of its tile and later ones, and the right side of
+    those of its tile and earlier ones. So two profiles of different tiles meet in one cell and
+    in one order, and cells are spread over tasks. ``carry`` names further profile columns
+    to keep, of one of the two sides: they are for values that both sides share. ``only`` gives
+    the numbers of the rules whose pairs are wanted.
     """
     rules = model.blocking
     rows = _block_rows(
@@ -116,20 +118,31 @@ def block_pairs(
         F.ceil(F.col("k") / F.lit(pairs_per_cell**0.5)).cast("int").alias("grid"),
     )
     rows = rows.join(grids, ["match_rule", "block"])
-    grid = F.col("grid")
-    own = F.pmod(F.xxhash64("id"), grid).cast("int")
-    along = F.explode(F.sequence(F.lit(0), grid - F.lit(1)))
-    left = rows.withColumn("cell_l", own).withColumn("cell_r", along).drop("grid")
-    right = rows.withColumn("cell_r", own).withColumn("cell_l", along).drop("grid", *carry)
-    at = ["match_rule", "block", "cell_l", "cell_r"]
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"))
+    later = F.explode(F.sequence(F.col("tile"), F.col("grid") - 1))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("tile")))
+    left = rows.withColumn("high", later).withColumnRenamed("tile", "low").drop("grid")
+    right = rows.withColumn("low", earlier).withColumnRenamed("tile", "high").drop("grid", *carry)
+    at = ["match_rule", "block", "low", "high"]
     joined = _side(left, "l_", at).join(_side(right.drop(model.shard), "r_", at), at)
-    return joined.filter((F.col("l_id") < F.col("r_id")) & _first_rule(rules)).select(
+    # Profiles of one tile meet in both orders, those of two tiles in one, whichever it is.
+    once = (F.col("low") < F.col("high")) | (F.col("l_id") < F.col("r_id"))
+    ordered = F.col("l_id") < F.col("r_id")
+
+    def sides(c: str) -> list[Column]:
+        a, b = F.col(f"l_{c}"), F.col(f"r_{c}")
+        return [
+            F.when(ordered, a).otherwise(b).alias(f"l_{c}"),
+            F.when(ordered, b).otherwise(a).alias(f"r_{c}"),
+        ]
+
+    return joined.filter(once & _first_rule(rules)).select(
         F.col(f"l_{model.shard}").alias(model.shard),
-        F.col("l_id").alias("id_l"),
-        F.col("r_id").alias("id_r"),
+        F.least("l_id", "r_id").alias("id_l"),
+        F.greatest("l_id", "r_id").alias("id_r"),
         "match_rule",
         (F.col("l_n") * F.col("r_n")).alias("n_pairs"),
-        *[f"{side}{c}" for c in model.columns for side in ("l_", "r_")],
+        *[x for c in model.columns for x in sides(c)],
         *[F.col(f"l_{c}").alias(c) for c in carry],
     )
 

@@ -65,6 +65,20 @@ def test_weighted_pairs_are_all_record_pairs(spark, rows, per_cell):
     assert len(ids) == len(set(ids))
 
 
+def test_large_blocks_form_each_pair_once(spark):
+    """A block of many profiles in a triangle of cells: rows are copied along one side only, and
+    the sides of a pair stay in the order of their ids, texts included."""
+    n, tiles = 300, 6
+    rows = [("F", f"name {i % 7} {i}", "1", None, f"c{i % 3}") for i in range(n)]
+    profiles = blocking.collapse_profiles(make_records(spark, rows))
+    pairs = blocking.block_pairs(profiles, pairs_per_cell=(n // tiles) ** 2).collect()
+    assert len(pairs) == len({(r["id_l"], r["id_r"]) for r in pairs}) == n * (n - 1) // 2
+    for r in pairs:
+        assert r["id_l"] < r["id_r"]
+        assert (r["l_recipient_legal_name_en"], r["r_recipient_legal_name_en"]) == (rows[r["id_l"]][1], rows[r["id_r"]][1])
+        assert (r["l_recipient_city"], r["r_recipient_city"]) == (rows[r["id_l"]][4], rows[r["id_r"]][4])
+
+
 def test_blocking_is_an_equi_join(spark):
     profiles = blocking.collapse_profiles(make_records(spark, [("F", "a", "1", "p", "c")] * 2))
     plan = blocking.block_pairs(profiles)._jdf.queryExecution().toString()
