@@ -1019,3 +1019,4 @@ ORACLE["canonical_grants"] = on(
     + _entities.replace("true_clusters", "named"),
     "records", "terms", "classified",
 )
+ORACLE["entities_from_csv"] = ORACLE["canonical_grants"]

@@ -884,6 +884,19 @@ def canonical_grants(s: SparkSession, d: str) -> DataFrame:
     return _rounded(canonical.canonical_entities(stage(s, d, "linked")), ["total_funding"], 2)
 
 
+@query
+def entities_from_csv(s: SparkSession, d: str) -> DataFrame:
+    """The whole flow: a CSV export, read once, through written steps to one name per entity."""
+    path = _scratch(s, "flow")
+    source = stage(s, d, "grants").withColumn("agreement_start_date", F.col("agreement_start_date").cast("date"))
+    source.write.options(
+        header=True, quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(f"{path}/csv")
+    made = grants_flow.grants_from_csv(s, f"{path}/csv", source.columns, f"{path}/tables", "1", key="gid")
+    return _rounded(made["canonical_names"], ["total_funding"], 2)
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Raw grants through normalising, labelling, linking and naming."""
     names, _ = grants_flow.canonical_grants(stage(s, d, "grants"), "gid")

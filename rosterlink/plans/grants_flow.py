@@ -24,13 +24,14 @@ from rosterlink.operators.enriching import (
     render_prompt,
     residual_contexts,
     score_batches,
+    score_in_waves,
     verdict_cache,
     verdict_rows,
 )
 from rosterlink.operators.normalizing import normalize_grants
 from rosterlink.plans.linkage import Linkage, link_and_cluster
 from rosterlink.sources.results import read_snapshot, save_model, snapshot_verdicts
-from rosterlink.sources.tables import materialize, read_grants_csv, read_stage, write_stage
+from rosterlink.sources.tables import Steps, materialize, owned_intermediates, read_grants_csv
 
 
 def normalized_table(raw: DataFrame) -> DataFrame:
@@ -91,9 +92,15 @@ def grants_from_csv(
     cached: bool = False,
     batch_size: int = 1,
     partitions: int | None = None,
+    key: str | None = None,
 ) -> dict[str, DataFrame]:
     """From a CSV export to named tables under ``folder``, one per step.
 
+    The CSV is read once, and each step reads what the one before has written. A run that broke
+    off goes on after its last finished step when it is started again with the same
+    ``run_ts``; answers of the scorer are kept wave by wave. Other intermediates are removed at
+    the end. ``key`` names a column with a unique number for each record, to be its id.
+
     ``raw_grants``, ``normalized_grants``, ``rule_labels``, ``classified_grants``,
     ``entity_clusters`` (by type), ``shard_report``, ``linkage_totals``, ``canonical_names``; also
     ``verdicts`` (a snapshot per run and the latest) and ``model`` (the trained parameters).
@@ -101,40 +108,55 @@ def grants_from_csv(
     answer are asked.
     """
 
-    def step(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        write_stage(df, f"{folder}/{name}", partition_by)
-        return read_stage(spark, f"{folder}/{name}")
-
-    raw = with_unique_id(read_grants_csv(spark, csv, columns))
-    raw = raw.withColumn("agreement_value", F.col("agreement_value").try_cast("double"))
-    normalized = step("normalized_grants", normalize_grants(step("raw_grants", raw)))
-    rules = step("rule_labels", classify_with_provenance(normalized))
+    steps = Steps(spark, folder, run_ts)
     label, new = "recipient_type", "recipient_type_new"
-    labelled = rules.drop(label).withColumnRenamed(new, label)
-    if score_fn is not None:
-        contexts = materialize(residual_contexts(rules), "contexts")
+    with owned_intermediates(spark):
+
+        def read() -> DataFrame:
+            raw = with_unique_id(read_grants_csv(spark, csv, columns), key)
+            return raw.withColumn("agreement_value", F.col("agreement_value").try_cast("double"))
+
+        raw = steps.table("raw_grants", read)
+        normalized = steps.table("normalized_grants", lambda: normalize_grants(raw))
+        rules = steps.table("rule_labels", lambda: classify_with_provenance(normalized))
 
         def score(unseen: DataFrame) -> DataFrame:
-            return _verdicts(rules, materialize(unseen, "unseen"), score_fn, batch_size, partitions)
-
-        if cached:
-            known = read_snapshot(spark, f"{folder}/verdicts")
-            known = known.drop("success", "backup_created_at", "model", "openai_base_url", "run_ts")
-            verdicts = verdict_cache(known, contexts, score)
-        else:
-            verdicts = materialize(score(contexts), "verdicts")
-        snapshot_verdicts(verdicts, f"{folder}/verdicts", run_ts, scorer, endpoint)
-        verdicts = read_snapshot(spark, f"{folder}/verdicts", run_ts)
-        parsed = parse_verdicts(verdicts, position="position")
-        labelled = merge_verdicts(rules, parsed, "unique_id")
-    classified = step("classified_grants", labelled)
-    linkage = link_and_cluster(classified)
-    save_model(linkage.params, f"{folder}/model")
-    clusters = step("entity_clusters", linkage.clusters, [label])
-    return {
-        "classified_grants": classified,
-        "entity_clusters": clusters,
-        "shard_report": step("shard_report", shard_report(classified, clusters)),
-        "linkage_totals": step("linkage_totals", linkage_totals(classified, clusters)),
-        "canonical_names": step("canonical_names", canonical_entities(clusters)),
-    }
+            prompts = render_prompt(unseen, context_values(rules))
+            batches = make_batches(prompts, batch_size, hex_digits=bucket_digits(unseen.count()))
+            answers = f"{folder}/scoring/run_ts={run_ts}"
+            return verdict_rows(
+                score_in_waves(batches, score_fn, answers, run_ts, partitions=partitions)
+            )
+
+        def ask() -> None:
+            contexts = materialize(residual_contexts(rules), "contexts")
+            if cached:
+                known = read_snapshot(spark, f"{folder}/verdicts")
+                known = known.drop("success", "backup_created_at", "model", "openai_base_url", "run_ts")
+                verdicts = verdict_cache(known, contexts, lambda x: score(materialize(x, "unseen")))
+            else:
+                verdicts = materialize(score(contexts), "verdicts")
+            snapshot_verdicts(verdicts, f"{folder}/verdicts", run_ts, scorer, endpoint)
+
+        def labelled() -> DataFrame:
+            if score_fn is None:
+                return rules.drop(label).withColumnRenamed(new, label)
+            steps.do("verdicts", ask)
+            verdicts = read_snapshot(spark, f"{folder}/verdicts", run_ts)
+            return merge_verdicts(rules, parse_verdicts(verdicts, position="position"), "unique_id")
+
+        classified = steps.table("classified_grants", labelled)
+
+        def linked() -> DataFrame:
+            linkage = link_and_cluster(classified)
+            save_model(linkage.params, f"{folder}/model")
+            return linkage.clusters
+
+        clusters = steps.table("entity_clusters", linked, [label])
+        return {
+            "classified_grants": classified,
+            "entity_clusters": clusters,
+            "shard_report": steps.table("shard_report", lambda: shard_report(classified, clusters)),
+            "linkage_totals": steps.table("linkage_totals", lambda: linkage_totals(classified, clusters)),
+            "canonical_names": steps.table("canonical_names", lambda: canonical_entities(clusters)),
+        }

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 _local_folders: dict[str, str] = {}
+#: Intermediates written by the flows that are open, the innermost last.
+_owned: list[list[str]] = []
 
 
 def read_grants_csv(
@@ -89,5 +94,73 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
             f"{label}-{uuid.uuid4().hex}",
         ]
     )
+    if _owned:
+        _owned[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system that holds a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _located(spark, path)
+    return files.exists(at)
+
+
+@contextmanager
+def owned_intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the intermediates that ``materialize`` writes inside, at the end or on failure.
+
+    What the caller goes on with has to be written elsewhere before.
+    """
+    _owned.append([])
+    try:
+        yield _owned[-1]
+    finally:
+        for path in _owned.pop():
+            files, at = _located(spark, path)
+            files.delete(at, True)
+
+
+class Steps:
+    """The written tables of a run under one folder, each marked once it is finished.
+
+    A run is known by its stamp: one that is started again under the same stamp reads the
+    finished tables and goes on with the first that is not; another stamp makes all anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, run: str) -> None:
+        self.spark, self.folder, self.run = spark, folder, run
+        #: Names of the tables that this object has made, as opposed to read.
+        self.made: list[str] = []
+
+    def _mark(self, name: str) -> str:
+        return f"{self.folder}/_finished/{self.run}/{name}"
+
+    def finished(self, name: str) -> bool:
+        return exists(self.spark, self._mark(name))
+
+    def finish(self, name: str) -> None:
+        files, at = _located(self.spark, self._mark(name))
+        files.create(at, True).close()
+        self.made.append(name)
+
+    def table(
+        self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None
+    ) -> DataFrame:
+        """The table of a step: made and written, or read if it was finished before."""
+        path = f"{self.folder}/{name}"
+        if not self.finished(name):
+            write_stage(make(), path, partition_by)
+            self.finish(name)
+        return read_stage(self.spark, path)
+
+    def do(self, name: str, work: Callable[[], None]) -> None:
+        """Work that writes by itself, done once in a run."""
+        if not self.finished(name):
+            work()
+            self.finish(name)
