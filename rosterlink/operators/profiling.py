@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlink.functions import vocabulary as V
 from rosterlink.functions.text import is_blank, strip
+from rosterlink.sources.tables import materialize
 
 EMPTY_LABEL = "(empty)"
 
@@ -31,35 +32,32 @@ def table_shape(df: DataFrame) -> DataFrame:
     )
 
 
+def _completeness_sums(columns: Sequence[str]) -> list[Column]:
+    return [
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in columns],
+        *[F.count_if(is_blank(F.col(c).cast("string"))).alias(f"_blank_{c}") for c in columns],
+    ]
+
+
+def _completeness_of(c: str) -> dict[str, Column]:
+    """What there is to say of a column, from ``_total`` and its sums."""
+    total, null, blank = F.col("_total"), F.col(f"_null_{c}"), F.col(f"_blank_{c}")
+    filled = total - null - blank
+    return {
+        "total": total, "filled": filled, "null_count": null, "empty_count": blank,
+        "fill_rate": percent(filled, total),
+    }
+
+
 def completeness(df: DataFrame, columns: Sequence[str] = tuple(V.KEY_COLUMNS)) -> DataFrame:
     """Filled, null and blank counts per column, from one pass over the table."""
     columns = present(df, columns)
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_total"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in columns],
-        *[F.count_if(is_blank(F.col(c).cast("string"))).alias(f"_blank_{c}") for c in columns],
-    )
-    long = counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col("_total").alias("total"),
-                        (F.col("_total") - F.col(f"_null_{c}") - F.col(f"_blank_{c}")).alias(
-                            "filled"
-                        ),
-                        F.col(f"_null_{c}").alias("null_count"),
-                        F.col(f"_blank_{c}").alias("empty_count"),
-                    )
-                    for c in columns
-                ]
-            )
-        )
-    )
-    return long.withColumn("fill_rate", percent(F.col("filled"), F.col("total"))).orderBy(
-        "fill_rate", "column"
-    )
+    counted = df.agg(F.count(F.lit(1)).alias("_total"), *_completeness_sums(columns))
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[x.alias(n) for n, x in _completeness_of(c).items()])
+        for c in columns
+    ]
+    return counted.select(F.inline(F.array(*rows))).orderBy("fill_rate", "column")
 
 
 def null_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -86,25 +84,39 @@ def id_format_census(
 ) -> DataFrame:
     """Format classes of an identifier. They overlap, and ``other_format`` is the remainder
     after subtracting each of them, so it can come out too low."""
+    counted = df.agg(F.count(F.lit(1)).alias("_total"), *_format_sums(column, placeholders))
+    return counted.select(*[x.alias(n) for n, x in _formats().items()])
+
+
+def _format_sums(column: str, placeholders: Sequence[str]) -> list[Column]:
     c = strip(F.col(column).cast("string"))
-    counted = df.select(c.alias("c")).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("c").isNull() | (F.col("c") == "")).alias("missing"),
-        F.count_if(F.col("c").rlike(r"\A\p{Nd}+\z")).alias("all_digits"),
-        F.count_if(F.col("c").rlike("(?iU)RT")).alias("has_rt_suffix"),
-        F.count_if(F.col("c").rlike("(?iU)RP")).alias("has_rp_suffix"),
-        F.count_if(F.col("c").isin(*placeholders)).alias("placeholder"),
-    )
-    present_rows = F.col("total_rows") - F.col("missing")
-    classes = ["all_digits", "has_rt_suffix", "has_rp_suffix", "placeholder"]
-    return counted.select(
-        "total_rows",
-        "missing",
-        present_rows.alias("has_value"),
-        *classes,
-        reduce(lambda rest, k: rest - F.col(k), classes, present_rows).alias("other_format"),
-        percent(present_rows, F.col("total_rows")).alias("coverage_pct"),
-    )
+    return [
+        F.count_if(c.isNull() | (c == "")).alias("_missing"),
+        F.count_if(c.rlike(r"\A\p{Nd}+\z")).alias("_all_digits"),
+        F.count_if(c.rlike("(?iU)RT")).alias("_has_rt_suffix"),
+        F.count_if(c.rlike("(?iU)RP")).alias("_has_rp_suffix"),
+        F.count_if(c.isin(*placeholders)).alias("_placeholder"),
+    ]
+
+
+def _formats() -> dict[str, Column]:
+    """The census from ``_total`` and the sums."""
+    total, missing = F.col("_total"), F.col("_missing")
+    classes = {k: F.col(f"_{k}") for k in ("all_digits", "has_rt_suffix", "has_rp_suffix", "placeholder")}
+    return {
+        "total_rows": total, "missing": missing, "has_value": total - missing, **classes,
+        "other_format": reduce(lambda rest, k: rest - k, classes.values(), total - missing),
+        "coverage_pct": percent(total - missing, total),
+    }
+
+
+def _separator_sums(columns: Sequence[str], separator: str) -> list[Column]:
+    return [F.count_if(F.contains(F.col(c), F.lit(separator))).alias(f"_with_{c}") for c in columns]
+
+
+def _separators(c: str) -> dict[str, Column]:
+    own = F.col(f"_with_{c}")
+    return {"with_separator": own, "pct": percent(own, F.col("_total"))}
 
 
 def separator_census(
@@ -112,24 +124,12 @@ def separator_census(
 ) -> DataFrame:
     """Rows per column whose value holds the separator."""
     columns = present(df, columns)
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_total"),
-        *[F.count_if(F.contains(F.col(c), F.lit(separator))).alias(f"_n_{c}") for c in columns],
-    )
-    return counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(f"_n_{c}").alias("with_separator"),
-                        percent(F.col(f"_n_{c}"), F.col("_total")).alias("pct"),
-                    )
-                    for c in columns
-                ]
-            )
-        )
-    ).orderBy(F.desc("with_separator"), "column")
+    counted = df.agg(F.count(F.lit(1)).alias("_total"), *_separator_sums(columns, separator))
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[x.alias(n) for n, x in _separators(c).items()])
+        for c in columns
+    ]
+    return counted.select(F.inline(F.array(*rows))).orderBy(F.desc("with_separator"), "column")
 
 
 def top_k_values(
@@ -160,12 +160,17 @@ def distinct_name_census(
             F.approx_count_distinct(F.lower(name)).alias("distinct_lower"),
         )
     else:
-        names = df.select(name.alias("name")).dropna().distinct()
-        lowered = names.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("k"))
-        counted = lowered.agg(
-            F.coalesce(F.sum("k"), F.lit(0)).alias("distinct_exact"),
-            F.count(F.lit(1)).alias("distinct_lower"),
-        )
+        return _case_census(df.select(name.alias("name")).dropna().distinct())
+    return counted.withColumn("case_collisions", F.col("distinct_exact") - F.col("distinct_lower"))
+
+
+def _case_census(names: DataFrame) -> DataFrame:
+    """The census from the different names."""
+    lowered = names.groupBy(F.lower("name").alias("low")).agg(F.count(F.lit(1)).alias("k"))
+    counted = lowered.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("distinct_exact"),
+        F.count(F.lit(1)).alias("distinct_lower"),
+    )
     return counted.withColumn("case_collisions", F.col("distinct_exact") - F.col("distinct_lower"))
 
 
@@ -255,48 +260,72 @@ def head_sample(df: DataFrame, order_by: Sequence[str], n: int = 20) -> DataFram
     return df.orderBy(*order_by).limit(n)
 
 
-def profile_report(df: DataFrame, owner_column: str = "owner_org") -> DataFrame:
-    """All sections in one long table: section, key, metric and value."""
+def _labelled(column: str, empty_label: str = EMPTY_LABEL) -> Column:
+    return F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(empty_label))
 
-    def long(section: str, part: DataFrame, key: Column, metrics: Sequence[str]) -> DataFrame:
-        return part.select(
-            F.lit(section).alias("section"),
-            key.alias("key"),
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")
-                        )
-                        for m in metrics
-                    ]
-                )
-            ),
-        )
 
+def profile_report(
+    df: DataFrame, owner_column: str = "owner_org", separator: str = "|", top: int = 20
+) -> DataFrame:
+    """All sections in one long table: section, key, metric and value.
+
+    Two scans of the table: one aggregate for everything that is a count over all rows, and one
+    count of values, written out, for the sections that need values.
+    """
+    keys, named = present(df, V.KEY_COLUMNS), present(df, V.BILINGUAL_COLUMNS)
     none = F.lit(None).cast("string")
-    parts = [
-        long("shape", table_shape(df), none, ["total_rows", "total_columns"]),
-        long(
-            "completeness",
-            completeness(df),
-            F.col("column"),
-            ["total", "filled", "null_count", "empty_count", "fill_rate"],
-        ),
-    ]
-    if "recipient_type" in df.columns:
-        types = value_distribution(df, "recipient_type")
-        parts.append(long("recipient_types", types, F.col("value"), ["n", "pct"]))
+    rows: list[Column] = []
+
+    def add(section: str, key: Column, metrics: Mapping[str, Column]) -> None:
+        rows.extend(
+            F.struct(
+                F.lit(section).alias("section"), key.alias("key"), F.lit(n).alias("metric"),
+                x.cast("double").alias("value"),
+            )
+            for n, x in metrics.items()
+        )
+
+    add("shape", none, {"total_rows": F.col("_total"), "total_columns": F.lit(len(df.columns))})
+    sums = [F.count(F.lit(1)).alias("_total"), *_completeness_sums(keys)]
+    for c in keys:
+        add("completeness", F.lit(c), _completeness_of(c))
     if "recipient_business_number" in df.columns:
-        census = id_format_census(df)
-        parts.append(long("business_number_formats", census, none, census.columns))
-    if present(df, V.BILINGUAL_COLUMNS):
-        census = separator_census(df)
-        parts.append(long("bilingual_names", census, F.col("column"), ["with_separator", "pct"]))
+        sums += _format_sums("recipient_business_number", V.CENSUS_PLACEHOLDERS)
+        add("business_number_formats", none, _formats())
+    sums += _separator_sums(named, separator)
+    for c in named:
+        add("bilingual_names", F.lit(c), _separators(c))
+    parts = [df.agg(*sums).select(F.inline(F.array(*rows)))]
+    sources = {}
+    if "recipient_type" in df.columns:
+        sources["recipient_types"] = _labelled("recipient_type")
     if owner_column in df.columns:
-        top = top_k_values(df, owner_column)
-        parts.append(long("top_owner_orgs", top, F.col("value"), ["n"]))
+        sources["top_owner_orgs"] = _labelled(owner_column)
     if "recipient_legal_name" in df.columns:
-        names = distinct_name_census(df)
+        sources["unique_names"] = strip(F.col("recipient_legal_name").cast("string"))
+    if not sources:
+        return parts[0]
+    values = [F.struct(F.lit(k).alias("section"), x.alias("value")) for k, x in sources.items()]
+    counts = materialize(
+        df.select(F.inline(F.array(*values))).groupBy("section", "value").agg(F.count(F.lit(1)).alias("n")),
+        "value-counts",
+    )
+
+    def long(section: str, part: DataFrame, key: Column, metrics: Sequence[str]) -> DataFrame:
+        structs = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return part.select(F.lit(section).alias("section"), key.alias("key"), F.inline(F.array(*structs)))
+
+    def of(section: str) -> DataFrame:
+        return counts.filter(F.col("section") == section)
+
+    if "recipient_types" in sources:
+        total = of("recipient_types").agg(F.sum("n")).scalar()
+        types = of("recipient_types").withColumn("pct", percent(F.col("n"), total))
+        parts.append(long("recipient_types", types, F.col("value"), ["n", "pct"]))
+    if "top_owner_orgs" in sources:
+        best = of("top_owner_orgs").orderBy(F.desc("n"), "value").limit(top)
+        parts.append(long("top_owner_orgs", best, F.col("value"), ["n"]))
+    if "unique_names" in sources:
+        names = _case_census(of("unique_names").select(F.col("value").alias("name")).dropna())
         parts.append(long("unique_names", names, none, names.columns))
     return reduce(DataFrame.unionByName, parts)
