@@ -3,7 +3,8 @@
 Base spans are leftmost matches that do not overlap, kind by kind, dropped where too short.
 Further spans of kind ``markov`` are tokens of identifier characters that a Markov model of
 random strings explains better than one of ordinary identifiers: the mean log-likelihood
-ratio of their characters must reach a threshold. Both models are trained on labelled tokens
+ratio of their characters must reach a threshold. A token has 16 characters or more, one of
+them a letter. Both models are trained on labelled tokens
 of the corpus itself: random are the values that base patterns caught, ordinary are
 tokens of the same characters outside of them. Training looks at two samples picked by a hash,
 about ``SAMPLE`` documents each, a documented bound: one of the documents that match the base
@@ -49,8 +50,9 @@ HOLDS_SECRET = (
 LONG_HEX = re.compile(r"[0-9a-f]{32}")
 #: What the models look at: tokens of identifier characters, at least this long.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Words and numbers alone are no candidates: a token needs both a letter and a digit.
-MIXED = re.compile(r"\A(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
+#: A number alone is no candidate; keys of letters only are, and long words are told apart by
+#: the models.
+LETTER = re.compile(r"[A-Za-z]")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 10_000
 #: Least mean log-likelihood ratio by character, in nats.
@@ -160,14 +162,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovRatio | None:
     return MarkovRatio.of(sums["random"], sums["ordinary"])
 
 
-#: Ordinary identifiers: words of a text in the same characters, candidates left out.
-PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9_/-]{7,}")
+#: Ordinary identifiers: words of a text in the same characters. Those as long as candidates are
+#: left out, since nobody knows which of them are keys.
+PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9_/-]{3,}")
 
 
 def plain_tokens(text: str, covered: list[tuple[int, int]]) -> Iterator[str]:
     for m in PLAIN.finditer(text):
-        candidate = len(m[0]) >= 16 and MIXED.search(m[0])
-        if not candidate and not any(a < m.end() and m.start() < b for a, b in covered):
+        if len(m[0]) < 16 and not any(a < m.end() and m.start() < b for a, b in covered):
             yield m[0]
 
 
@@ -177,7 +179,7 @@ def markov_spans(text: str, model: MarkovRatio, base: list[tuple[str, int, int]]
         start, end = m.span()
         if any(a < end and start < b for _, a, b in base):
             continue
-        if MIXED.search(m[0]) and model.score(m[0]) >= model.threshold:
+        if LETTER.search(m[0]) and model.score(m[0]) >= model.threshold:
             out.append(("markov", start, end))
     return out
 

@@ -1,7 +1,9 @@
 """Encoding, language, secrets and toxicity against plain versions of the same."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -155,6 +157,57 @@ def test_rare_secrets_train_the_model(documents):
     assert got["n_markov"][2_020:].sum() >= 16 and got["n_markov"][:2_000].sum() == 0
 
 
+def test_keys_of_letters_only_are_scored(documents):
+    rng = random.Random(7)
+
+    def key(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [f"{PROSE[i % 3]} token = {key(letters + '0123456789', 40)}" for i in range(200)]
+    rows += [f"see {key(letters, 28)} there" for _ in range(20)]
+    rows += ["internationalisation of characteristically ordinary things 4263429643439180"] * 40
+    got = secret_scan.find_secrets(documents(rows)).orderBy("doc_id").toPandas()
+    assert got["n_markov"][200:220].sum() >= 18 and got["n_markov"][220:].sum() == 0
+
+
+def test_markov_spans_are_those_of_a_plain_sum(documents):
+    """Spans of the table against sums of logs over pairs of characters, one by one."""
+    rng = random.Random(8)
+
+    def key(n):
+        return "".join(rng.choice("0123456789abcdefXYZ") for _ in range(n))
+
+    rows = [f"{PROSE[i % 3]} secret: {key(30)} and some_ordinary_identifier_{i}" for i in range(60)]
+    rows += [f"{key(20)} ordinary_but_long_identifier {key(17)}" for _ in range(30)]
+    table = documents(rows)
+    counts = {True: Counter(), False: Counter()}
+    for text in rows:
+        found = list(secret_scan.secret_values(text))
+        for token in [t for t, _, _ in found]:
+            counts[True].update(zip("\n" + token, token))
+        for token in secret_scan.plain_tokens(text, [(a, b) for _, a, b in found]):
+            counts[False].update(zip("\n" + token, token))
+    states = secret_scan.ALPHABET + "\n"
+
+    def chance(kind, a, b):
+        return (counts[kind][a, b] + 0.5) / (sum(counts[kind][a, x] for x in states) + 0.5 * len(states))
+
+    wanted = []
+    for text in rows:
+        spans = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            inside = any(a < m.end() and m.start() < b for _, a, b in secret_scan.base_spans(text))
+            pairs = list(zip("\n" + m[0], m[0]))
+            mean = sum(math.log(chance(True, *p) / chance(False, *p)) for p in pairs) / len(pairs)
+            if not inside and mean >= 0.5 and re.search("[A-Za-z]", m[0]):
+                spans.append(f"markov:{m.start()}:{m.end()}")
+        wanted.append(spans)
+    got = secret_scan.find_secrets(table).orderBy("doc_id").toPandas()
+    assert [[s for s in x.split(",") if s.startswith("markov")] for x in got["spans"]] == wanted
+    assert sum(map(len, wanted)) > 40
+
+
 def test_many_copies_of_a_secret_train_the_model(documents):
     rows = [f"token = {'0123456789abcdef' * 2}"] * 500
     assert secret_scan.train(documents(rows), sample=50) is not None
