@@ -132,27 +132,20 @@ def repeated_runs(levels: list[DataFrame]) -> DataFrame:
 
 
 def deleted_lines(levels: list[DataFrame], min_words: int, min_lines: int) -> DataFrame:
-    """``digest, gone``: the numbers of the lines of a text that go, in ascending order."""
+    """``digest, gone``: the numbers of the lines of a text that go, in ascending order.
+
+    These are the lines of the maximal runs of ``min_lines`` or more, and single copied lines of
+    ``min_words`` or more.
+    """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    at, needed = F.struct("doc_id", "digest", "line"), min_lines.bit_length() - 1
-    copies = [
-        level.filter(F.col("name") != at).select(
-            "doc_id", "digest", "line",
-            F.when(F.col("words") >= min_words, 1).otherwise(0).alias("worth"),
-            F.lit(2**k if k >= needed else 0).alias("length"),
-        )
-        for k, level in enumerate(levels)
-    ]
-    best = reduce(DataFrame.unionByName, copies).groupBy("doc_id", "digest", "line").agg(
-        F.max("worth").alias("worth"), F.max("length").alias("length")
-    )
-    text = Window.partitionBy("doc_id", "digest").orderBy("line")
-    reach = F.max(F.col("line") + F.col("length")).over(
-        text.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    gone = best.withColumn("reach", reach).filter("worth = 1 or reach > line")
-    return gone.groupBy("digest").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    runs = repeated_runs(levels).filter(F.col("length") >= min_lines)
+    at = F.struct("doc_id", "digest", "line")
+    single = levels[0].filter((F.col("name") != at) & (F.col("words") >= min_words))
+    covered = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
+    gone = runs.select("digest", covered.alias("line")).unionByName(single.select("digest", "line"))
+    lines = F.collect_set(F.col("line").cast("int"))
+    return gone.groupBy("digest").agg(F.sort_array(lines).alias("gone"))
 
 
 def _gone(lines: str) -> Column:
