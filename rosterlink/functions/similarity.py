@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 PREFIX_LENGTH = 4
 PREFIX_WEIGHT = 0.1
 BOOST_ABOVE = 0.7
-CHUNK = 2048
+CHUNK = 8192
 WORD = 64
 #: Classes of bytes that are counted to bound a similarity.
 CLASSES = 64
@@ -63,63 +63,89 @@ def _boosted(jaro: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
 
 
+def _places(letters: np.ndarray, count: int) -> np.ndarray:
+    """By text and byte, where in the text the byte is, as bits of ``count`` words."""
+    out = np.zeros((len(letters), 256, count), np.uint64)
+    rows = np.arange(len(letters))
+    for k in range(letters.shape[1]):
+        out[rows, letters[:, k], k // WORD] |= np.uint64(1 << k % WORD)
+    return out
+
+
 def _same_window(
-    left: Texts, i: np.ndarray, right: Texts, j: np.ndarray, window: int
+    left: Texts, i: np.ndarray, right: Texts, j: np.ndarray, window: int, least: float
 ) -> np.ndarray:
     """Similarities of pairs that share one match window.
 
     The free positions of the left text are bits; each position of the right text takes the
-    lowest free bit with the same byte inside the window.
+    lowest free bit with the same byte inside the window. Where the matches alone rule out
+    ``least``, transpositions are not looked at and the result is what there would be without.
     """
     n_left, n_right = left.lengths[i], right.lengths[j]
     wide_left, wide_right = int(n_left.max()), int(n_right.max())
     if wide_left == 0 or wide_right == 0:
         return np.zeros(len(i))
     count = -(-wide_left // WORD)
-    a = left.matrix(i, count * WORD, 0xFF)
+    different, own = np.unique(i, return_inverse=True)
+    a = left.matrix(different, count * WORD, 0xFF)
     b = right.matrix(j, wide_right, 0xFE)
+    places = _places(a[:, :wide_left], count)
     free = np.full((len(i), count), ~np.uint64(0))
-    hit = np.zeros(b.shape, dtype=bool)
-    rows = np.arange(len(i))
+    hits = np.zeros((wide_right, len(i)), dtype=bool)
+    rows, letters = np.arange(len(i)), np.ascontiguousarray(b.T)
+    flat, first, only = places.reshape(-1, count), own * 256, free[:, 0]
     for k in range(wide_right):
         low_end = max(0, k - window)
         if low_end >= wide_left:
             break
         reach = _words((1 << k + window + 1) - (1 << low_end), count)
-        same = np.packbits(a == b[:, k, None], axis=1, bitorder="little").view(np.uint64)
-        open_bits = same & free & reach
-        at = (open_bits != 0).argmax(axis=1) if count > 1 else 0
-        word = open_bits[rows, at]
-        free[rows, at] ^= word & (~word + np.uint64(1))
-        hit[:, k] = word != 0
-    m = hit.sum(axis=1)
-    if not m.any():
-        return np.zeros(len(i))
-    used = np.unpackbits((~free).view(np.uint8), axis=1, bitorder="little").astype(bool)
-    differs = a[used] != b[hit]  # both list the matched bytes pair by pair, in their order
-    half = np.bincount(np.repeat(rows, m), weights=differs, minlength=len(i)) // 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        jaro = (m / n_left + m / n_right + (m - half) / m) / 3.0
-    jaro = np.where(m > 0, jaro, 0.0)
+        if count == 1:
+            word = flat[first + letters[k], 0]
+            word &= only
+            word &= reach[0]
+            only ^= word & (~word + np.uint64(1))
+        else:
+            open_bits = flat[first + letters[k]] & free & reach
+            at = (open_bits != 0).argmax(axis=1)
+            word = open_bits[rows, at]
+            free[rows, at] ^= word & (~word + np.uint64(1))
+        hits[k] = word != 0
+    hit = hits.T
+    m = hits.sum(axis=0)
     depth = min(PREFIX_LENGTH, wide_left, wide_right)
-    prefix = np.cumprod(a[:, :depth] == b[:, :depth], axis=1).sum(axis=1)
+    prefix = np.cumprod(a[own, :depth] == b[:, :depth], axis=1).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        known = m / n_left + m / n_right
+        jaro = np.where(m > 0, (known + 1.0) / 3.0, 0.0)
+        look = np.flatnonzero((m > 0) & (_boosted(jaro, prefix) >= least))
+        if len(look):
+            used = np.unpackbits((~free[look]).view(np.uint8), axis=1, bitorder="little").astype(bool)
+            # Both list the matched bytes pair by pair, in their order.
+            differs = a[own[look]][used] != b[look][hit[look]]
+            pair = np.repeat(np.arange(len(look)), m[look])
+            half = np.bincount(pair, weights=differs, minlength=len(look)) // 2
+            jaro[look] = (known[look] + (m[look] - half) / m[look]) / 3.0
     return _boosted(jaro, prefix)
 
 
-def similarities(left: Texts, i: np.ndarray, right: Texts, j: np.ndarray) -> np.ndarray:
-    """Similarity of ``left`` number ``i[k]`` and ``right`` number ``j[k]``; pairs with one match
-    window go together, ordered by length so that little is filled up."""
+def similarities(
+    left: Texts, i: np.ndarray, right: Texts, j: np.ndarray, least: float = 0.0
+) -> np.ndarray:
+    """Similarity of ``left`` number ``i[k]`` and ``right`` number ``j[k]``; where it is below
+    ``least``, some number below that may stand for it. Pairs with one match window go together."""
     longest = np.maximum(left.lengths[i], right.lengths[j])
     windows = np.maximum(longest // 2 - 1, 0)
-    order = np.lexsort((left.lengths[i], windows))
+    order = np.lexsort((i, windows))
     ends = np.flatnonzero(np.diff(windows[order], append=-1)) + 1
     result = np.zeros(len(i))
     start = 0
     for end in ends.tolist():
         window = int(windows[order[start]])
-        for at in range(start, end, CHUNK):
-            part = order[at : min(end, at + CHUNK)]
-            result[part] = _same_window(left, i[part], right, j[part], window)
+        # Longer texts take more words for each byte, so fewer pairs go together.
+        step = max(1, CHUNK // (1 + 2 * window // WORD) ** 2)
+        for at in range(start, end, step):
+            part = order[at : min(end, at + step)]
+            result[part] = _same_window(left, i[part], right, j[part], window, least)
         start = end
     return result
 
