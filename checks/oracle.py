@@ -1019,4 +1019,9 @@ ORACLE["canonical_grants"] = on(
     + _entities.replace("true_clusters", "named"),
     "records", "terms", "classified",
 )
-ORACLE["entities_from_csv"] = ORACLE["canonical_grants"]
+# A CSV does not tell empty texts from missing ones.
+_read_back = ", ".join(f"nullif({c}, '') AS {c}" for c in _text_columns)
+ORACLE["entities_from_csv"] = ORACLE["canonical_grants"].replace(
+    f"grants AS ({grants_sql()})",
+    f"exported AS ({grants_sql()}), grants AS (SELECT * REPLACE ({_read_back}) FROM exported)", 1,
+)
