@@ -18,7 +18,7 @@ import rosterlink
 from rosterlink.llm import bpe, decontamination, line_dedup, order_minhash, toxicity
 from rosterlink.llm.common import table
 from rosterlink.llm.queries import byte_vocabulary
-from rosterlink.sources.tables import shared_folder
+from rosterlink.sources.tables import owned_intermediates, remove, shared_folder
 
 # Functions travel to the workers by value, wherever the driver runs from.
 cloudpickle.register_pickle_by_value(rosterlink)
@@ -59,11 +59,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read by the next one."""
+    """All stages over the documents table, each written and read by the next one.
+
+    What a stage writes on the way is removed when it is done, and its result when the next one
+    is; the last result stays for the caller.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with owned_intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -111,6 +111,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written."""
+    files, at = _located(spark, path)
+    files.delete(at, True)
+
+
 @contextmanager
 def owned_intermediates(spark: SparkSession) -> Iterator[list[str]]:
     """Removes the intermediates that ``materialize`` writes inside, at the end or on failure.
@@ -122,8 +128,7 @@ def owned_intermediates(spark: SparkSession) -> Iterator[list[str]]:
         yield _owned[-1]
     finally:
         for path in _owned.pop():
-            files, at = _located(spark, path)
-            files.delete(at, True)
+            remove(spark, path)
 
 
 class Steps:
