@@ -48,7 +48,7 @@ CACHED_WORDS = 200_000
 #: Words of the texts in one block of a sketch; bins of a bag of words.
 BLOCK_WORDS, BINS = 400_000, 1_024
 #: K-mers times sketches that are ranked at once; an odd factor that spreads bits.
-MATRIX, SPREAD = 1 << 20, np.uint64(0xBF58476D1CE4E5B9)
+MATRIX, SPREAD = 1 << 16, np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -101,7 +101,12 @@ def sketches(found: np.ndarray, seeds: np.ndarray, kept: int = KEPT) -> np.ndarr
         ranked ^= ranked >> np.uint64(32)
         ranked *= SPREAD
         if len(found) > kept:
-            best = np.sort(np.argpartition(ranked, kept - 1, axis=1)[:, :kept], axis=1)
+            # Few are kept, so looking for the least again and again is the quickest.
+            least, every = [], np.arange(len(ranked))
+            for _ in range(kept):
+                least.append(ranked.argmin(axis=1))
+                ranked[every, least[-1]] = ~np.uint64(0)
+            best = np.sort(np.stack(least, axis=1), axis=1)
         else:
             best = np.broadcast_to(np.arange(len(found)), (len(ranked), len(found)))
         value = np.zeros(len(ranked), np.uint64)
