@@ -13,6 +13,7 @@ import corpus_pipeline
 from rosterlink.llm import bpe, decontamination, order_minhash, toxicity
 from rosterlink.llm.common import SHARES, sample_slots
 from rosterlink.llm.queries import QUERIES, byte_vocabulary
+from rosterlink.sources.tables import shared_folder
 from tests.conftest import SMALL
 from tests.llm.conftest import PROSE
 from tests.llm.test_duplicates import least_members, plain_line_dedup
@@ -49,8 +50,13 @@ def test_pipeline_is_its_stages_done_plainly(spark):
     }
     codec = bpe.Codec(bpe.read_vocabulary(byte_vocabulary()))
     wanted = {i: len(next(codec.encoded([t]))) for i, t in clean.items()}
+    folder = shared_folder(spark)
+    before = {p for p, _, _ in os.walk(folder)}
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert got == wanted
+    # Of what the run has written, the last result alone is left.
+    left = [p for p, _, files in os.walk(folder) if files and p not in before]
+    assert len(left) == 1 and left[0].endswith("4-bpe")
     assert 0 < len(got) < len(rows)
 
 
