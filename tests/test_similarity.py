@@ -13,6 +13,7 @@ from rosterlink.functions.similarity import (
     jaro_winkler_arrays,
     jaro_winkler_pairs,
     similarities,
+    similarity_blocks,
 )
 
 
@@ -64,3 +65,20 @@ def test_slices_and_repeated_pairs():
     got = jaro_winkler_arrays(a, b).to_pylist()
     assert got[0] == got[2] == pytest.approx(0.961111, abs=1e-6) and got[1] is got[4] is None and got[3] == 0.0
     assert jaro_winkler_arrays(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
+
+
+@pytest.mark.parametrize("longest, many", [(9, 90), (30, 120), (70, 400), (150, 60)])
+def test_matrices_of_pairs_are_the_pairs(longest, many):
+    rng = np.random.default_rng(longest)
+    drawn = ["".join(rng.choice(list("abcdé ñ漢"), rng.integers(0, longest))) for _ in range(many)]
+    ends = ["".join(rng.choice(list("abcd"), 5)) for _ in range(many)]
+    texts = Texts(pa.array([*drawn, *[f"society of {e}" for e in ends], "x" * 70, "", ""], pa.string()))
+    i, j = np.arange(0, len(texts.lengths), 2), np.arange(len(texts.lengths))
+    for least in (0.0, 0.7):
+        got = np.full((len(j), len(i)), -1.0)
+        for a, b, alike in similarity_blocks(texts, i, texts, j, least):
+            assert (got[np.ix_(b, a)] == -1).all()
+            got[np.ix_(b, a)] = alike
+        wanted = similarities(texts, np.tile(i, len(j)), texts, np.repeat(j, len(i))).reshape(got.shape)
+        reach = wanted >= least
+        assert (got[reach] == wanted[reach]).all() and (got[~reach] < least).all() and (got >= 0).all()
