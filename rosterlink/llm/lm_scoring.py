@@ -94,6 +94,32 @@ def counted(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
+def ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their counts, and the place of each key among them."""
+    every = np.concatenate([*keys, np.empty(0, np.int64)])
+    order = np.argsort(every)
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del order
+    first = np.flatnonzero(new)
+    return every[first], np.diff(first, append=len(every)), place
+
+
+def counted_at(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """``counted``, and the places among its keys of the document start, of all words and of all
+    bigrams, one text after the other: from the sort, without a search for each."""
+    full = [w for w in words if len(w)]
+    # The keys of bigrams are above all others, so both kinds are sorted by themselves.
+    double, m, two = ranked(list(map(pairs, full)))
+    single, n, one = ranked([np.full(len(full), START, np.int64), *full])
+    two += np.int32(len(single))
+    first = int(one[0]) if len(full) else 0
+    return np.concatenate([single, double]), np.concatenate([n, m]), first, one[len(full) :], two
+
+
 def packed(keys: np.ndarray, *counts: np.ndarray) -> list[bytes]:
     """Ascending keys as their differences, and counts, compressed; all first bytes, then all
     second bytes and so on, so that the high ones take no room.
@@ -170,27 +196,31 @@ def score_block(totals: tuple[int, int], vocabulary: int):
 
     def run(rows: pa.Table, values: pa.Table) -> pa.Table:
         ids, words, target = block_ngrams(rows)
-        keys, n = counted(words)
-        own, m = counted([w for w, t in zip(words, target, strict=True) if t])
-        t = np.zeros(len(keys), np.int64)
-        t[np.searchsorted(keys, own)] = m
+        lengths = [len(w) for w in words]
+        keys, n, first, one, two = counted_at(words)
+        del words
+        marks = np.repeat(target, lengths)
+        t = np.bincount(one[marks], minlength=len(keys)) + np.bincount(two[marks], minlength=len(keys))
+        if len(one):
+            t[first] = np.count_nonzero(target & (np.array(lengths) > 0))
         for r in values.to_pylist():
             got, all_n, all_t = unpacked(r["size"], [r["keys"], r["n"], r["t"]])
             at = np.searchsorted(keys, got)
             n[at], t[at] = all_n, all_t
         out: list[tuple] = []
-        for doc, w in zip(ids, words, strict=True):
-            if not len(w):
+        end = 0
+        for doc, size in zip(ids, lengths, strict=True):
+            if not size:
                 out.append((doc, 0, None, None, None))
                 continue
-            before = np.concatenate([[START], w[:-1]])
-            places = [np.searchsorted(keys, k) for k in (w, before, pairs(w))]
+            begin, end = end, end + size
+            own, double = one[begin:end], two[begin:end]
+            before = np.concatenate([[first], own[:-1]])
             losses = []
             for counts, total in ((t, totals[1]), (n, totals[0])):
-                one, history, two = (counts[p] for p in places)
-                single = (one + 1) / (total + vocabulary)
-                losses.append(float(-np.log((two + STRENGTH * single) / (history + STRENGTH)).mean()))
-            out.append((doc, len(w), *losses, losses[0] - losses[1]))
+                single = (counts[own] + 1) / (total + vocabulary)
+                losses.append(float(-np.log((counts[double] + STRENGTH * single) / (counts[before] + STRENGTH)).mean()))
+            out.append((doc, size, *losses, losses[0] - losses[1]))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = [c.split()[0] for c in _SCORES.split(", ")]
         return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})

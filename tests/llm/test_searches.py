@@ -6,6 +6,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -273,3 +274,31 @@ def test_scores_odd_texts(spark, documents, odd_texts):
     assert np.isfinite(by_id.loc[4, "score"]) and by_id.loc[7, "score"] < by_id.loc[4, "score"]
     assert lm_scoring.score_documents(docs.limit(0), targets).count() == 0
     assert lm_scoring.score_documents(docs, targets.limit(0)).count() == len(odd_texts)
+
+
+def test_scoring_searches_no_word_of_a_document(monkeypatch):
+    """Places of words come from the sort that counts them, not from a search for each text."""
+    texts = ["", None, *[f"a b c w{i} a b w{i % 7}" for i in range(60)], "   ", "b"]
+    rows = pa.table({
+        "block": pa.array([0] * (len(texts) + 2), pa.int64()),
+        "doc_id": pa.array([*range(len(texts)), 3, 0], pa.int64()),
+        "text": pa.array([*texts, None, None], pa.string()),
+        "target": [False] * len(texts) + [True] * 2,
+    })
+    none = lm_scoring.count_block(1)((pa.scalar(0),), rows).slice(0, 0)
+    searches = []
+    plain = np.searchsorted
+    monkeypatch.setattr(lm_scoring.np, "searchsorted", lambda *a, **k: searches.append(1) or plain(*a, **k))
+    got = lm_scoring.score_block((400, 7), 1000)(rows, none).to_pydict()
+    assert len(searches) <= 1
+    words = [lm_scoring.Slots().of(x or "") for x in texts]
+    for kept, total, name in ((words, 400, "loss_background"), (words[3:4], 7, "loss_target")):
+        keys, n = lm_scoring.counted(kept)
+        c = dict(zip(keys.tolist(), n.tolist(), strict=True))
+        for w, loss in zip(words, got[name], strict=True):
+            before = [lm_scoring.START, *w.tolist()]
+            each = [
+                -np.log((c.get(pair, 0) + lm_scoring.STRENGTH * (c.get(x, 0) + 1) / (total + 1000)) / (c.get(h, 0) + lm_scoring.STRENGTH))
+                for h, x, pair in zip(before, w.tolist(), lm_scoring.pairs(w).tolist(), strict=False)
+            ]
+            assert loss is None if not each else abs(loss - np.mean(each)) < 1e-12
