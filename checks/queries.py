@@ -46,7 +46,10 @@ def query(fn: Query) -> Query:
 
 
 def stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A hand-off table, written on first use and read by every later query."""
+    """A hand-off table, written on first use and read by every later query. Those in ``VIEWS`` are
+    not written: a query works out the columns it reads, and no others."""
+    if name in VIEWS:
+        return VIEWS[name](spark, folder)
     at = (spark.sparkContext.applicationId, folder, name)
     if at not in _stages:
         _stages[at] = tables.materialize(STAGES[name](spark, folder), name)
@@ -91,15 +94,18 @@ def _patterns(s: SparkSession, d: str) -> DataFrame:
     return training.gamma_patterns(cells.block_patterns(stage(s, d, "profiles"), MODEL))
 
 
+VIEWS: dict[str, Query] = {
+    "normalized": lambda s, d: normalizing.normalize_grants(stage(s, d, "grants")),
+    "true_clusters": _true_clusters,
+}
+
 STAGES: dict[str, Query] = {
     "grants": grants,
-    "normalized": lambda s, d: normalizing.normalize_grants(stage(s, d, "grants")),
     "classified": lambda s, d: classifying.classify_with_provenance(stage(s, d, "normalized")),
     "records": lambda s, d: blocking.shard_filter(_linkable(s, d), MODEL),
     "profiles": lambda s, d: blocking.collapse_profiles(stage(s, d, "records"), MODEL),
     "weighed": _weighed,
     "vectors": _vectors,
-    "true_clusters": _true_clusters,
 }
 
 
