@@ -346,12 +346,15 @@ def _compare_cell(key: tuple, rows: pa.Table) -> pa.Table:
 def links_apart(buckets: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between texts that share a sketch but are in different components so far.
 
-    ``buckets``: ``s, key, doc_id, n, keys, top``; ``grouped``: ``node, component``. A sketch
-    with many words in its texts is cut into blocks by a hash; each pair of blocks is one group
-    of bounded size. Pairs are looked at inside the task and only links leave it.
+    ``buckets``: ``s, key, doc_id, n, top``; ``grouped``: ``node, component``; ``texts``: ``doc_id,
+    text, keys``, or ``keys`` in the buckets. A sketch with many words in its texts is cut into
+    blocks by a hash; each pair of blocks is one group of bounded size. Texts and keys join only
+    the rows of these groups, and of the keys only those of earlier sketches go on. Pairs are
+    looked at inside the task and only links leave it.
     """
+    carried = [] if "keys" in texts.columns else ["keys"]
     apart = buckets.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "s", "key", "doc_id", "n", "keys", F.col("top.doc_id").alias("top"),
+        "s", "key", "doc_id", "n", *carried, F.col("top.doc_id").alias("top"),
         F.coalesce("component", "doc_id").alias("component"),
     )
     sizes = apart.groupBy("s", "key").agg(
@@ -365,10 +368,11 @@ def links_apart(buckets: DataFrame, grouped: DataFrame, texts: DataFrame) -> Dat
         .select("*", other)
         .select(
             "s", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "block", "doc_id", "top", "component", "n", "keys",
+            "block", "doc_id", "top", "component", "n", *carried,
         )
     )
-    return cells.join(texts, "doc_id").groupBy("s", "key", "low", "high").applyInArrow(_compare_cell, "a long, b long")
+    whole = cells.join(texts, "doc_id").withColumn("keys", F.slice("keys", F.lit(1), F.col("s")))
+    return whole.groupBy("s", "key", "low", "high").applyInArrow(_compare_cell, "a long, b long")
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -411,8 +415,8 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     )
     links = materialize(verified(first_pairs, texts), "links")
     grouped = components(links)
-    buckets = members.join(signed.select("doc_id", "keys"), "doc_id")
-    more = materialize(links_apart(buckets, grouped, texts), "more-links")
+    known = texts.join(signed.select("doc_id", "keys"), "doc_id")
+    more = materialize(links_apart(members, grouped, known), "more-links")
     grouped = components(links.unionByName(more))
     roots = grouped.select(F.col("node").alias("first"), "component")
     classes = copies.join(roots, "first", "left").select(
