@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by an index of pair occurrences.
 
-The distinct words of a batch are laid out in one array of symbols. The index holds, for each
-pair that can be merged, the list of all its positions. Ranks that are active are applied in
-ascending order, each to all its positions at once, and every merge updates the lists of the
+Words get numbers as texts are read; a text that waits for its ids is the numbers of its words.
+The distinct words are laid out in one array of symbols, a bounded part at a time. The index
+holds, for each pair that can be merged, all its positions. Ranks that are active are applied in
+ascending order, each to all its positions at once, and every merge updates the positions of the
 pairs beside it. The vocabulary is that of a tokenizers JSON file, whose path is a parameter.
 
 Null text counts as empty: it has no ids. Ids that the vocabulary lacks fail on decoding.
@@ -14,11 +15,13 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +31,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+
 #: Below this character lies none of ``UNKNOWN_LETTERS``.
 LOW = "\u0530"
 #: Words and their characters at which the cache starts anew. Neither changes a result.
-CACHED_WORDS, CACHED_CHARS = 400_000, 8_000_000
-#: Characters of text whose new words are merged together.
-BATCH_CHARS = 8_000_000
+CACHED_WORDS, CACHED_CHARS = 200_000, 8_000_000
+#: Characters of text, or new words, whose new words are merged before the next text.
+BATCH_CHARS, BATCH_WORDS = 8_000_000, 50_000
+#: Bytes of words in one index, if there is more than one word. None of these changes a result.
+INDEXED_BYTES = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -87,9 +92,10 @@ class Rows:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         return Rows(np.fromiter(chain.from_iterable(rows), kind, int(lengths.sum())), lengths)
 
-    def plus(self, other: Rows) -> Rows:
+    def plus(self, *others: Rows) -> Rows:
+        rows = [self, *others]
         return Rows(
-            np.concatenate([self.flat, other.flat]), np.concatenate([self.lengths, other.lengths])
+            np.concatenate([r.flat for r in rows]), np.concatenate([r.lengths for r in rows])
         )
 
     def gather(self, at: np.ndarray) -> np.ndarray:
@@ -100,17 +106,25 @@ class Rows:
         return self.flat[np.repeat(self.starts[at] - first, lengths) + np.arange(total)]
 
 
+class Numbers(dict):
+    """Numbers words from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Codec:
     """Encodes and decodes texts; made once per task."""
 
     def __init__(self, vocabulary: dict):
         self.merges = vocabulary["merges"]
-        self.rank = {a << 32 | b: r for r, (a, b, _) in reversed(list(enumerate(self.merges)))}
-        self.keys = np.fromiter(self.rank, np.int64, len(self.rank))
-        self.key_ranks = np.fromiter(self.rank.values(), np.int64, len(self.rank))
+        rank = {a << 32 | b: r for r, (a, b, _) in reversed(list(enumerate(self.merges)))}
+        self.keys = np.fromiter(rank, np.int64, len(rank))
+        self.key_ranks = np.fromiter(rank.values(), np.int64, len(rank))
         order = np.argsort(self.keys)
         self.keys, self.key_ranks = self.keys[order], self.key_ranks[order]
-        self.by_byte = np.array(vocabulary["bytes"], np.int64)
+        self.by_byte = np.array(vocabulary["bytes"], np.int32)
         self.special = vocabulary["special"]
         spelled = vocabulary["spelled"]
         size = max(spelled) + 1
@@ -120,8 +134,13 @@ class Codec:
         self.named = regex.compile(f"({'|'.join(named)})") if named else None
         self.split = regex.compile(split_pattern())
         self.split_low = re.compile(low_pattern())
-        self.known: dict[str, int] = {}
-        self.known_chars, self.ids = 0, Rows.of([])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the cache anew, with the added tokens alone."""
+        self.known = Numbers((token, number) for number, token in enumerate(self.special))
+        self.ids = Rows.of([[i] for i in self.special.values()], np.int32)
+        self.known_chars = 0
 
     def words(self, text: str) -> list[str]:
         split = self.split_low if text.isascii() or max(text) < LOW else self.split
@@ -138,7 +157,7 @@ class Codec:
         """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1)
-        flat = np.full(int(ends[-1]) if len(words) else 0, -1, np.int64)
+        flat = np.full(int(ends[-1]) if len(words) else 0, -1, np.int32)
         inside = np.ones(len(flat), bool)
         inside[ends - 1] = False
         flat[inside] = self.by_byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -147,17 +166,18 @@ class Codec:
         at, ranks = at[order], ranks[order]
         active, first = np.unique(ranks, return_index=True)
         places = {
-            int(r): part.tolist() for r, part in zip(active, np.split(at, first[1:]), strict=True)
+            int(r): array("i", part.astype(np.int32).tobytes())
+            for r, part in zip(active, np.split(at, first[1:]), strict=True)
         } if len(active) else {}
         symbols = flat
-        after = np.arange(1, len(symbols) + 1)
-        before = np.arange(-1, len(symbols) - 1)
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
         heap = list(places)
         heapq.heapify(heap)
         while heap:
             r = heapq.heappop(heap)
             a, b, made = self.merges[r]
-            p = np.unique(places.pop(r))
+            p = np.unique(np.frombuffer(places.pop(r), np.int32))
             p = p[(symbols[p] == a) & (symbols[after[p]] == b)]
             if a == b:
                 p = _not_overlapping(p, after)
@@ -165,7 +185,7 @@ class Codec:
             symbols[p], symbols[q] = made, -2
             s = after[q]
             after[p], before[s] = s, p
-            left, right = symbols[before[p]], symbols[s]
+            left, right = symbols[before[p]].astype(np.int64), symbols[s].astype(np.int64)
             keys = np.concatenate([left << 32 | made, made << 32 | right])
             at = np.concatenate([before[p], p])
             found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -176,7 +196,7 @@ class Codec:
                 if new in places:
                     places[new].append(spot)
                 else:
-                    places[new] = [spot]
+                    places[new] = array("i", (spot,))
                     heapq.heappush(heap, new)
         left = symbols >= 0
         before_end = np.concatenate([[0], np.cumsum(left)])
@@ -187,23 +207,23 @@ class Codec:
         """Positions and ranks of the pairs that can be merged."""
         if len(flat) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        keys = np.where((flat[:-1] >= 0) & (flat[1:] >= 0), flat[:-1] << 32 | flat[1:], -1)
+        keys = np.where(
+            (flat[:-1] >= 0) & (flat[1:] >= 0), flat[:-1].astype(np.int64) << 32 | flat[1:], -1
+        )
         found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         at = np.flatnonzero(self.keys[found] == keys)
         return at, self.key_ranks[found[at]]
 
-    def learn(self, words: set[str]) -> None:
-        """Merge the words not seen before."""
-        if len(self.known) > CACHED_WORDS or self.known_chars > CACHED_CHARS:
-            self.known, self.known_chars, self.ids = {}, 0, Rows.of([])
-        new = [w for w in words if w not in self.known]
+    def learn(self) -> Rows:
+        """The ids of all known words, after those that have none yet are merged."""
+        new = list(islice(self.known, len(self.ids.lengths), None))
         self.known_chars += sum(map(len, new))
-        plain = [w for w in new if w not in self.special]
-        named = [w for w in new if w in self.special]
-        flat, lengths = self.merge([w.encode() for w in plain])
-        more = Rows(flat, lengths)
-        self.ids = self.ids.plus(more).plus(Rows.of([[self.special[w]] for w in named]))
-        self.known.update(zip(plain + named, range(len(self.known), len(self.known) + len(new))))
+        words = [w.encode() for w in new]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cuts = np.flatnonzero(np.diff(ends // INDEXED_BYTES)) + 1
+        parts = zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)], strict=True)
+        self.ids = self.ids.plus(*[Rows(*self.merge(words[a:b])) for a, b in parts])
+        return self.ids
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return self.spelled.gather(ids).tobytes()
@@ -211,20 +231,20 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
-    def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, a batch of words at a time."""
-        batch: list[list[str]] = []
+    def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. What waits for them is the numbers of its words, not the words."""
+        batch: list[np.ndarray] = []
         size = 0
-        for i, text in enumerate(texts):
-            batch.append(self.words(text))
+        for text in texts:
+            if not batch and (len(self.known) > CACHED_WORDS or self.known_chars > CACHED_CHARS):
+                self.forget()
+            words = self.words(text)
+            batch.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
             size += len(text)
-            if size < BATCH_CHARS and i + 1 < len(texts):
-                continue
-            self.learn(set(chain.from_iterable(batch)))
-            for words in batch:
-                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-                yield self.ids.gather(at)
-            batch, size = [], 0
+            if size >= BATCH_CHARS or len(self.known) - len(self.ids.lengths) >= BATCH_WORDS:
+                yield from map(self.learn().gather, batch)
+                batch, size = [], 0
+        yield from map(self.learn().gather, batch)
 
 
 # Letters and numbers of the newest Unicode that the vocabulary's library does
@@ -277,7 +297,7 @@ def encoder(spark: SparkSession, path: str):
     def bpe_encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(vocabulary.value)
         for texts in batches:
-            yield pd.Series([ids.tolist() for ids in codec.encoded([x or "" for x in texts])])
+            yield pd.Series([ids.tolist() for ids in codec.encoded(x or "" for x in texts)])
 
     return bpe_encode
 
@@ -298,23 +318,24 @@ def decoder(spark: SparkSession, path: str):
 def digests(spark: SparkSession, path: str, text: str | Column) -> Column:
     """Number of ids, digest of the ids and digest of what they decode to, in one pass.
 
-    Ids never leave the task, which matters where only their number or digest is wanted.
+    Ids never leave the task, which matters where only their number or digest is wanted. Texts
+    stay in Arrow and become strings one at a time.
     """
     vocabulary = _broadcast(spark, path)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def bpe_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def bpe_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(vocabulary.value)
         for texts in batches:
-            rows = [
-                (
-                    len(ids),
-                    hashlib.sha256(codec.decimal.gather(ids)[:-1]).hexdigest(),
-                    hashlib.sha256(codec.decode(ids).encode()).hexdigest(),
-                )
-                for ids in codec.encoded([x or "" for x in texts])
-            ]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
+            counts, coded, decoded = [], [], []
+            for ids in codec.encoded(x.as_py() or "" for x in texts):
+                counts.append(len(ids))
+                coded.append(hashlib.sha256(codec.decimal.gather(ids)[:-1]).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            yield pa.StructArray.from_arrays(
+                [pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
+                ["n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return bpe_digests(text)
 

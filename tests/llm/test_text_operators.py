@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 import re
 
@@ -51,6 +52,26 @@ def test_bpe_batches_do_not_matter(codec, monkeypatch, library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_parts_of_the_index_do_not_matter(codec, monkeypatch, library):
+    for name, value in (("INDEXED_BYTES", 16), ("BATCH_WORDS", 4), ("CACHED_WORDS", 9)):
+        monkeypatch.setattr(bpe, name, value)
+    texts = ["".join(random.Random(i).choices([*PIECES, *PROSE[0]], k=60)) for i in range(40)]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # Two readers of one codec, in turn, and the cache starts anew in between.
+    both = zip(codec.encoded(texts), codec.encoded(iter(texts)), strict=True)
+    assert [(a.tolist(), b.tolist()) for a, b in both] == [(w, w) for w in wanted]
+
+
+def test_bpe_keeps_no_words_of_waiting_texts(codec):
+    texts = [" ".join(PROSE) * 40] * 200  # 2 million characters, 420,000 words, few different ones
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in codec.encoded(texts)) == 200
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_op1_on_the_table(spark, library):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
     got = QUERIES["op1_bpe"](spark, SMALL).toPandas().set_index("doc_id")
